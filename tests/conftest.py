@@ -7,10 +7,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark(tmp_path_factory):
+def spark():
     from lectern.session import build
 
     session = build("local[4]", partitions=4, memory="3g", app="tests")
-    session.conf.set("spark.checkpoint.dir", "file://" + str(tmp_path_factory.mktemp("shared")))
     yield session
     session.stop()
