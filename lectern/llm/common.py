@@ -32,12 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only where ``spark.checkpoint.dir`` is unset (tests, one machine) a local folder takes its place.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    local = os.path.join(tempfile.gettempdir(), "lectern-checkpoints")
-    spark.conf.set("spark.checkpoint.dir", f"file://{local}")
-    return f"file://{local}"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        context = spark.sparkContext
+        if not context.getCheckpointDir():
+            context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "lectern-checkpoints"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
