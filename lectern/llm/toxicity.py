@@ -196,7 +196,7 @@ class Scorer:
             term, kind = known[m[0]]
             before, after = low[max(0, m.start() - 90) : m.start()], low[m.end() : m.end() + 90]
             left, right = _WORD.findall(before)[-self.WINDOW :], _WORD.findall(after)[: self.WINDOW]
-            opened = any(sum(before.count(q) for q in pair) % 2 if len(set(pair)) == 1 else before.rfind(pair[0]) > before.rfind(pair[1]) for pair in ('""', "“”", "„“", "«»", "‹›", "‘’"))
+            opened = any(before.count(pair[0]) % 2 if pair[0] == pair[1] else before.rfind(pair[0]) > before.rfind(pair[1]) for pair in ('""', "“”", "„“", "«»", "‹›", "‘’"))
             closed = any(q in after for q in _QUOTES)
             quotation = 0.6 * (opened and closed) + 0.4 * bool(SAYING & set(left[-4:] + right[:4]))
             out.append((m.start(), m.end(), m[0], term, kind, quotation, bool(ADDRESS & set(left[-4:] + right[:4]))))
