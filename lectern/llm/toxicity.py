@@ -245,6 +245,10 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
     return w
 
 
+def _beginnings(words: Column, size: int) -> Column:
+    return F.transform(F.filter(words, lambda w: F.length(w) > size), lambda w: F.concat(F.substring(w, 1, size), F.lit("*")))
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, max_rows: int = 8_000, max_terms: int = 400, text_col: str = "text") -> Model:
     """Everything collected here is bounded by ``max_rows`` and ``max_terms``."""
     rows = sampled(label_rows(labels, label, where=where), max_rows, "toxicity")
@@ -255,8 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
         return Model()
     # whole words, and beginnings of words ("begin*"), since insults take endings
     whole = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}@$]+")), lambda w: F.length(w).between(4, 24))
-    stems = [F.transform(F.filter(whole, lambda w, k=k: F.length(w) > k), lambda w, k=k: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in (4, 5, 6)]
-    words = F.array_distinct(F.concat(whole, *stems))
+    words = F.array_distinct(F.concat(whole, *(_beginnings(whole, k) for k in (4, 5, 6))))
     per_word = chosen.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
     least = max(3, pos // 100)
     found = per_word.filter(F.col("p") >= least).withColumn(
