@@ -10,6 +10,7 @@ from lectern.llm import ann, chat_preference
 from lectern.llm import url_templates as urls
 
 DIR = "/root/testdata/sf0.001"
+LARGER = "/root/testdata/sf0.01"
 
 
 # --- chat -----------------------------------------------------------------------------------------
@@ -123,15 +124,15 @@ def test_queries_run(spark):
             assert rows == docs
 
 
-@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
+@pytest.mark.skipif(not os.path.isdir(LARGER), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{DIR}/documents.parquet")
-    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
     now, kept = docs, {}
     for name, stage in p.STAGES[:-1]:
-        out = stage(spark, now, DIR)
+        out = stage(spark, now, LARGER)
         assert out.columns == docs.columns
         kept[name] = {r["doc_id"] for r in out.select("doc_id").collect()}
         assert kept[name] <= {r["doc_id"] for r in now.select("doc_id").collect()}
@@ -140,5 +141,5 @@ def test_pipeline(spark):
     clean = {r["doc_id"] for r in labels.filter("toxic = 0 AND quality = 1").collect()}
     assert len(toxic & kept["toxicity"]) <= 0.3 * len(toxic)
     assert len(clean & kept["quality"]) >= 0.9 * len(clean)
-    pieces = p.STAGES[-1][1](spark, now, DIR)
+    pieces = p.STAGES[-1][1](spark, now, LARGER)
     assert {r["doc_id"] for r in pieces.select("doc_id").collect()} == kept["pii"]
