@@ -6,6 +6,7 @@ task's memory bounded, and a file that can't be read gives a row with the error
 
 from __future__ import annotations
 
+import struct
 import zipfile
 from xml.etree import ElementTree
 
@@ -13,12 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.sources import office, texts
+from lectern.sources import legacy, office, pdf, texts
 
 #: Extensions by reader, and the largest file of each family in MB.
 WORD, EXCEL = ("docx", "docm", "dotx", "dotm"), ("xlsx", "xlsm", "xltx", "xltm")
 DELIMITED, PLAIN, MARKDOWN, HTML = ("csv", "tsv"), ("txt",), ("md", "markdown"), ("html", "htm")
-CAPS_MB = {**dict.fromkeys(WORD, 40), **dict.fromkeys(EXCEL, 60), **dict.fromkeys(DELIMITED + PLAIN + MARKDOWN + HTML + ("rtf",), 20), "odt": 50, "ods": 50}
+CAPS_MB = {**dict.fromkeys(WORD, 40), **dict.fromkeys(EXCEL, 60), **dict.fromkeys(DELIMITED + PLAIN + MARKDOWN + HTML + ("rtf",), 20), "odt": 50, "ods": 50, "doc": 50, "xls": 50, "pdf": 80}
 
 PARAGRAPH = "path string, kind string, index int, text string, style string, num_id string, level int, list_ordinal int, table_id int, table_row int, table_col int, images array<string>, strong array<string>, weak array<string>, error string"
 CELL = "path string, kind string, sheet string, row int, col int, value string, formula string, error string"
@@ -37,7 +38,9 @@ def paragraphs_of(kind: str, data: bytes) -> list[dict]:
         return office.docx(data)
     if kind == "odt":
         return [{"index": k, "text": t} for k, t in enumerate(office.odt(data))]
-    text = texts.rtf_text(data) if kind == "rtf" else texts.decode_auto(data)
+    if kind == "pdf":
+        return pdf.paragraphs(data)
+    text = texts.rtf_text(data) if kind == "rtf" else legacy.doc(data) if kind == "doc" else texts.decode_auto(data)
     if kind in HTML:
         text = texts.html_blocks(text)[0]
     elif kind in MARKDOWN:
@@ -50,12 +53,14 @@ def cells_of(kind: str, data: bytes) -> list[dict]:
         return office.xlsx(data)
     if kind == "ods":
         return office.ods(data)
+    if kind == "xls":
+        return legacy.xls(data)
     text = texts.decode_auto(data)
     rows = texts.html_blocks(text)[1] if kind in HTML else texts.table(text, "\t" if kind == "tsv" else None)
     return [{"sheet": "Sheet1", "row": r, "col": c, "value": v, "formula": None} for r, row in enumerate(rows, 1) for c, v in enumerate(row, 1) if v.strip()]
 
 
-_FAILURES = (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError, EOFError)
+_FAILURES = (zipfile.BadZipFile, ElementTree.ParseError, ValueError, KeyError, EOFError, IndexError, struct.error, RecursionError)
 
 
 def _each(files: DataFrame, reader, schema: str) -> DataFrame:
@@ -79,9 +84,9 @@ def _each(files: DataFrame, reader, schema: str) -> DataFrame:
 
 
 def paragraphs(files: DataFrame) -> DataFrame:
-    kinds = (*WORD, "odt", "rtf", *PLAIN, *MARKDOWN, *HTML)
+    kinds = (*WORD, "odt", "rtf", "doc", "pdf", *PLAIN, *MARKDOWN, *HTML)
     return _each(files.filter(F.col("kind").isin(*kinds)), paragraphs_of, PARAGRAPH)
 
 
 def cells(files: DataFrame) -> DataFrame:
-    return _each(files.filter(F.col("kind").isin(*EXCEL, "ods", *DELIMITED, *HTML)), cells_of, CELL)
+    return _each(files.filter(F.col("kind").isin(*EXCEL, "ods", "xls", *DELIMITED, *HTML)), cells_of, CELL)
