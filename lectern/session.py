@@ -2,8 +2,36 @@
 
 from __future__ import annotations
 
+import io
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once per application, so that their Python finds it
+    wherever the driver was started; on a cluster Spark's own file server carries it."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(here)):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(here)))
+    path = os.path.join(tempfile.mkdtemp(prefix="lectern-"), "lectern.zip")
+    with open(path, "wb") as file:
+        file.write(out.getvalue())
+    context.addPyFile(path)
+    _SHIPPED.add(context.applicationId)
+
 
 def build(master: str = "local[8]", partitions: int = 8, memory: str = "8g", app: str = "lectern") -> SparkSession:
     spark = (
@@ -18,4 +46,5 @@ def build(master: str = "local[8]", partitions: int = 8, memory: str = "8g", app
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    ship(spark)
     return spark
