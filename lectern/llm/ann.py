@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.common import staged
+from lectern.session import ship
 
 #: vectors in a block of the index, and queries that meet them at a time
 _BLOCK, _QUERIES = 16_384, 4_096
@@ -126,6 +127,7 @@ def _top(ids: np.ndarray, least: np.ndarray, raw: np.ndarray, scores: np.ndarray
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_sample: int = 16_384, target: float = 0.96, shares=(0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.65, 0.8, 1.0)) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: both sides have (vec_id, vec) as :func:`usable` gives them."""
     spark = vectors.sparkSession
+    ship(spark)
     first = Window.partitionBy("vec").orderBy("vec_id")
     distinct = vectors.dropDuplicates(["vec_id", "vec"]).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k + 1)
     entries = staged(distinct.groupBy("vec").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")), "entries")

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import ship
+
 #: Rows in one Arrow batch handed to Python.  Texts are long, so this is far below Spark's default
 #: of 10,000: a worker holds one batch and its results at a time.
 ARROW_ROWS = 256
@@ -20,7 +22,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts; a smaller setting of the user's stays."""
+    """Keep Arrow batches small enough for long texts (a smaller setting of the user's stays), and
+    see that the executors have this package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > ARROW_ROWS:
