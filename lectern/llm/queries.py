@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import ann, chat_preference, media, packing, pii, quality, simhash, toxicity, unigram
+from lectern.llm import ann, chat_preference, media, oracles, packing, pii, quality, simhash, toxicity, unigram
 from lectern.llm import url_templates as urls
 from lectern.llm.common import crc32_id, read
 
@@ -84,11 +84,12 @@ def op9_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [urls.Rule("net", "/", "block"), urls.Rule("example.net", "/en/", "allow"), urls.Rule("example.com", "/de/", "block"), urls.Rule("org", "/fr/", "allow")]
 #: Runs of marks and shouted words, which give a page away as junk.
 _JUNK = r"[%$#*]{3}|&amp;&amp;&amp;|[A-Z]!!"
+_JUNK_MARKS = 8
 
 
 def op10_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
-    junk = F.when(F.col("html").isNotNull(), (F.regexp_count("html", F.lit(_JUNK)) >= 8).cast("int"))
+    junk = F.when(F.col("html").isNotNull(), (F.regexp_count("html", F.lit(_JUNK)) >= _JUNK_MARKS).cast("int"))
     return urls.judge(pages, URL_RULES, junk)
 
 
@@ -104,4 +105,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op8_simhash": op8_simhash,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_preference": oracles.CHAT,
+    "op10_url_templates": oracles.url_templates(URL_RULES, _JUNK, _JUNK_MARKS),
+}
