@@ -151,3 +151,17 @@ def source_format(name: Column, kind: Column) -> Column:
 def name_class(name: Column) -> Column:
     n = F.length(F.coalesce(name, F.lit("")))
     return F.when(n > 19, "bank-name-compact").when(n > 18, "bank-name-medium").otherwise("bank-name-normal")
+
+
+def combined_options(text: Column) -> Column:
+    """Options written in one cell ("A. x B. y"): markers from the first A on, in strict sequence, part the
+    texts; what follows the last of them is its text."""
+    marker = r"(?i)(?:^|(?<=[\n\s；;。？！?：:]))[（(]?\s*([A-L])\s*(?:[）)]|[.、．:：])\s*"
+    keys = F.transform(F.regexp_extract_all(text, F.lit(marker), F.lit(1)), F.upper)
+    first = F.array_position(keys, "A").cast("int")
+    own = F.when(first > 0, F.slice(keys, first, F.lit(12))).otherwise(F.slice(keys, 1, 0))
+    wanted = F.transform(F.sequence(F.lit(65), F.lit(76)), lambda c: F.char(c))
+    n = F.size(F.filter(own, lambda k, i: F.slice(own, F.lit(1), i + 1) == F.slice(wanted, F.lit(1), i + 1)))
+    bodies = F.split(text, marker, F.greatest(first, F.lit(1)) + n)
+    found = F.transform(F.slice(own, F.lit(1), n), lambda k, i: F.struct(k.alias("key"), F.trim(F.get(bodies, first + i)).alias("text")))
+    return F.filter(found, lambda p: p["text"] != "")

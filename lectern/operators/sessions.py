@@ -80,3 +80,40 @@ def interval_join(points: DataFrame, spans: DataFrame, point: str, start: str, e
     """Each point with the first span [start, end) of its key that holds it: an equi-join on the key, then the range."""
     j = points.join(spans, key).filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
     return j
+
+
+def saved_sequence(questions: DataFrame, saved: DataFrame, seed: str, by: str = "bank_id") -> DataFrame:
+    """Questions (bank, question_id, key, ord) in the order of a saved sequence (bank, pos, question_id, key, ord).
+
+    Entries take a question in turn, each question once: by id, else the nearest order of its key, else its
+    order.  Questions that no entry takes follow in hash order.  Taking in turn is sequential, so a bank
+    is one task; a bank is a document's size.
+    """
+    import hashlib
+
+    import pandas as pd
+
+    def match(key, qs: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+        free = {r.question_id: r for r in qs.sort_values("ord").itertuples()}
+        of_key: dict[str, list] = {}
+        for r in free.values():
+            of_key.setdefault(r.key, []).append(r)
+        of_order = {}
+        for r in free.values():
+            of_order.setdefault(r.ord, []).append(r)
+        out = []
+        for e in entries.sort_values("pos").itertuples():
+            found = free.get(e.question_id)
+            if found is None and e.key:
+                found = min((r for r in of_key.get(e.key, ()) if r.question_id in free), key=lambda r: (abs(r.ord - e.ord), r.ord), default=None)
+            if found is None and e.ord > 0:
+                found = next((r for r in of_order.get(e.ord, ()) if r.question_id in free), None)
+            if found is not None:
+                out.append(found.question_id)
+                del free[found.question_id]
+        out += sorted(free, key=lambda i: (hashlib.md5(f"{seed}:{i}".encode()).hexdigest(), i))
+        return pd.DataFrame({by: [key[0]] * len(out), "question_id": out, "position": range(1, len(out) + 1)})
+
+    kind = questions.schema["question_id"].dataType.simpleString()
+    name = questions.schema[by].dataType.simpleString()
+    return questions.groupBy(by).cogroup(saved.groupBy(by)).applyInPandas(match, f"{by} {name}, question_id {kind}, position long")

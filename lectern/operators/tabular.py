@@ -82,3 +82,37 @@ def questions(cells: DataFrame) -> DataFrame:
     ).filter("question <> ''")
     order = F.row_number().over(Window.partitionBy("path").orderBy("sheet", "row"))
     return validate(out.withColumn("ord", order))
+
+
+def category(sheet: Column, explicit: Column, several: Column, label: Column) -> Column:
+    """A row's category: its own, after the sheet's name where the book has several sheets, else the type's label."""
+    from lectern.functions.text import compact
+
+    own, name = one_line(F.coalesce(explicit, F.lit(""))), one_line(F.coalesce(sheet, F.lit("")))
+    alone = F.coalesce(F.when(own != "", own), label)
+    both = F.when((own != "") & (compact(own) != compact(name)), F.concat(name, F.lit(" · "), own)).otherwise(F.coalesce(F.when(name != "", name), F.when(own != "", own), label))
+    return F.when(several, both).otherwise(alone)
+
+
+def declared_counts(cells: DataFrame) -> DataFrame:
+    """``(path, label, declared)`` of summary tables: a header row with the word for type, then a row of counts."""
+    value = one_line(F.col("value"))
+    rows = cells.select(*KEY, "row", "col", value.alias("v"))
+    heads = rows.filter(F.col("v").isin("题型", "类型")).select(*KEY, F.col("row").alias("head")).distinct()
+    # the next row that has cells
+    after = rows.join(heads, KEY).filter(F.col("row") > F.col("head")).groupBy(*KEY, "head").agg(F.min("row").alias("next"))
+    labels = rows.join(after, KEY).filter(F.col("row") == F.col("head")).select(*KEY, "head", "next", "col", F.col("v").alias("label"))
+    first = labels.groupBy(*KEY, "head").agg(F.min("col").alias("first"))
+    counts = rows.join(after, KEY).filter(F.col("row") == F.col("next")).select(*KEY, "head", "col", "v")
+    named = counts.join(first, [*KEY, "head"]).filter((F.col("col") == F.col("first")) & F.col("v").isin("数量", "题数", "合计")).select(*KEY, "head")
+    number = F.expr("try_cast(replace(v, ',', '') AS double)")
+    return labels.join(named, [*KEY, "head"]).join(counts, [*KEY, "head", "col"]).withColumn("declared", number).filter("label <> '' AND declared > 0").select("path", "label", F.col("declared").cast("long").alias("declared"))
+
+
+def reconcile(declared: DataFrame, questions: DataFrame) -> DataFrame:
+    """Declared against found counts per label; labels that differ only in punctuation count as one."""
+    from lectern.functions.text import compact
+
+    found = questions.groupBy("path", compact(F.col("display_label")).alias("mark")).agg(F.count("*").alias("found"))
+    d = declared.filter(~F.col("label").isin("合计", "总计")).withColumn("mark", compact(F.col("label")))
+    return d.join(found, ["path", "mark"], "left").select("path", "label", "declared", F.coalesce("found", F.lit(0)).alias("found"), (F.col("declared") - F.coalesce("found", F.lit(0))).alias("missing"))

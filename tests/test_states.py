@@ -52,3 +52,28 @@ def test_images_and_settings(spark):
     stored = spark.createDataFrame([("dark", 99, None)], "theme string, size int, count int")
     got = R.settings(stored, {"theme": "light", "size": 16, "count": 20, "extra": True}, choices={"theme": ["light"]}, ranges={"size": (12, 24)}).first()
     assert tuple(got) == ("light", 24, 20, True)
+
+
+def test_saved_sequence(spark):
+    from lectern.operators import sessions
+
+    qs = spark.createDataFrame([("b", f"q{i}", "k" if i in (3, 5) else f"k{i}", i) for i in range(1, 7)], "bank_id string, question_id string, key string, ord int")
+    saved = spark.createDataFrame([("b", 1, "q4", "", 0), ("b", 2, "gone", "k", 6), ("b", 3, "gone", "k", 6), ("b", 4, "gone", "no", 2), ("b", 5, "gone", "no", 4)], "bank_id string, pos int, question_id string, key string, ord int")
+    got = [r["question_id"] for r in sessions.saved_sequence(qs, saved, "s").orderBy("position").collect()]
+    assert got[:4] == ["q4", "q5", "q3", "q2"] and sorted(got[4:]) == ["q1", "q6"]
+
+
+def test_tables(spark):
+    from lectern.functions import question as Q
+    from lectern.operators import tabular
+
+    rows = [("p", "S", 1, 1, "题型"), ("p", "S", 1, 2, "单选题"), ("p", "S", 1, 3, "判断题"), ("p", "S", 3, 1, "数量"), ("p", "S", 3, 2, "1,200"), ("p", "S", 3, 3, "5"), ("p", "T", 1, 1, "题型"), ("p", "T", 2, 1, "单选题")]
+    cells = spark.createDataFrame(rows, "path string, sheet string, row int, col int, value string")
+    declared = tabular.declared_counts(cells)
+    assert {(r["label"], r["declared"]) for r in declared.collect()} == {("单选题", 1200), ("判断题", 5)}
+    qs = spark.createDataFrame([("p", "单选题"), ("p", "单选题")], "path string, display_label string")
+    assert {r["label"]: r["missing"] for r in tabular.reconcile(declared, qs).collect()} == {"单选题": 1198, "判断题": 5}
+    df = spark.createDataFrame([("D. x A. 甲 B、乙；C)丙 E.丁",)], "t string")
+    assert [(o["key"], o["text"]) for o in df.select(Q.combined_options(F.col("t")).alias("o")).first()["o"]] == [("A", "甲"), ("B", "乙；"), ("C", "丙 E.丁")]
+    c = spark.createDataFrame([("S", "章", True), ("S", "s", True), ("S", "", False)], "s string, e string, m boolean")
+    assert [r["c"] for r in c.select(tabular.category(F.col("s"), F.col("e"), F.col("m"), F.lit("单选题")).alias("c")).collect()] == ["S · 章", "S", "单选题"]
