@@ -141,7 +141,7 @@ def source_format(name: Column, kind: Column) -> Column:
     ext = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^.\\/]+)\z", 1))
     kind = F.lower(F.coalesce(F.when(kind != "", kind), ext))
     #: Extensions of each family.
-    families = {"word": "doc docx docm dotx dotm rtf odt", "pdf": "pdf", "excel": "xls xlsx xlsm xltx xltm ods csv tsv", "text": "txt md markdown html htm", "qbank": "qbank buaiquiz json"}
+    families = {"word": "doc docx docm dotx dotm rtf odt", "pdf": "pdf", "excel": "xls xlsx xlsm xltx xltm ods csv tsv", "text": "txt md markdown html htm", "qbank": "qbank json"}
     out = F.lit("other")
     for family, exts in reversed(families.items()):
         out = F.when(kind.isin(*exts.split()) | ext.isin(*exts.split()), family).otherwise(out)
