@@ -155,7 +155,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, max_sample: int =
     index.counts[[r["cell"] for r in counted]] = [r["count"] for r in counted]
     full = spark.sparkContext.broadcast(index)
     deals = max(1, -(-n // _BLOCK))
-    wanted = index.share * n
+    wanted = max(index.share * n, 40.0 * (k + 1))  # a small index is searched whole
 
     def deal_of(cell, entry):
         """A large cell is spread over as many deals as it has half blocks."""
