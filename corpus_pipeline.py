@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm import packing, pii, quality, simhash, toxicity
+from lectern.llm import jaccard, packing, pii, quality, toxicity
 from lectern.llm.common import crc32_id, read, staged
 
 
@@ -26,9 +26,10 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate class the document with the smallest id stays; rows without an id all stay."""
+    """Of each class linked by a Jaccard similarity of 0.8 in five-word shingles the document with the smallest
+    id stays; rows without an id all stay."""
     known = docs.filter(F.col("doc_id").isNotNull())
-    heads = simhash.near_duplicates(known).select(F.col("component_id").alias("doc_id")).distinct()
+    heads = jaccard.near_duplicates(known, threshold=0.8, width=5).select(F.col("component_id").alias("doc_id")).distinct()
     kept = known.join(heads, "doc_id", "left_semi")
     one = Window.partitionBy("doc_id").orderBy(*[c for c in docs.columns if c != "doc_id"])  # an id that occurs twice
     kept = kept.withColumn("__row", F.row_number().over(one)).filter("__row = 1")

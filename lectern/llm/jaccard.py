@@ -1,0 +1,134 @@
+"""Near-duplicate classes by the Jaccard similarity of word shingles, exact at any threshold.
+
+Method.  A text becomes the set of the XXH64 values of its word shingles; equal sets are first
+reduced to one.  Sets of similarity ``threshold`` or more share a value among the first
+``n - ceil(threshold * n) + 1`` of each in any order that is the same for all (prefix filter), so
+sets meet in the values of their prefixes and no pair is missed.  The order has values that a sample
+finds common last; the sample sets the work, not the result.
+
+Every set is first compared with the least set of each bucket it is in, which joins most of a large
+class; then all pairs of a bucket that are not yet in one component are compared.  A comparison
+intersects the two whole sets.
+
+A radius of SimHash bits is no filter here: at similarity 0.8 fingerprints differ in about 10 of 64
+bits and often in 18, a distance at which unrelated ones are met by the thousand.
+
+Defined results: null text counts as empty; texts without words are alike; a text shorter than a
+shingle is one shingle; repeated doc_ids are judged row by row; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from math import ceil
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from lectern.llm.common import bounded_batches, staged, text_or_empty
+from lectern.llm.simhash import components, shingle_hashes
+
+#: documents that the order of the values is sampled from, and the common values it keeps
+_SAMPLE, _COMMON = 8_000, 100_000
+
+
+def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted different hashes of a text's shingles, as signed longs; never empty."""
+    blocks = list(shingle_hashes(text, width, seed))
+    return np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.zeros(1, np.int64)
+
+
+def prefix(values: np.ndarray, threshold: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The part of a set that it shares with every similar one: rare values first."""
+    often = np.zeros(len(values), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, values), len(common) - 1)
+        often = np.where(common[at] == values, counts[at], 0)
+    most = len(values) - ceil(threshold * len(values) - 1e-9) + 1
+    return values[np.lexsort((values, often))[:most]]
+
+
+def _common_values(docs: DataFrame, text_col: str, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values that several sampled texts have, sorted, with their counts."""
+    step = max(1, docs.count() // _SAMPLE)
+    sample = docs.select(text_or_empty(text_col).alias("text")).filter(F.rand(seed) * step < 1)
+
+    def run(batches):
+        for pdf in batches:
+            for text in pdf["text"]:
+                yield pd.DataFrame({"value": shingle_set(text, width, seed)})
+
+    counted = sample.mapInPandas(run, "value long").groupBy("value").agg(F.count("*").alias("n")).filter("n > 3")
+    rows = sorted((r["value"], r["n"]) for r in counted.orderBy(F.desc("n"), "value").limit(_COMMON).collect())
+    return np.array([v for v, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, seed: int) -> DataFrame:
+    """``(doc_id, key, n, prefix, members)``: equal sets have one key."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common_values(docs, text_col, width, seed))
+
+    def run(batches):
+        common, counts = shared.value
+        for pdf in batches:
+            sets = [shingle_set(t, width, seed) for t in pdf["text"]]
+            members = [s.tobytes() for s in sets]
+            keys = np.array([xxhash.xxh64_intdigest(m, seed) for m in members], dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "n": [len(s) for s in sets], "prefix": [prefix(s, threshold, common, counts) for s in sets], "members": members})
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return rows.mapInPandas(run, "doc_id long, key long, n long, prefix array<long>, members binary")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The ``pairs`` (u, v) whose whole sets are similar."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
+    whole = staged(sets.select("key", "members").join(needed, "key", "left_semi").groupBy("key").agg(F.first("members").alias("members")), "members")
+
+    def run(batches):
+        for pdf in batches:
+            near = []
+            for a, b in zip(pdf["a"], pdf["b"], strict=True):
+                x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+            yield pdf.loc[near, ["u", "v"]]
+
+    met = pairs.join(whole.select(F.col("key").alias("u"), F.col("members").alias("a")), "u").join(whole.select(F.col("key").alias("v"), F.col("members").alias("b")), "v")
+    return staged(met.select("u", "v", "a", "b").mapInPandas(run, "u long, v long"), "similar")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, seed: int = 42) -> DataFrame:
+    """``(doc_id, component_id)`` per document; ``component_id`` is the smallest doc_id reachable."""
+    bounded_batches(docs.sparkSession)
+    sets = staged(_sets(docs, id_col, text_col, width, threshold, seed), "sets")
+    distinct = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    distinct = staged(distinct, "distinct")
+    bucket = Window.partitionBy("value")
+    met = distinct.select("key", "n", F.explode("prefix").alias("value"))
+    met = met.select("*", F.min(F.struct("key", "n")).over(bucket).alias("first"), F.count("*").over(bucket).alias("size"))
+    met = staged(met.filter("size > 1").drop("size"), "buckets")
+
+    def fits(n, m):
+        return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
+
+    stars = met.filter((F.col("key") != F.col("first.key")) & fits(F.col("n"), F.col("first.n")))
+    stars = staged(stars.select(F.col("first.key").alias("u"), F.col("key").alias("v")).distinct(), "stars")
+    links = _confirmed(stars, sets, threshold)
+    roots = components(links)
+
+    # What is left: pairs of a bucket in different components, but for those compared already.
+    rooted = met.select("value", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    rooted = rooted.select("*", (F.min("root").over(bucket) < F.max("root").over(bucket)).alias("mixed")).filter("mixed").drop("mixed")
+    rooted = staged(rooted, "rooted")
+    a = rooted.select("value", F.col("key").alias("ka"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    b = rooted.select("value", F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+    rest = a.join(b, "value").filter((F.col("ka") < F.col("kb")) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb")))
+    rest = rest.select(F.col("ka").alias("u"), F.col("kb").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    more = _confirmed(staged(rest, "rest"), sets, threshold)
+    roots = components(links.unionByName(more))
+
+    rooted = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return sets.select("doc_id", "key").join(rooted.join(named, "root").select("key", "component_id"), "key").select("doc_id", "component_id")

@@ -36,23 +36,30 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BLOCK = 1 << 16
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    """The 64-bit SimHash of one text: ``width``-word shingles, a bit where over half the hashes have it."""
+def shingle_hashes(text: str | None, width: int = 4, seed: int = 42):
+    """The hashes of a text's ``width``-word shingles, block by block; a shorter text is one shingle."""
     # bytes.split() parts words at the space and at x09 to x0D, which is the rule wanted
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
-        return 0
+        return
     flat = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(flat, seed)
+        yield np.array([xxhash.xxh64_intdigest(flat, seed)], dtype="<u8")
+        return
     gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
     starts = np.concatenate(([0], gaps + 1))
     ends = np.concatenate((gaps, [len(flat)]))[width - 1 :]
-    total, n = np.zeros(64, np.int64), len(ends)
     digest = xxhash.xxh64_intdigest
-    for k in range(0, n, _BLOCK):
-        hashes = [digest(flat[a:b], seed) for a, b in zip(starts[k : k + _BLOCK].tolist(), ends[k : k + _BLOCK].tolist(), strict=False)]
-        total += np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for k in range(0, len(ends), _BLOCK):
+        yield np.array([digest(flat[a:b], seed) for a, b in zip(starts[k : k + _BLOCK].tolist(), ends[k : k + _BLOCK].tolist(), strict=False)], dtype="<u8")
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    """The 64-bit SimHash of one text: ``width``-word shingles, a bit where over half the hashes have it."""
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in shingle_hashes(text, width, seed):
+        total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return sum(1 << i for i in np.flatnonzero(2 * total > n).tolist())
 
 

@@ -143,6 +143,40 @@ def test_near_duplicates(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def five_words(text):
+    words = text.split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_pipeline_drops_planted_copies(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    passage = [rnd.choice(words) for _ in range(40)]  # many texts share it, and are no copies for that
+    texts = []
+    for k in range(60):
+        base = [rnd.choice(words) for _ in range(rnd.randint(60, 900))] + (passage if k % 2 else [])
+        texts.append(" ".join(base))
+        for edits in (1, 2, 4, 7, 11):
+            copy = list(base)
+            for at in rnd.sample(range(len(copy)), max(1, edits * len(copy) // 500)):
+                copy[at] = rnd.choice(words)
+            texts.append(" ".join(copy))
+    rnd.shuffle(texts)
+    sets = [five_words(t) for t in texts]
+    near = [(i, j) for i, j in combinations(range(len(sets)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(len(sets[i] & sets[j]) < 0.95 * len(sets[i] | sets[j]) for i, j in near) > 100
+    root = list(range(len(texts)))
+    for i, j in near:
+        a, b = root[i], root[j]
+        root = [min(a, b) if r in (a, b) else r for r in root]
+    rows = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)] + [(None, texts[0], "en", "a")], SCHEMA).repartition(3)
+    kept = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, rows, "").collect()]
+    assert sorted(i for i in kept if i is not None) == sorted(set(root))
+    assert kept.count(None) == 1
+
+
 # --- PII ------------------------------------------------------------------------------------------
 PATTERNS = (
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True),
