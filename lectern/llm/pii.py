@@ -4,9 +4,10 @@ Method.  Four base patterns (e-mail, IP address, payment card, phone) find the s
 text.  Each seed induces lexical patterns: the chunk of text before it, the chunk after it, and the
 key it is glued to (``key=`` or ``key:``).  Every other chunk that holds a figure or an ``@`` is a
 candidate with patterns of its own.  Patterns and instances form a graph that Spark scores in
-``rounds`` iterations: a pattern's confidence is the summed belief in its distinct instances over
-all occurrences of its context in the corpus (so an ordinary word never becomes a pattern), and an
-instance's belief is the noisy-or of its patterns' confidences.  Patterns seen with at least
+``rounds`` iterations: a pattern's confidence is the belief in its instances, summed over their
+occurrences, over all occurrences of its context in the corpus (so an ordinary word never becomes a
+pattern, and copies of a row count on both sides), lowered by one part in ``own + 1`` where it has
+``own`` different instances; an instance's belief is the noisy-or of its patterns' confidences.  Patterns seen with at least
 ``min_seeds`` different seeds and a confidence of ``threshold`` discover identifiers that the base
 patterns miss; those get the kind ``like_<kind>`` and never touch a base span.
 
@@ -153,26 +154,29 @@ def learn_patterns(docs: DataFrame, found: DataFrame, text_col: str = "text", mi
     seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("seeds")).filter(F.col("seeds") >= min_seeds)
     seeds = staged(seeds, "seeds")
     words = seeds.filter("pattern NOT LIKE '=%'").select(F.substring("pattern", 2, 64).alias("word")).distinct()
-    chunk = docs.select(F.explode(F.split(F.lower(text_or_empty(text_col)), r"[ \t\n\x0B\f\r]+")).alias("word"))
+    chunk = docs.select(F.explode(F.split(F.lower(text_or_empty(text_col)), r"[ \t\n\x0B\f\r]+")).alias("word")).select(F.substring("word", 1, 64).alias("word"))
     if words.count() <= _WORDS:
         chunk = chunk.join(F.broadcast(words), "word", "left_semi")
     counts = chunk.groupBy("word").agg(F.count("*").alias("n"))
     near = edges.join(seeds.select("pattern").distinct(), "pattern", "left_semi")
-    own = near.groupBy("pattern").agg(F.countDistinct("value").alias("own"))
+    near = near.withColumnRenamed("kind", "own_kind").groupBy("pattern", "own_kind", "value").agg(F.count("*").alias("times"))
+    near = staged(near, "near")
+    own = near.groupBy("pattern").agg(F.countDistinct("value").alias("own"), F.sum("times").alias("seen"))
     totals = (
         own.withColumn("word", F.when(~F.col("pattern").startswith("="), F.substring("pattern", 2, 64)))
         .join(counts, "word", "left")
-        .select("pattern", F.greatest("own", F.coalesce("n", F.lit(0))).alias("total"))
+        .select("pattern", "own", F.greatest("seen", F.coalesce("n", F.lit(0))).alias("total"))
     )
     # From here on only patterns with seeds are left, and their instances.
     graph = staged(
-        near.withColumnRenamed("kind", "own_kind").distinct().join(seeds, "pattern").join(totals, "pattern"),
+        near.join(seeds, "pattern").join(totals, "pattern"),
         "graph",
     )
     belief = F.when(F.col("own_kind") == F.col("kind"), 1.0).when(F.col("own_kind") >= 0, 0.0)
     scored = graph.withColumn("belief", F.coalesce(belief, F.lit(0.0)))
     for k in range(rounds):
-        confidence = scored.groupBy("pattern", "kind").agg((F.sum("belief") / (F.max("total") + 1)).alias("confidence"))
+        share = F.sum(F.col("belief") * F.col("times")) / F.max("total")
+        confidence = scored.groupBy("pattern", "kind").agg((share * F.max("own") / (F.max("own") + 1)).alias("confidence"))
         if k + 1 == rounds:
             return confidence.filter(F.col("confidence") >= threshold)
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))

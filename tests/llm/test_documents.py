@@ -211,6 +211,21 @@ def test_patterns_discover_unseen_identifiers(spark, docs, empty):
     assert hidden.filter("doc_id = 5").first()["text"] is None
 
 
+def test_copies_of_rows_leave_the_spans(spark):
+    rows = [(i, f"some text {i} contact: user{i}@mail.example.com and the rest") for i in range(40)] + [(100 + i, f"write to contact: user{i}(at)host{i}.example now") for i in range(5)]
+    rows += [(200 + i, f"the value the number {i}{i}{i}{i}5 of the list") for i in range(20)]
+    rows += [(300 + i, f"call desk +1 (555) 100-200{i} or desk {i}xyz{i}") for i in range(4)]  # half of the word's instances
+
+    def spans(copies):
+        found = pii.find(spark.createDataFrame(rows * copies, "doc_id long, text string")).collect()
+        return {(r["doc_id"], str(r["spans"])) for r in found}
+
+    once = spans(1)
+    assert sum("like_email" in s for _, s in once) == 5
+    assert spans(2) == once
+    assert spans(50) == once
+
+
 # --- classifiers ----------------------------------------------------------------------------------
 def labelled(spark, bad, label, n=240):
     rnd = random.Random(11)
