@@ -189,8 +189,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lear
     """``(doc_id, base, spans)`` per row: arrays of (kind, start, end) in code points, in order of kind
     as listed, then start; ``spans`` also has what the learned patterns discovered."""
     rows = staged(_read_spans(docs, id_col, text_col), "spans")
+    found = rows.filter(F.size("found") > 0).select(F.explode("found").alias("f")).select("f.*")
+    return _named_spans(rows, staged(learn_patterns(docs, found, text_col, **learning), "patterns"))
+
+
+def _named_spans(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``(doc_id, base, spans)`` for each of ``rows`` (of :func:`_read_spans`), by a join with the patterns."""
     found = rows.filter(F.size("found") > 0).select("rid", F.explode("found").alias("f")).select("rid", "f.*")
-    patterns = staged(learn_patterns(docs, found, text_col, **learning), "patterns")
     candidates = found.filter("kind = -1").select("rid", "start", "end", F.explode("patterns").alias("pattern"))
     best = Window.partitionBy("rid", "start", "end").orderBy(F.desc("confidence"), "kind")
     hits = candidates.join(patterns, "pattern").withColumn("rank", F.row_number().over(best)).filter("rank = 1")
@@ -215,13 +220,16 @@ def mask(text: str, spans) -> str:
     return "".join(out) + text[at:]
 
 
-def masked(docs: DataFrame, text_col: str = "text", **learning) -> DataFrame:
-    """``docs`` with every found identifier in ``text_col`` replaced by its kind; rows and other columns stay."""
+def masked(docs: DataFrame, text_col: str = "text", most: int = _WORDS, **learning) -> DataFrame:
+    """``docs`` with every found identifier in ``text_col`` replaced by its kind; rows and other columns stay.
+
+    Up to ``most`` patterns go to every executor; more are joined by shuffle, with the same result.
+    """
     rows = staged(_read_spans(docs, "doc_id", text_col), "spans")
     patterns = learn_patterns(docs, rows.filter(F.size("found") > 0).select(F.explode("found").alias("f")).select("f.*"), text_col, **learning)
     patterns = staged(patterns, "patterns")
-    if patterns.count() > _WORDS:
-        raise ValueError("more patterns than a task should hold: raise min_seeds or threshold")
+    if patterns.count() > most:
+        return _masked_by_join(docs, patterns, text_col)
     kept = {r["pattern"]: (r["confidence"], -r["kind"]) for r in patterns.orderBy("confidence", F.desc("kind")).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(kept)
 
@@ -240,3 +248,16 @@ def masked(docs: DataFrame, text_col: str = "text", **learning) -> DataFrame:
         return pd.Series(out)
 
     return docs.withColumn(text_col, F.when(F.col(text_col).isNotNull(), hide(text_or_empty(text_col))))
+
+
+def _masked_by_join(docs: DataFrame, patterns: DataFrame, text_col: str) -> DataFrame:
+    """:func:`masked` for any number of patterns: spans by row, joined back to the texts."""
+    numbered = staged(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    spans = _named_spans(staged(_read_spans(numbered, "__row", text_col), "spans"), patterns)
+
+    @F.pandas_udf("string")
+    def hide(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([mask(text, found) for text, found in zip(texts, spans, strict=True)])
+
+    joined = numbered.join(spans.select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans")), "__row")
+    return joined.withColumn(text_col, F.when(F.col(text_col).isNotNull(), hide(text_or_empty(text_col), F.col("__spans")))).select(docs.columns)

@@ -226,6 +226,17 @@ def test_copies_of_rows_leave_the_spans(spark):
     assert spans(50) == once
 
 
+def test_masking_with_more_patterns_than_the_bound(spark, docs):
+    rows = [(i, f"some text {i} contact: user{i}@mail.example.com and the rest", "en", "a") for i in range(40)]
+    rows += [(100 + i, f"write to contact: user{i}(at)host{i}.example now", "en", "a") for i in range(5)]
+    table = docs.unionByName(spark.createDataFrame(rows, SCHEMA).selectExpr("*", "0.5D AS score", "'clash' AS ids"))
+    here, joined = pii.masked(table), pii.masked(table, most=0)
+    assert joined.columns == here.columns == table.columns
+    want = sorted(map(repr, here.collect()))
+    assert sum("[LIKE_EMAIL]" in r for r in want) == 5
+    assert sorted(map(repr, joined.collect())) == want
+
+
 # --- classifiers ----------------------------------------------------------------------------------
 def labelled(spark, bad, label, n=240):
     rnd = random.Random(11)
