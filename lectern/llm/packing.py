@@ -3,12 +3,13 @@
 Method.  A document's ids (with a closing separator) are routed by length: whole windows of the
 longest context are cut off a long document at once, and what remains of it, like every shorter
 document, goes to the tier of the smallest context it fits (``tiers``, for instance 128, 256, 512,
-1024).  When enough pieces wait, windows of the longest context are built best-fit from the longest
-tier down, so that the gaps of long windows are filled from shorter tiers; only what no waiting
-piece fits is closed by cutting one.  A window that is full needs no padding.  At the end of a
-partition the few ids that are left fill sequences whose lengths are powers of two, which are not
-padded either.  Full windows are dealt into step groups of ``group`` windows with near-equal
-attention cost (sum of squared piece lengths).
+1024).  When enough pieces wait, each tier is packed into windows of its own size, the longest tier
+first: a window starts with the longest piece of its tier and its gap is filled best-fit, which
+takes pieces of shorter tiers; only what no waiting piece fits is closed by cutting one, whose rest
+is routed anew.  So a short document trains in a short context, or fills a long one.  Windows are
+full, and tiers that are powers of two need no padding; at the end of a partition the few ids that
+are left fill sequences whose lengths are powers of two as well.  Windows of all sizes are dealt
+into step groups of near-equal tokens and attention cost (sum of squared piece lengths).
 
 Everything happens where a document is read: no shuffle, and a partition holds one batch, the
 waiting pieces (at most ``waiting`` tokens and one document) and the open windows.  A sequence's id
@@ -24,8 +25,10 @@ from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left, bisect_right, insort
 from collections import deque
 from collections.abc import Callable, Iterator
+from heapq import heapreplace
 
 import numpy as np
 import pandas as pd
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from lectern.llm.common import bounded_batches, text_or_empty
+from lectern.llm.common import in_pandas, text_or_empty
 
 #: Characters on whose classes the two libraries' pattern engines surely agree.
 _COMMON = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xbb\xbf-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20c0]")
@@ -141,104 +144,112 @@ def vocabulary(name: str = "byte_bpe_50k.json", path: str | None = None) -> Call
 
 
 class Packer:
-    """Packs pieces of one partition; ``take`` yields finished windows as lists of pieces."""
+    """Packs pieces of one partition.  A piece is (doc, start, ids, tokens of the document, tier it was routed to).
 
-    def __init__(self, tiers: tuple[int, ...] = (128, 256, 512, 1024), waiting: int = 1 << 20, group: int = 8):
-        self.tiers, self.longest, self.group = tiers, tiers[-1], group
-        self.waiting, self.held = waiting, 0
-        self.pools: dict[int, list] = {}  # by exact length: pieces of a tier, first come first served
-        self.late: list[list] = []
+    ``add`` and ``end`` yield windows as (size, pieces); all windows but the last few have the size of a tier.
+    """
+
+    def __init__(self, tiers: tuple[int, ...] = (128, 256, 512, 1024), waiting: int = 1 << 20):
+        self.tiers, self.longest, self.waiting = tuple(sorted(set(tiers))), max(tiers), waiting
+        self.pools: dict[int, deque] = {}  # by exact length, first come first served
+        self.lengths: list[int] = []  # of the pools, ascending: a tier is a run of this list
+        self.held = 0
+
+    def tier(self, n: int) -> int:
+        """The smallest context that holds ``n`` tokens."""
+        return self.tiers[min(bisect_left(self.tiers, n), len(self.tiers) - 1)]
 
-    def add(self, doc, ids: bytes) -> Iterator[list]:
-        """A piece is (doc, start, ids of the piece, tokens of the document)."""
+    def add(self, doc, ids: bytes) -> Iterator[tuple[int, list]]:
         n, w = len(ids) // 4, self.longest
-        for k in range(0, n - n % w, w):
-            yield [(doc, k, ids[4 * k : 4 * (k + w)], n)]
-        if n % w:
-            self._put((doc, n - n % w, ids[4 * (n - n % w) :], n))
+        whole = n - n % w
+        for k in range(0, whole, w):
+            yield w, [(doc, k, ids[4 * k : 4 * (k + w)], n, w)]
+        if n > whole:
+            self._route((doc, whole, ids[4 * whole :], n))
         if self.held >= self.waiting:
-            yield from self.drain(self.held // (4 * w) * 3)
+            yield from self.drain(0.75)
 
-    def _put(self, piece) -> None:
+    def _route(self, piece: tuple) -> None:
+        """Puts (doc, start, ids, tokens) in the pool of its length; its tier is the one it fits."""
         n = len(piece[2]) // 4
-        self.pools.setdefault(n, deque()).append(piece)
+        pool = self.pools.get(n)
+        if pool is None:
+            pool = self.pools[n] = deque()
+            insort(self.lengths, n)
+        pool.append((*piece, self.tier(n)))
         self.held += n
 
-    def _get(self, n: int):
+    def _take(self, n: int) -> tuple:
         pool = self.pools[n]
         piece = pool.popleft()
         if not pool:
             del self.pools[n]
+            del self.lengths[bisect_left(self.lengths, n)]
         self.held -= n
         return piece
 
-    def _fits(self, gap: int, lengths: list[int]) -> int | None:
-        """The longest waiting length within the gap (the tiers are runs of this sorted list)."""
-        from bisect import bisect_right
-
-        k = bisect_right(lengths, gap)
-        return lengths[k - 1] if k else None
-
-    def drain(self, windows: int) -> Iterator[list]:
-        """Build full windows while there are ids for them, ``windows`` at most."""
-        lengths = sorted(self.pools)
-        w = self.longest
-        while windows > 0 and self.held >= w:
-            window, gap = [], w
-            while gap:
-                n = self._fits(gap, lengths)
-                if n is None:  # no waiting piece fits: close the window with a cut of the shortest
-                    n = lengths[0]
-                    doc, start, ids, total = self._get(n)
-                    window.append((doc, start, ids[: 4 * gap], total))
-                    self._put(rest := (doc, start + gap, ids[4 * gap :], total))
-                    for x, there in ((n, n in self.pools), (len(rest[2]) // 4, True)):
-                        self._note(lengths, x, there)
-                    gap = 0
-                else:
-                    window.append(self._get(n))
-                    self._note(lengths, n, n in self.pools)
-                    gap -= n
-            windows -= 1
-            yield window
-
-    @staticmethod
-    def _note(lengths: list[int], n: int, there: bool) -> None:
-        from bisect import bisect_left
-
-        k = bisect_left(lengths, n)
-        found = k < len(lengths) and lengths[k] == n
-        if there and not found:
-            lengths.insert(k, n)
-        elif not there and found:
-            del lengths[k]
-
-    def end(self) -> Iterator[list]:
-        """What is left: full windows, then sequences whose lengths are powers of two."""
-        yield from self.drain(1 << 62)
-        rest = deque(self._get(n) for n in sorted(self.pools, reverse=True) for _ in range(len(self.pools[n])))
+    def _window(self, size: int) -> list:
+        """A full window of ``size``: the longest piece of its tier, then what fits best from there down,
+        which comes from shorter tiers; what no piece fits is closed by a cut of the shortest one."""
+        window, gap = [], size
+        while gap:
+            k = bisect_right(self.lengths, gap)
+            if k:
+                piece = self._take(self.lengths[k - 1])
+                gap -= len(piece[2]) // 4
+            else:
+                doc, start, ids, total, tier = self._take(self.lengths[0])
+                piece = (doc, start, ids[: 4 * gap], total, tier)
+                self._route((doc, start + gap, ids[4 * gap :], total))
+                gap = 0
+            window.append(piece)
+        return window
+
+    def drain(self, share: float = 1.0) -> Iterator[tuple[int, list]]:
+        """Packs ``share`` of what waits in each tier, from the longest down: long windows take their
+        gaps' worth from the shorter tiers first, then those fill windows of their own."""
+        for low, size in reversed(list(zip((0, *self.tiers), self.tiers, strict=False))):
+            waiting = sum(len(self.pools[n]) for n in self.lengths if low < n <= size)
+            least = (1 - share) * waiting
+            while self.held >= size and (share == 1 or waiting > least):
+                k = bisect_right(self.lengths, size)
+                if not k or self.lengths[k - 1] <= low:
+                    break
+                window = self._window(size)
+                waiting -= sum(p[4] == size for p in window)
+                yield size, window
+
+    def end(self) -> Iterator[tuple[int, list]]:
+        """What is left: windows of the tiers while there are ids for them, then sequences whose lengths are powers of two."""
+        yield from self.drain()
+        rest = deque(self._take(n) for n in self.lengths[::-1] for _ in range(len(self.pools[n])))
         left = sum(len(p[2]) // 4 for p in rest)
         while left:
-            size = gap = 1 << (left.bit_length() - 1)
+            size = gap = min(1 << (left.bit_length() - 1), self.longest)
             window = []
             while gap:
-                doc, start, ids, total = rest.popleft()
+                doc, start, ids, total, tier = rest.popleft()
                 n = min(gap, len(ids) // 4)
-                window.append((doc, start, ids[: 4 * n], total))
+                window.append((doc, start, ids[: 4 * n], total, tier))
                 if 4 * n < len(ids):
-                    rest.appendleft((doc, start + n, ids[4 * n :], total))
+                    rest.appendleft((doc, start + n, ids[4 * n :], total, tier))
                 gap -= n
             left -= size
-            yield window
+            yield size, window
 
 
-def step_groups(windows: list[list], group: int) -> list[int]:
-    """A group number per window: groups of ``group`` windows with near-equal sums of squared piece lengths."""
-    cost = [sum((len(p[2]) // 4) ** 2 for p in w) for w in windows]
-    n = -(-len(windows) // group)
+def step_groups(windows: list[tuple[int, list]], tokens: int) -> list[int]:
+    """A group number per window, for groups of about ``tokens``: windows of all sizes are dealt out, longest and
+    costliest first, each to the group with the fewest tokens and of those the least attention cost (sum of
+    squared piece lengths), so that steps weigh alike whatever contexts they mix."""
+    cost = [sum((len(p[2]) // 4) ** 2 for p in pieces) for _, pieces in windows]
+    n = max(1, round(sum(size for size, _ in windows) / tokens))
+    heap = [(0, 0, g) for g in range(n)]
     out = [0] * len(windows)
-    for k, i in enumerate(sorted(range(len(windows)), key=lambda i: -cost[i])):  # there and back again
-        out[i] = k % n if k // n % 2 == 0 else n - 1 - k % n
+    for k in sorted(range(len(windows)), key=lambda k: (-windows[k][0], -cost[k])):
+        used, paid, g = heap[0]
+        heapreplace(heap, (used + windows[k][0], paid + cost[k], g))
+        out[k] = g
     return out
 
 
@@ -253,8 +264,8 @@ def _encoded(pdf: pd.DataFrame, tokens, chars: int = 1 << 23):
             first, size = k + 1, 0
 
 
-#: Windows that are dealt into step groups together.
-_DEALT = 512
+#: Tokens of windows that are dealt into step groups together.
+_DEALT = 1 << 19
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long, tier long, step_group long"
 
 
@@ -270,40 +281,46 @@ def pack(
     """One row per piece: where its ids come from (``doc_id, start, length``), the ids as packed
     little-endian unsigned 32-bit integers, and where they go (``sequence_id, offset``).
 
-    ``tier`` is the context that the document's remainder was routed to, ``step_group`` the group of
-    sequences that train in one step.
+    ``tier`` is the context that the piece was routed to by its length, ``sequence_tokens`` the size of the
+    window it went to (larger where it fills a gap), ``step_group`` the sequences that train in one
+    step: some ``group`` times the longest context in tokens.
     """
     make = make_tokens or vocabulary()
-    bounded_batches(docs.sparkSession)
     close = array("I", [separator]).tobytes()
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def run(batches):
-        tokens, packer = make(), Packer(tiers, group=group)
+        tokens, packer = make(), Packer(tiers)
         base = TaskContext.get().partitionId() << 36
-        count, held = 0, []
-
-        def rows(windows):
-            nonlocal count
-            groups = step_groups(windows, group)
-            first, out = count, []
-            for window, g in zip(windows, groups, strict=True):
-                size, at = sum(len(p[2]) // 4 for p in window), 0
-                for doc, start, ids, total in window:
+        count, held, size_held = 0, [], 0
+
+        def rows():
+            nonlocal count, held, size_held
+            out = []
+            for (size, pieces), g in zip(held, step_groups(held, group * packer.longest), strict=True):
+                at = 0
+                for doc, start, ids, total, tier in pieces:
                     n = len(ids) // 4
-                    tier = next((t for t in tiers if total <= t), tiers[-1])
-                    out.append((doc, start, n, ids, total, base + count, at, size, tier, base + first + g))
+                    out.append((doc, start, n, ids, total, base + count, at, size, tier, g))
                     at += n
                 count += 1
-            return pd.DataFrame(out, columns=[x.split()[0] for x in SCHEMA.split(", ")])
+            first = base + count - len(held)  # a group's number is that of the first sequence it could have
+            held, size_held = [], 0
+            return pd.DataFrame(out, columns=names).assign(step_group=lambda p: p["step_group"] + first)
 
         for pdf in batches:
             for doc, ids in _encoded(pdf, tokens):
-                held += packer.add(None if doc != doc else doc, ids + close)
-                if len(held) >= _DEALT:
-                    yield rows(held)
-                    held = []
-        held += packer.end()
-        for k in range(0, len(held), _DEALT):
-            yield rows(held[k : k + _DEALT])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, SCHEMA)
+                for window in packer.add(doc, ids + close):
+                    held.append(window)
+                    size_held += window[0]
+                    if size_held >= _DEALT:
+                        yield rows()
+        for window in packer.end():
+            held.append(window)
+            size_held += window[0]
+            if size_held >= _DEALT:
+                yield rows()
+        if held:
+            yield rows()
+
+    return in_pandas(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, SCHEMA)
