@@ -15,20 +15,22 @@ Texts are read once for seeds and candidates (written to the shared folder, with
 for the counts of context words.  Nothing is collected.
 
 Defined results: null text counts as empty and has no spans; repeated doc_ids are judged row by row;
-of two kinds with equal belief the one listed first wins; extra columns are ignored.
+of two kinds with equal belief the one listed first wins; words of any length count whole (very long
+ones by their digest); extra columns are ignored by :func:`find` and kept by :func:`masked`.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_right
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from lectern.llm.common import bounded_batches, staged, text_or_empty
+from lectern.llm.common import in_pandas, staged, text_or_empty, unstage
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,7 +41,23 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CHUNK = re.compile(r"[^ \t\n\x0b\f\r]+")
 _FIGURE = re.compile(r"[0-9@]")
-_KEY = re.compile(r"([^=:]{1,40}[=:])[\"']?(?=[^/\"'])")
+_KEY = re.compile(r"([^=:]+[=:])[\"']?(?=[^/\"'])")
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWERED = str.maketrans(_UPPER, _LOWER)
+#: Words of more characters than this stand in patterns and values by their digest, so that a row stays small.
+_PLAIN = 64
+
+
+def _name(word: str) -> str:
+    """A word in patterns: A-Z in lower case, a very long one by its digest."""
+    word = word.lower() if word.isascii() else word.translate(_LOWERED)
+    return word if len(word) <= _PLAIN else "\0" + hashlib.sha256(word.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _named(word: Column) -> Column:
+    """:func:`_name` as an expression."""
+    low = F.translate(word, _UPPER, _LOWER)
+    return F.when(F.length(low) <= _PLAIN, low).otherwise(F.concat(F.lit("\0"), F.sha2(low.cast("binary"), 256)))
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -94,16 +112,16 @@ def _instances(text: str, spans: list[tuple[int, int, int]]):
     out = []
 
     def word(k: int) -> str | None:
-        return text[chunks[k][0] : chunks[k][1]].lower()[:64] if 0 <= k < len(chunks) else None
+        return _name(text[chunks[k][0] : chunks[k][1]]) if 0 <= k < len(chunks) else None
 
     def add(kind, a, b, first, last, key):
-        patterns = [side + w for side, w in (("<", word(first - 1)), (">", word(last + 1)), ("=", key)) if w]
-        out.append((kind, a, b, text[a:b].lower()[:128], patterns))
+        patterns = [side + w for side, w in (("<", word(first - 1)), (">", word(last + 1)), ("=", key and _name(key))) if w]
+        out.append((kind, a, b, _name(text[a:b]), patterns))
 
     for kind, a, b in spans:
         first, last = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
         used.update(range(first, last + 1))
-        key = text[chunks[first][0] : a].lower()[-41:] if chunks[first][0] < a and text[a - 1] in "=:" else None
+        key = text[chunks[first][0] : a] if chunks[first][0] < a and text[a - 1] in "=:" else None
         add(kind, a, b, first, last, key)
     for k, (a, b) in enumerate(chunks):
         if k not in used and _FIGURE.search(text, a, b):
@@ -113,7 +131,7 @@ def _instances(text: str, spans: list[tuple[int, int, int]]):
             while end > start and text[end - 1] in ".,;:!?)]}\"'":
                 end -= 1
             if end - start >= 5:
-                add(-1, start, end, k, k, m[1].lower() if m else None)
+                add(-1, start, end, k, k, m[1] if m else None)
     return out
 
 
@@ -124,7 +142,6 @@ _SCHEMA = (
 
 
 def _read_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    bounded_batches(docs.sparkSession)
 
     def run(batches):
         rid = TaskContext.get().partitionId() << 40
@@ -138,7 +155,7 @@ def _read_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pd.DataFrame({"rid": range(rid, rid + len(pdf)), "doc_id": pdf["doc_id"], "base": base, "found": found})
             rid += len(pdf)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, _SCHEMA)
+    return in_pandas(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, _SCHEMA)
 
 
 #: Context words up to this count are sent to every executor (some MB); beyond it they are joined by shuffle.
@@ -146,15 +163,16 @@ _WORDS = 100_000
 
 
 def learn_patterns(docs: DataFrame, found: DataFrame, text_col: str = "text", min_seeds: int = 3, threshold: float = 0.7, rounds: int = 3) -> DataFrame:
-    """``(pattern, kind, confidence)`` of the patterns that may discover identifiers.
+    """``(pattern, kind, confidence)`` of the patterns that may discover identifiers, as a staged table.
 
     ``found`` has rows (kind, value, patterns) of seeds and candidates (kind -1).
     """
     edges = found.select("kind", "value", F.explode("patterns").alias("pattern"))
     seeds = edges.filter("kind >= 0").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("seeds")).filter(F.col("seeds") >= min_seeds)
     seeds = staged(seeds, "seeds")
-    words = seeds.filter("pattern NOT LIKE '=%'").select(F.substring("pattern", 2, 64).alias("word")).distinct()
-    chunk = docs.select(F.explode(F.split(F.lower(text_or_empty(text_col)), r"[ \t\n\x0B\f\r]+")).alias("word")).select(F.substring("word", 1, 64).alias("word"))
+    own_word = F.when(~F.col("pattern").startswith("="), F.expr("substring(pattern, 2)"))
+    words = seeds.select(own_word.alias("word")).filter("word IS NOT NULL").distinct()
+    chunk = docs.select(F.explode(F.split(text_or_empty(text_col), r"[ \t\n\x0B\f\r]+")).alias("word")).select(_named(F.col("word")).alias("word"))
     if words.count() <= _WORDS:
         chunk = chunk.join(F.broadcast(words), "word", "left_semi")
     counts = chunk.groupBy("word").agg(F.count("*").alias("n"))
@@ -163,7 +181,7 @@ def learn_patterns(docs: DataFrame, found: DataFrame, text_col: str = "text", mi
     near = staged(near, "near")
     own = near.groupBy("pattern").agg(F.countDistinct("value").alias("own"), F.sum("times").alias("seen"))
     totals = (
-        own.withColumn("word", F.when(~F.col("pattern").startswith("="), F.substring("pattern", 2, 64)))
+        own.withColumn("word", own_word)
         .join(counts, "word", "left")
         .select("pattern", "own", F.greatest("seen", F.coalesce("n", F.lit(0))).alias("total"))
     )
@@ -178,7 +196,9 @@ def learn_patterns(docs: DataFrame, found: DataFrame, text_col: str = "text", mi
         share = F.sum(F.col("belief") * F.col("times")) / F.max("total")
         confidence = scored.groupBy("pattern", "kind").agg((share * F.max("own") / (F.max("own") + 1)).alias("confidence"))
         if k + 1 == rounds:
-            return confidence.filter(F.col("confidence") >= threshold)
+            out = staged(confidence.filter(F.col("confidence") >= threshold), "patterns")
+            unstage(seeds, near, graph)
+            return out
         doubt = F.exp(F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))))
         held = graph.join(confidence, ["pattern", "kind"]).groupBy("value", "kind").agg((1 - doubt).alias("noisy"))
         scored = graph.join(held, ["value", "kind"]).withColumn("belief", F.coalesce(belief, F.col("noisy")))
@@ -190,7 +210,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lear
     as listed, then start; ``spans`` also has what the learned patterns discovered."""
     rows = staged(_read_spans(docs, id_col, text_col), "spans")
     found = rows.filter(F.size("found") > 0).select(F.explode("found").alias("f")).select("f.*")
-    return _named_spans(rows, staged(learn_patterns(docs, found, text_col, **learning), "patterns"))
+    return _named_spans(rows, learn_patterns(docs, found, text_col, **learning))
 
 
 def _named_spans(rows: DataFrame, patterns: DataFrame) -> DataFrame:
@@ -227,10 +247,11 @@ def masked(docs: DataFrame, text_col: str = "text", most: int = _WORDS, **learni
     """
     rows = staged(_read_spans(docs, "doc_id", text_col), "spans")
     patterns = learn_patterns(docs, rows.filter(F.size("found") > 0).select(F.explode("found").alias("f")).select("f.*"), text_col, **learning)
-    patterns = staged(patterns, "patterns")
+    unstage(rows)
     if patterns.count() > most:
         return _masked_by_join(docs, patterns, text_col)
     kept = {r["pattern"]: (r["confidence"], -r["kind"]) for r in patterns.orderBy("confidence", F.desc("kind")).collect()}
+    unstage(patterns)
     shared = docs.sparkSession.sparkContext.broadcast(kept)
 
     @F.pandas_udf("string")
