@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_batches, text_or_empty
+from lectern.llm.common import in_pandas, text_or_empty
 
 WIDTH = 64
 
@@ -218,30 +218,75 @@ def encode(payload: bytes, kind: str) -> bytes:
     raise ValueError(kind)
 
 
+def _unfiltered(lines: bytes, stride: int, step: int) -> bytes | None:
+    """PNG scan lines without their filters; ``step`` is the bytes of a pixel."""
+    out, above = [], bytearray(stride)
+    for k in range(0, len(lines), stride + 1):
+        kind, line = lines[k], bytearray(lines[k + 1 : k + 1 + stride])
+        if kind > 4:
+            return None
+        for i in range(stride) if kind else ():
+            left, up, corner = line[i - step] if i >= step else 0, above[i], above[i - step] if i >= step else 0
+            if kind == 4:
+                p = left + up - corner
+                near = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+            line[i] = line[i] + (left, up, (left + up) // 2, near if kind == 4 else 0)[kind - 1] & 255
+        out.append(bytes(line))
+        above = line
+    return b"".join(out)
+
+
+def _png_samples(d: bytes) -> bytes | None:
+    k, body, head = 8, [], None
+    while k + 12 <= len(d):
+        n, name = struct.unpack_from(">I4s", d, k)
+        if name == b"IHDR":
+            head = struct.unpack_from(">IIBBBBB", d, k + 8)
+        body += [d[k + 8 : k + 8 + n]] * (name == b"IDAT")
+        k += 12 + n
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(head[3])
+    if head[2] != 8 or not channels or head[6]:  # other depths, palettes and interlacing are no plain samples
+        return None
+    try:
+        lines = zlib.decompress(b"".join(body))
+    except zlib.error:
+        return None
+    stride = head[0] * channels
+    return _unfiltered(lines, stride, channels) if len(lines) == head[1] * (stride + 1) else None
+
+
+def _bmp_samples(d: bytes) -> bytes | None:
+    at, (size, width, height, _, bits, packed) = struct.unpack_from("<I", d, 10)[0], struct.unpack_from("<IiiHHI", d, 14)
+    grey = bytes(b for v in range(256) for b in (v, v, v, 0))
+    if bits != 8 or packed or d[14 + size : at] != grey:  # an index is a sample only under a grey palette
+        return None
+    stride = -(-width // 4) * 4
+    rows = [d[k : k + width] for k in range(at, at + stride * abs(height), stride)]
+    return b"".join(rows if height < 0 else rows[::-1])
+
+
 def decode(data: bytes, kind: str, at: int, size: int) -> bytes | None:
-    """The samples of a confirmed file of the stored kinds; None for others."""
+    """The 8-bit samples of a confirmed file, top row and first channel first; None for kinds, depths and codings that have none."""
     d = data[at : at + size]
     if kind == "audio/wav":
-        k = 12
+        k, plain = 12, False
         while k + 8 <= len(d):
             name, n = struct.unpack_from("<4sI", d, k)
+            if name == b"fmt ":
+                plain = struct.unpack_from("<H12xH", d, k + 8) == (1, 8)
             if name == b"data":
-                return d[k + 8 : k + 8 + n]
+                return d[k + 8 : k + 8 + n] if plain else None
             k += 8 + n + n % 2
     elif kind == "audio/basic":
-        return d[struct.unpack_from(">I", d, 4)[0] :]
+        start, n, coding = struct.unpack_from(">III", d, 4)
+        return d[start : start + n] if coding == 2 else None
     elif kind == "image/x-portable-graymap":
-        return d[_PGM.match(d).end() :]
+        m = _PGM.match(d)
+        return d[m.end() :] if int(m[0].split()[-1]) < 256 else None
     elif kind == "image/bmp":
-        return d[struct.unpack_from("<I", d, 10)[0] :]
+        return _bmp_samples(d)
     elif kind == "image/png":
-        k, body = 8, []
-        while k + 12 <= len(d):
-            n, name = struct.unpack_from(">I4s", d, k)
-            body += [d[k + 8 : k + 8 + n]] * (name == b"IDAT")
-            k += 12 + n
-        lines = zlib.decompress(b"".join(body))
-        return b"".join(lines[k + 1 : k + 1 + WIDTH] for k in range(0, len(lines), WIDTH + 1))
+        return _png_samples(d)
     return None
 
 
@@ -251,7 +296,6 @@ _DECLARED = ("application/octet-stream", "image/jpeg", "image/png", "audio/wav")
 
 def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, declared, media)``: each text's bytes, padded to blocks of 64, as a media file."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
@@ -264,13 +308,12 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             out = pd.DataFrame(rows, columns=["n_bytes", "declared", "media"])
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), **out})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, "doc_id long, n_bytes long, declared string, media binary")
+    return in_pandas(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, "doc_id long, n_bytes long, declared string, media binary")
 
 
 def sniff(media: DataFrame) -> DataFrame:
     """Adds ``type`` (corrected), ``samples`` (read back from the file at offset 0, null for other kinds)
     and ``carved`` (type, offset and length of every confirmed file) to (doc_id, n_bytes, declared, media)."""
-    bounded_batches(media.sparkSession)
 
     def run(batches):
         sniffer = Sniffer()
@@ -284,4 +327,4 @@ def sniff(media: DataFrame) -> DataFrame:
                 carved.append([{"type": k, "offset": a, "length": n} for k, a, n in found])
             yield pdf.assign(type=kinds, samples=samples, carved=carved)
 
-    return media.mapInPandas(run, "doc_id long, n_bytes long, declared string, media binary, type string, samples binary, carved array<struct<type:string,offset:long,length:long>>")
+    return in_pandas(media, run, "doc_id long, n_bytes long, declared string, media binary, type string, samples binary, carved array<struct<type:string,offset:long,length:long>>")

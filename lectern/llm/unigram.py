@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_batches, text_or_empty
+from lectern.llm.common import in_pandas, text_or_empty
 
 MARK = "▁"
 _SEGMENT = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -254,7 +254,6 @@ def _parts(texts: list[str], chars: int = 1 << 22):
 
 def encode(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, ids, n_ids, n_fallback)``: ids packed as little-endian unsigned 32-bit integers."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # as large as the vocabulary
 
     def run(batches):
@@ -265,7 +264,7 @@ def encode(docs: DataFrame, model: Pieces, id_col: str = "doc_id", text_col: str
             ids = [x for part in _parts(pdf["text"].tolist()) for x in tokens(part)]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": ids, "n_ids": [len(x) // 4 for x in ids], "n_fallback": [int(single[np.frombuffer(x, np.uint32)].sum()) for x in ids]})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, "doc_id long, ids binary, n_ids long, n_fallback long")
+    return in_pandas(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), run, "doc_id long, ids binary, n_ids long, n_fallback long")
 
 
 def decode(encoded: DataFrame, model: Pieces, ids_col: str = "ids", out: str = "text") -> DataFrame:
