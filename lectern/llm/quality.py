@@ -13,7 +13,7 @@ are averaged by their row counts on the driver, where one model is ``2**bits`` n
 
 Defined results: null and empty texts have no features and get the score of the intercept alone;
 null labels are ignored; several labels of one id count as their mean, rounded up at one half; a
-repeated doc_id is scored each time it occurs; extra columns (``labels`` or ``lang`` of clashing
+repeated doc_id is scored each time it occurs, and its different texts may each be learned from; extra columns (``labels`` or ``lang`` of clashing
 names included) are never inputs; without labels of both kinds every score is the smoothed share
 of label 1.
 """
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_batches, text_or_empty
+from lectern.llm.common import bounded_batches, staged, text_or_empty, unstage
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -122,19 +122,31 @@ def label_rows(labels: DataFrame, label: str, id_col: str = "doc_id", where: Col
     return rows.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg((F.avg(label) >= 0.5).cast("int").alias("y"))
 
 
-def sampled(rows: DataFrame, max_rows: int, salt: str) -> DataFrame:
-    """At most ``max_rows`` of them in expectation, chosen by a hash of the id."""
-    n = rows.count()
-    share = min(1.0, max_rows / max(1, n))
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < int(share * (1 << 20)))
+def labelled(docs: DataFrame, labels: DataFrame, label: str, where: Column | None, max_rows: int, salt: str, text_col: str = "text") -> DataFrame:
+    """``(doc_id, text, y)``: at most ``max_rows`` labelled texts in expectation, chosen by hashes, as a staged table.
+
+    Ids are sampled first; where ids repeat with different texts, the texts are sampled again, so the
+    bound holds whatever the tables hold.  A text that repeats under one id counts once.
+    """
+    rows = label_rows(labels, label, where=where)
+    share = min(1.0, max_rows / max(1, rows.count()))
+    rows = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    # max_rows bounds this side: some 200 kB whatever the corpus is
+    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(rows), "doc_id")
+    out = staged(chosen.distinct(), salt)
+    n = out.count()
+    if n > 2 * max_rows:
+        share = max_rows / n
+        fewer = staged(out.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(salt)), F.lit(1 << 20)) < int(share * (1 << 20))), salt)
+        unstage(out)
+        return fewer
+    return out
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where: Column | None = None, max_rows: int = 8_000, bits: int = 18, orders: tuple[int, ...] = (1, 2), epochs: int = 2, shards: int = 6, text_col: str = "text") -> np.ndarray:
     """Weights of ``2**bits`` buckets and, last, the intercept."""
-    rows = sampled(label_rows(labels, label, where=where), max_rows, "train")
+    chosen = labelled(docs, labels, label, where, max_rows, "train", text_col)
     bounded_batches(docs.sparkSession)
-    # max_rows bounds this side: some 200 kB whatever the corpus is
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(rows), "doc_id")
 
     def hashed(batches):
         features = Features(bits, orders)
@@ -143,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where: Col
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "idx": [p[0].astype(np.int32) for p in pairs], "x": [p[1].astype(np.float32) for p in pairs]})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(o=[xxhash.xxh64_intdigest(str(d)) for d in pdf["doc_id"]]).sort_values(["o", "y"], kind="stable")
+        pdf = pdf.assign(o=[xxhash.xxh64_intdigest(str(d)) for d in pdf["doc_id"]], i=pdf["idx"].map(bytes)).sort_values(["o", "i"], kind="stable")
         model, share = Ftrl(1 << bits), pdf["y"].mean()
         # both labels weigh alike in the gradient, half-way to their shares
         up = {1: (0.5 / max(share, 0.02)) ** 0.5, 0: (0.5 / max(1 - share, 0.02)) ** 0.5}
@@ -160,6 +172,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where: Col
         .applyInPandas(fit, "rows long, ones long, idx array<int>, w array<double>")
         .collect()  # ``shards`` models of 2**bits weights at most
     )
+    unstage(chosen)
     out, total, ones = np.zeros((1 << bits) + 1), sum(p["rows"] for p in parts), sum(p["ones"] for p in parts)
     if not 0 < ones < total:
         out[-1] = np.log((ones + 1) / (total - ones + 1))
@@ -170,7 +183,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", where: Col
 
 
 def score(docs: DataFrame, weights: np.ndarray, orders: tuple[int, ...] = (1, 2), id_col: str = "doc_id", text_col: str = "text", out: str = "score") -> DataFrame:
-    """All columns of ``docs`` and ``score``, the probability of label 1, for every row's whole text."""
+    """All columns of ``docs`` and ``out``, the probability of label 1, for every row's whole text.
+
+    A column of ``docs`` that is called like ``out`` is replaced."""
     spark = docs.sparkSession
     bounded_batches(spark)
     bits = (len(weights) - 1).bit_length() - 1

@@ -4,22 +4,24 @@ Method.  The Levenshtein automata of all lexicon terms are intersected with thei
 the set of (trie node, edits so far) that a read prefix can stand for.  The product is determinised
 lazily, one dictionary step per letter, and dies after two or three letters for most words; each
 distinct word is read once.  A term of 5 to 8 letters admits one edit, a longer one two, a shorter
-one none; figures and signs that stand for letters are folded first.  The lexicon also
-holds stems, which stand for every word that begins with them, letter by letter.
+one none; figures and signs that stand for letters are folded first.  The lexicon also holds stems,
+prefixes in the same trie that stand for every word that begins with them (within one edit after the
+first letter, from six letters on); the automaton remembers the stem a word has gone through.
 
-Each hit is scored in a window of tokens around it: quotation marks that enclose it and verbs of
-saying turn it towards quotation; second-person words and repeated marks towards abuse.  A logistic
+Each hit is scored in its context: matched quotation marks that enclose it, however far apart, and
+verbs of saying within :attr:`Scorer.WINDOW` tokens turn it towards quotation; second-person words
+in the window towards abuse.  A logistic
 model over a few sums (plain, quoted, disguised and misspelled hits, density, address) gives the
 document's score, over its whole text.
 
 Learning takes labelled rows of ``where`` only, ``max_rows`` in expectation at most (a documented
-bound): lexicon terms by log odds with greedy cover, forms near a term that are ordinary words, and
-the logistic weights.  A base lexicon of common insults is always in.
+bound): lexicon terms and stems by log odds with greedy cover, the whole words under each stem,
+forms near a term that are ordinary words, and the logistic weights.  A base lexicon of common insults is always in.
 
 Defined results: null and empty texts have no hits and get the intercept's score; null labels are
 ignored, several labels of one id count as their mean, rounded up at one half; without labels of
 both kinds a fixed prior of weights scores; repeated doc_ids are scored each time; extra columns are
-never inputs and pass through.
+never inputs and pass through, but for one named like the result, which it replaces.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_batches, text_or_empty
-from lectern.llm.quality import label_rows, sampled
+from lectern.llm.common import bounded_batches, text_or_empty, unstage
+from lectern.llm.quality import labelled
 
 #: Common insults, the base of the lexicon.
 BASE_TERMS = (
@@ -49,37 +51,57 @@ SAYING = frozenset("said says say wrote writes quoted quotes cited claims called
 ADDRESS = frozenset("you your youre you're u ur tu toi vous votre ton du dich dein deine ihr tú te usted tus".split())
 _FOLD = str.maketrans("013457@$", "oieastas")
 _WORD = re.compile(r"[\w@$]+")
-_QUOTES = '"“”„«»‹›‘’'
-_REMEMBERED = 500_000
+_QUOTE = re.compile('["“”„«»‹›‘’]')
+_OPENS = frozenset('"“„«‹‘')
+#: closing mark -> the opening marks it can close
+_CLOSES = {'"': '"', "”": "“„", "“": "„", "»": "«", "›": "‹", "’": "‘"}
+#: chunks a worker remembers, and the longest of them
+_REMEMBERED, _KEPT = 500_000, 64
+#: letters of the word beginnings that may be learned
+STEM_SIZES = (4, 5, 6)
 
 
 def allowed_edits(term: str) -> int:
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
 
 
+def stem_edits(stem: str) -> int:
+    """A stem is met by more words than a term, so it admits fewer edits."""
+    return 0 if len(stem) < 6 else 1
+
+
 class LexiconAutomaton:
-    """Trie of terms intersected with their Levenshtein automata, determinised as words are read."""
+    """Trie of terms and stems intersected with their Levenshtein automata, determinised as words are read.
+
+    A state is the (trie node, edits) pairs that the letters so far can stand for, the best stem that
+    they have already gone through (whatever follows a stem, the word still meets it), and the first
+    letter, which a stem and its word share.
+    """
 
-    def __init__(self, terms):
+    def __init__(self, terms, stems=()):
         self.next: list[dict[str, int]] = [{}]
-        self.ends: dict[int, str] = {}
         self.most = [0]
-        for term in sorted(set(terms)):
-            node, k = 0, allowed_edits(term)
-            self.most[0] = max(self.most[0], k)
-            for c in term:
-                if c not in self.next[node]:
-                    self.next[node][c] = len(self.next)
-                    self.next.append({})
-                    self.most.append(0)
-                node = self.next[node][c]
-                self.most[node] = max(self.most[node], k)
-            self.ends[node] = term
-        self.start = self._close({0: 0})
-        self.steps: dict[tuple, dict[str, tuple | None]] = {}
-        self.finals: dict[tuple, tuple[str, int] | None] = {}
-
-    def _close(self, state: dict[int, int]) -> tuple:
+        self.ends: dict[int, str] = {}
+        self.stems: dict[int, str] = {}
+        for found, ends, edits in ((terms, self.ends, allowed_edits), (stems, self.stems, stem_edits)):
+            for term in sorted(set(found)):
+                ends[self._add(term, edits(term))] = term
+        self.start = self._close({0: 0}, None, "")
+        self.steps: dict[tuple, dict[str, tuple]] = {}
+
+    def _add(self, term: str, edits: int) -> int:
+        node = 0
+        self.most[0] = max(self.most[0], edits)
+        for c in term:
+            if c not in self.next[node]:
+                self.next[node][c] = len(self.next)
+                self.next.append({})
+                self.most.append(0)
+            node = self.next[node][c]
+            self.most[node] = max(self.most[node], edits)
+        return node
+
+    def _close(self, state: dict[int, int], stem: tuple | None, first: str) -> tuple:
         """With the letters of a term that the word leaves out; only what some term still admits stays."""
         todo = list(state)
         while todo:
@@ -89,42 +111,50 @@ class LexiconAutomaton:
                 if e <= self.most[child] and e < state.get(child, 99):
                     state[child] = e
                     todo.append(child)
-        return tuple(sorted(state.items()))
+        for node, e in state.items():
+            if node in self.stems and e <= stem_edits(self.stems[node]) and self.stems[node][0] == first:
+                here = (e, self.stems[node])
+                stem = here if stem is None else min(stem, here)
+        return tuple(sorted(state.items())), stem, first
 
-    def _step(self, state: tuple, c: str) -> tuple | None:
+    def _step(self, state: tuple, c: str) -> tuple:
         out: dict[int, int] = {}
-        for node, e in state:
+        for node, e in state[0]:
             if e < self.most[node]:
                 out[node] = min(e + 1, out.get(node, 99))
             for letter, child in self.next[node].items():
                 cost = e + (letter != c)
                 if cost <= self.most[child] and cost < out.get(child, 99):
                     out[child] = cost
-        return self._close(out) if out else None
+        return self._close(out, state[1], state[2] or c)
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The nearest term within its edits (then the first in order), and the edits."""
+        """The nearest term within its edits, or stem within its (written with ``*``), and the edits; of equals a term
+        before a stem, then the first in order."""
         state = self.start
         for c in word:
+            if not state[0]:
+                break  # only the stem it went through can count
             row = self.steps.get(state)
             if row is None:
                 if len(self.steps) > 200_000:
                     self.steps.clear()
                 row = self.steps[state] = {}
-            if c in row:
-                state = row[c]
-            else:
-                state = row[c] = self._step(state, c)
-            if state is None:
-                return None
-        found = [(e, self.ends[n]) for n, e in state if n in self.ends and e <= allowed_edits(self.ends[n])]
-        return (min(found)[1], min(found)[0]) if found else None
+            if c not in row:
+                row[c] = self._step(state, c)
+            state = row[c]
+        else:
+            found = [(e, 0, self.ends[n]) for n, e in state[0] if n in self.ends and e <= allowed_edits(self.ends[n])]
+            if state[1]:
+                found.append((state[1][0], 1, state[1][1] + "*"))
+            return (min(found)[2], min(found)[0]) if found else None
+        return (state[1][1] + "*", state[1][0]) if state[1] else None
 
 
 @dataclass
 class Model:
     terms: dict[str, float] = field(default_factory=lambda: dict.fromkeys(BASE_TERMS, 1.0))
-    #: beginnings of words that stand for the term "beginning*", whatever follows; no edits
+    #: beginnings of words that stand for the term "beginning*", whatever follows
     stems: frozenset[str] = frozenset()
     ordinary: frozenset[str] = frozenset()
     weights: tuple[float, ...] = (-4.0, 6.0, 1.0, 5.0, 3.5, 1.0, 0.5, 0.5)
@@ -134,27 +164,26 @@ class _Words(dict):
     """word -> (term, kind) with kind 0 plain, 1 disguised, 2 misspelled; or None."""
 
     def __init__(self, model: Model):
-        self.auto, self.ordinary = LexiconAutomaton(model.terms), model.ordinary
-        self.terms, self.stems = model.terms, model.stems
-        self.stem_sizes = sorted({len(s) for s in model.stems})
-        sizes = [len(t) for t in model.terms] or [0]
-        self.least, self.longest = min(sizes) - 1, max(sizes) + 3
-
-    def __missing__(self, word: str):
-        value = next(((word[:k] + "*", 0) for k in self.stem_sizes if word[:k] in self.stems), None)
-        if value is None and self.least <= len(word) <= 4 * self.longest:
-            if word in self.terms:
-                value = (word, 0)
-            else:
-                plain = word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
-                folded = plain if plain.isalpha() else plain.translate(_FOLD).replace("_", "")
-                tight = re.sub(r"(.)\1{2,}", r"\1", folded) if len(folded) > 4 else folded
-                for form in dict.fromkeys((folded, tight)):
-                    if len(form) <= self.longest and (found := self.auto.match(form)):
-                        kind = 2 if found[1] else 1
-                        value = (found[0], kind) if kind == 1 or word not in self.ordinary else None
-                        break
-        self[word] = value
+        self.auto, self.ordinary, self.terms = LexiconAutomaton(model.terms, model.stems), model.ordinary, model.terms
+        self.least = min([len(t) - allowed_edits(t) for t in model.terms] + [len(t) - stem_edits(t) for t in model.stems], default=0)
+        self.longest = float("inf") if model.stems else max((len(t) + allowed_edits(t) for t in model.terms), default=0)
+
+    def look(self, word: str) -> tuple[str, int] | None:
+        if word in self.terms:
+            return word, 0
+        plain = word if word.isascii() else "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+        folded = plain if plain.isalpha() else plain.translate(_FOLD).replace("_", "")
+        tight = re.sub(r"(.)\1{2,}", r"\1", folded) if len(folded) > 4 else folded
+        for form in dict.fromkeys((word, folded, tight)):
+            if self.least <= len(form) <= self.longest and (found := self.auto.match(form)):
+                kind = 2 if found[1] else 0 if form == word else 1
+                return (found[0], kind) if kind < 2 or word not in self.ordinary else None
+        return None
+
+    def __missing__(self, word: str) -> tuple[str, int] | None:
+        value = self.look(word)
+        if len(word) <= _KEPT:
+            self[word] = value
         return value
 
 
@@ -168,10 +197,38 @@ class _Chunks(dict):
         words = self.words
         # a chunk of letters is a word; letters and one mark are the usual rest
         parts = (chunk,) if chunk.isalpha() else (chunk[:-1],) if chunk[:-1].isalpha() and chunk[-1] in ",.;:!?" else _WORD.findall(chunk)
-        self[chunk] = value = tuple(w for w in parts if words[w] is not None) or None
+        value = tuple(w for w in parts if words[w] is not None) or None
+        if len(chunk) <= _KEPT:
+            self[chunk] = value
         return value
 
 
+def _lower(text: str) -> str:
+    """Lower case, letter by letter where the whole would change its length, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
+def quoted(text: str) -> list[tuple[int, int]]:
+    """(start, end) of what matched quotation marks enclose, in order, over the whole text.
+
+    A plain mark opens before a character and not after a word, and closes after a character; the
+    right single mark between letters is an apostrophe.
+    """
+    out, opened = [], {}
+    for m in _QUOTE.finditer(text):
+        c, k = m[0], m.start()
+        before, after = text[k - 1 : k], text[k + 1 : k + 2]
+        if c == "’" and before.isalnum() and after.isalnum():
+            continue
+        closes = next((o for o in _CLOSES.get(c, "") if o in opened), None)
+        if closes and (c != '"' or before.strip()):
+            out.append((opened.pop(closes), k))
+        elif c in _OPENS and c not in opened and (c != '"' or after.strip() and not before.isalnum()):
+            opened[c] = k
+    return sorted(out)
+
+
 class Scorer:
     #: tokens on each side of a hit that its context is read from
     WINDOW = 8
@@ -182,24 +239,25 @@ class Scorer:
 
     def hits(self, text: str) -> list[tuple[int, int, str, str, int, float, bool]]:
         """(start, end, word, term, kind, quotation from 0 to 1, addressed) of each hit, in order."""
-        low = (text or "").lower()
+        low = _lower(text or "")
         if len(self.chunks) > _REMEMBERED:
             self.words.clear()
             self.chunks.clear()
-        known = self.words
         found = {w for ws in set(map(self.chunks.__getitem__, low.split())) if ws for w in ws}
         if not found:
             return []
-        out = []
-        any_of = re.compile(r"(?<![\w@$])(?:" + "|".join(map(re.escape, sorted(found, key=len, reverse=True))) + r")(?![\w@$])")
-        for m in any_of.finditer(low):
-            term, kind = known[m[0]]
-            before, after = low[max(0, m.start() - 90) : m.start()], low[m.end() : m.end() + 90]
-            left, right = _WORD.findall(before)[-self.WINDOW :], _WORD.findall(after)[: self.WINDOW]
-            opened = any(before.count(pair[0]) % 2 if pair[0] == pair[1] else before.rfind(pair[0]) > before.rfind(pair[1]) for pair in ('""', "“”", "„“", "«»", "‹›", "‘’"))
-            closed = any(q in after for q in _QUOTES)
-            quotation = 0.6 * (opened and closed) + 0.4 * bool(SAYING & set(left[-4:] + right[:4]))
-            out.append((m.start(), m.end(), m[0], term, kind, quotation, bool(ADDRESS & set(left[-4:] + right[:4]))))
+        known = {w: self.words[w] for w in found}
+        out, tokens, inside, furthest = [], list(_WORD.finditer(low)), quoted(low), -1
+        spans = iter(inside)
+        ahead = next(spans, None)
+        for k, m in enumerate(tokens):
+            while ahead and ahead[0] < m.start():
+                furthest = max(furthest, ahead[1])
+                ahead = next(spans, None)
+            if (hit := known.get(m[0])) is not None:
+                near = {t[0] for t in tokens[max(0, k - self.WINDOW) : k]} | {t[0] for t in tokens[k + 1 : k + 1 + self.WINDOW]}
+                quotation = 0.6 * (furthest >= m.end()) + 0.4 * (not SAYING.isdisjoint(near))
+                out.append((m.start(), m.end(), m[0], *hit, quotation, not ADDRESS.isdisjoint(near)))
         return out
 
     def features(self, text: str) -> list[float]:
@@ -249,30 +307,32 @@ def _beginnings(words: Column, size: int) -> Column:
     return F.transform(F.filter(words, lambda w: F.length(w) > size), lambda w: F.concat(F.substring(w, 1, size), F.lit("*")))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, max_rows: int = 8_000, max_terms: int = 400, text_col: str = "text") -> Model:
-    """Everything collected here is bounded by ``max_rows`` and ``max_terms``."""
-    rows = sampled(label_rows(labels, label, where=where), max_rows, "toxicity")
-    chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).join(F.broadcast(rows), "doc_id")
-    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Column | None = None, max_rows: int = 8_000, text_col: str = "text") -> Model:
+    """What is collected comes from ``max_rows`` texts at most (a documented bound) and of those only from
+    words that several toxic ones share, or that lie within the edits of such a word."""
+    chosen = labelled(docs, labels, label, where, max_rows, "toxicity", text_col)
+    counts = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = counts.get(1, 0), counts.get(0, 0)
     if not pos or not neg:
+        unstage(chosen)
         return Model()
     # whole words, and beginnings of words ("begin*"), since insults take endings
-    whole = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}@$]+")), lambda w: F.length(w).between(4, 24))
-    words = F.array_distinct(F.concat(whole, *(_beginnings(whole, k) for k in (4, 5, 6))))
-    per_word = chosen.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
+    whole = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}@$]+")), lambda w: w != "")
+    words = F.array_distinct(F.concat(whole, *(_beginnings(whole, k) for k in STEM_SIZES)))
     least = max(3, pos // 100)
-    found = per_word.filter(F.col("p") >= least).withColumn(
-        "odds", F.log((F.col("p") + 0.5) / (pos - F.col("p") + 0.5)) - F.log((F.col("n") - F.col("p") + 0.5) / (F.greatest(F.lit(neg) - F.col("n") + F.col("p"), F.lit(0)) + 0.5))
-    )
-    odds = {r["w"]: r["odds"] for r in found.filter("odds > 4").orderBy(F.desc("odds"), "w").limit(max_terms).collect()}
+    per_word = chosen.select("y", F.explode(words).alias("w")).groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n")).filter(F.col("p") >= least)
+    bad, good = F.col("p"), F.col("n") - F.col("p")
+    telling = per_word.withColumn("odds", F.log((bad + 0.5) / (pos - bad + 0.5)) - F.log((good + 0.5) / (neg - good + 0.5))).filter("odds > 4")
+    odds = {r["w"]: r["odds"] for r in telling.select("w", "odds").collect()}
     terms, stems = dict.fromkeys(BASE_TERMS, 1.0), frozenset()
     if odds:
-        kept = F.array_intersect(words, F.array(*map(F.lit, odds)))
-        toxic = [r["k"] for r in chosen.filter("y = 1").select(kept.alias("k")).collect()]
-        learned = _cover(toxic, odds, least)
-        terms |= {w: 1.0 for w in learned if not w.endswith("*")}
+        shared = chosen.sparkSession.createDataFrame([(w,) for w in odds], "w string")
+        toxic = chosen.filter("y = 1").select("doc_id", F.xxhash64("text").alias("t"), F.explode(words).alias("w")).join(F.broadcast(shared), "w")
+        documents = [r["k"] for r in toxic.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set("w")).alias("k")).collect()]
+        learned = _cover(documents, odds, least)
         stems = frozenset(w[:-1] for w in learned if w.endswith("*"))
+        # the whole words under a stem are terms too, so that their misspelled forms are met
+        terms |= {w: 1.0 for w in odds if not w.endswith("*") and (w in learned or w.startswith(tuple(stems)))}
     first = Model(terms=terms, stems=stems)
 
     def forms(batches):
@@ -281,9 +341,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
             got = [(y, w) for y, t in zip(pdf["y"], pdf["text"], strict=True) for w in {h[2] for h in scorer.hits(t) if h[4] == 2}]
             yield pd.DataFrame(got, columns=["y", "w"])
 
-    # a form near a term: there are at most some hundreds for a term and an edit
     seen = chosen.mapInPandas(forms, "y int, w string").groupBy("w").agg(F.sum("y").alias("p"), F.count("*").alias("n"))
-    ordinary = frozenset(r["w"] for r in seen.filter("p * 2 <= n").orderBy(F.desc("n"), "w").limit(50_000).collect())
+    ordinary = frozenset(r["w"] for r in seen.filter("p * 2 <= n").select("w").collect())
     second = Model(terms=terms, stems=stems, ordinary=ordinary)
 
     def features(batches):
@@ -291,12 +350,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", where: Colum
         for pdf in batches:
             yield pd.DataFrame({"y": pdf["y"], "x": [scorer.features(t) for t in pdf["text"]]})
 
-    data = chosen.mapInPandas(features, "y int, x array<double>").collect()
+    data = sorted((r["y"], *r["x"]) for r in chosen.mapInPandas(features, "y int, x array<double>").collect())
+    unstage(chosen)
     # The prior's rows keep the sense of features that the sample never shows.
     prior = np.eye(8)[1:] * 2 + np.eye(8)[0]
     wanted = np.array([1, 0, 1, 0.8, 0.6, 0.6, 0.8])
-    x = np.concatenate((np.array([r["x"] for r in data]), prior))
-    y = np.concatenate((np.array([r["y"] for r in data], dtype=float), wanted))
+    x = np.concatenate((np.array([r[1:] for r in data]), prior))
+    y = np.concatenate((np.array([r[0] for r in data], dtype=float), wanted))
     return Model(terms=terms, stems=stems, ordinary=ordinary, weights=tuple(map(float, _newton(x, y))))
 
 
@@ -304,7 +364,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
     """All columns of ``docs``, the score, and the hits if asked for."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by max_terms and the forms near them
+    shared = spark.sparkContext.broadcast(model)  # terms that several of max_rows texts share, and the forms near them
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
