@@ -7,11 +7,11 @@ its completion.  Segments carry a loss mask: 1 for an assistant's turn in a comp
 Output has one row per segment, so a conversation of any length never meets in one task;
 :func:`assemble` joins the segments of conversations that are known to fit a row.
 
-Pairs come from the conversations: those with the same first turn are paired in order of id (within
-ranges of 1024 ids, so a first turn that a third of all conversations share makes no large group);
-one left over is paired with a copy of itself that ends in the last assistant's turn of the next
-conversation of its id range, a usual contrast; one without such a neighbour is kept as a
-single, whose completion has no rejected side.
+Pairs come from the conversations: those with the same first turn are paired in order of id, range
+by range (:func:`mates`), so that at most one of an opening is left over, whatever the ids; one left
+over is paired with a copy of itself that ends in the last assistant's turn of a neighbour, another
+conversation of its hash group, a usual contrast; one without such a neighbour is kept as a single,
+whose completion has no rejected side.
 
 Defined results: rows without conv_id belong to no conversation and are left out; a null turn
 counts as -1, a null role as ``user``, a null text as empty; several rows of one turn stand
@@ -21,11 +21,15 @@ prompt; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: conversations with ids in one range of so many are ranked together
-ID_RANGE = 1024
+from lectern.llm.common import staged, unstage
+
+#: conversations are paired in groups of ``2**BITS`` at most
+BITS = 10
 
 
 def render(role: Column, text: Column) -> Column:
@@ -39,25 +43,58 @@ def turns_of(conversations: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def mates(heads: DataFrame) -> DataFrame:
+    """``(conv_id, mate)``: conversations of one opening paired in order of id, each in one pair at most.
+
+    Ranges of ``2**BITS`` ids first, then what is left over (one a range at most) in ranges of
+    ``2**(2 * BITS)``, and so on to all ids: whatever ids there are and however many
+    conversations open alike, no group holds more than ``2**BITS`` rows.
+    """
+    several = heads.groupBy("opening").agg(F.count("*").alias("n")).filter("n > 1").select("opening")
+    left, pairs, gone = staged(heads.select("opening", "conv_id").join(several, "opening", "left_semi"), "openings"), [], []
+    for shift in range(BITS, 64 + BITS, BITS):
+        part = F.shiftright("conv_id", shift) if shift < 64 else F.lit(0)
+        same = Window.partitionBy("opening", "part").orderBy("conv_id")
+        ranked = left.withColumn("part", part).withColumn("k", F.row_number().over(same)).withColumn("mate", F.lead("conv_id").over(same)).filter("k % 2 = 1")
+        ranked = staged(ranked.select("opening", "conv_id", "mate"), "mates")
+        gone += [left]
+        pairs.append(ranked.filter("mate IS NOT NULL").select("conv_id", "mate"))
+        left = ranked.filter("mate IS NULL").select("opening", "conv_id")
+        if not left.groupBy("opening").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count():
+            break
+    unstage(*gone)
+    return reduce(DataFrame.unionByName, pairs)
+
+
+def neighbours(heads: DataFrame) -> DataFrame:
+    """``(conv_id, next)``: to each conversation that has an assistant's turn another one, from its group.
+
+    Groups are dealt by a hash of the id, some ``2**BITS / 2`` to a group; the next id of the group is
+    the neighbour, after the last the first.
+    """
+    speaking = heads.filter("cut IS NOT NULL").select("conv_id")
+    groups = -(-speaking.count() * 2 >> BITS)
+    dealt = speaking.withColumn("part", F.pmod(F.conv(F.substring(F.md5(F.col("conv_id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(max(1, groups))))
+    near = Window.partitionBy("part").orderBy("conv_id")
+    whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return dealt.select("conv_id", F.coalesce(F.lead("conv_id").over(near), F.first("conv_id").over(whole)).alias("next"))
+
+
 def pair_up(turns: DataFrame) -> DataFrame:
     """``(chosen, rejected, kind, cut)``: kind ``shared`` (same first turn), ``contrast`` (``rejected`` lends its
     last assistant's turn, which replaces what follows turn ``cut``) or ``single``."""
     says = F.when(F.col("role") == "assistant", F.col("turn"))
     heads = turns.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("h"), F.max(says).alias("cut"))
-    heads = heads.select("conv_id", "cut", F.md5(F.concat_ws("\n", "h.role", "h.text")).alias("opening"), F.floor(F.col("conv_id") / ID_RANGE).alias("part"))
-    same = Window.partitionBy("part", "opening").orderBy("conv_id")
-    ranked = heads.withColumn("k", F.row_number().over(same)).withColumn("mate", F.lead("conv_id").over(same))
-    ranked = ranked.withColumn("speaks", F.col("cut").isNotNull())
-    near = Window.partitionBy("part", "speaks").orderBy("conv_id")
-    whole = near.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = ranked.withColumn("next", F.coalesce(F.lead("conv_id").over(near), F.first("conv_id").over(whole)))
-    odd = ranked.filter("k % 2 = 1")
-    lent = F.col("speaks") & (F.col("next") != F.col("conv_id"))
+    heads = staged(heads.select("conv_id", "cut", F.md5(F.concat_ws("\n", "h.role", "h.text")).alias("opening")), "heads")
+    paired = mates(heads)
+    second = paired.select(F.col("mate").alias("conv_id"))
+    odd = heads.join(second, "conv_id", "left_anti").join(paired, "conv_id", "left").join(neighbours(heads), "conv_id", "left")
+    lent = F.col("mate").isNull() & F.col("cut").isNotNull() & (F.col("next") != F.col("conv_id"))
     return odd.select(
         F.col("conv_id").alias("chosen"),
         F.coalesce("mate", F.when(lent, F.col("next"))).alias("rejected"),
         F.when(F.col("mate").isNotNull(), "shared").when(lent, "contrast").otherwise("single").alias("kind"),
-        F.when(F.col("mate").isNull() & lent, F.col("cut")).alias("cut"),
+        F.when(lent, F.col("cut")).alias("cut"),
     )
 
 

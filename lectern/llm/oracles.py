@@ -2,16 +2,29 @@
 
 from __future__ import annotations
 
-CHAT = """
+
+
+def _mates(bits: int = 10) -> str:
+    """The levels at which conversations of one opening are paired: x{k} has what is ranked, pairs are its odd rows."""
+    out, left = [], "SELECT opening, conv_id FROM heads"
+    for k, shift in enumerate(range(bits, 64 + bits, bits)):
+        part = f"conv_id >> {shift}" if shift < 64 else "0"
+        out.append(f"x{k} AS (SELECT opening, conv_id, row_number() OVER w AS r, lead(conv_id) OVER w AS mate FROM ({left}) WINDOW w AS (PARTITION BY opening, {part} ORDER BY conv_id))")
+        left = f"SELECT opening, conv_id FROM x{k} WHERE r % 2 = 1 AND mate IS NULL"
+    found = " UNION ALL ".join(f"SELECT conv_id, mate FROM x{k} WHERE r % 2 = 1 AND mate IS NOT NULL" for k in range(len(out)))
+    return ",\n".join([*out, f"mates AS ({found})"])
+
+
+CHAT = f"""
 WITH t AS (SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k FROM t),
-heads AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS cut, max(CASE WHEN k = 1 THEN role || chr(10) || text END) AS opening, floor(conv_id / 1024) AS part FROM k GROUP BY conv_id),
-ranked AS (SELECT *, row_number() OVER same AS r, lead(conv_id) OVER same AS mate, cut IS NOT NULL AS speaks,
-  coalesce(lead(conv_id) OVER near, first_value(conv_id) OVER near) AS next FROM heads
-  WINDOW same AS (PARTITION BY part, opening ORDER BY conv_id), near AS (PARTITION BY part, cut IS NOT NULL ORDER BY conv_id)),
-pairs AS (SELECT conv_id AS chosen, coalesce(mate, CASE WHEN speaks AND next <> conv_id THEN next END) AS rejected,
-  CASE WHEN mate IS NOT NULL THEN 'shared' WHEN speaks AND next <> conv_id THEN 'contrast' ELSE 'single' END AS kind,
-  CASE WHEN mate IS NULL AND speaks AND next <> conv_id THEN cut END AS cut FROM ranked WHERE r % 2 = 1),
+heads AS (SELECT conv_id, max(turn) FILTER (role = 'assistant') AS cut, max(CASE WHEN k = 1 THEN role || chr(10) || text END) AS opening FROM k GROUP BY conv_id),
+{_mates()},
+speaking AS (SELECT conv_id, ('0x' || substr(md5(conv_id::VARCHAR), 1, 8))::BIGINT % greatest(1, (SELECT (2 * count(*) + 1023) // 1024 FROM heads WHERE cut IS NOT NULL)) AS part FROM heads WHERE cut IS NOT NULL),
+near AS (SELECT conv_id, coalesce(lead(conv_id) OVER w, first_value(conv_id) OVER w) AS next FROM speaking WINDOW w AS (PARTITION BY part ORDER BY conv_id)),
+odd AS (SELECT heads.conv_id, cut, mate, CASE WHEN next <> heads.conv_id THEN next END AS next FROM heads LEFT JOIN mates ON heads.conv_id = mates.conv_id LEFT JOIN near ON heads.conv_id = near.conv_id WHERE heads.conv_id NOT IN (SELECT mate FROM mates)),
+pairs AS (SELECT conv_id AS chosen, coalesce(mate, next) AS rejected,
+  CASE WHEN mate IS NOT NULL THEN 'shared' WHEN next IS NOT NULL THEN 'contrast' ELSE 'single' END AS kind, CASE WHEN mate IS NULL AND next IS NOT NULL THEN cut END AS cut FROM odd),
 own AS (SELECT chosen AS pair_id, kind, cut, turn, role, text FROM t JOIN pairs ON conv_id = chosen),
 lent AS (SELECT conv_id, turn, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS n FROM t WHERE role = 'assistant') WHERE n = 1),
 sides AS (SELECT pair_id, kind, 1 AS c, 0 AS r, turn, role, text FROM own
@@ -32,32 +45,31 @@ def _case(rules, what: str) -> str:
     return "CASE " + " ".join(tests) + " END"
 
 
-def url_templates(rules, junk: str, most: int, depth: int = 4, children: int = 12, prevail: float = 0.25, weight: float = 8.0, z: float = 1.96, prior: float = 0.05, reject: float = 0.5) -> str:
+def url_templates(rules, junk: str, most: int, longest: int = 48, children: int = 12, prevail: float = 0.25, weight: float = 8.0, z: float = 1.96, prior: float = 0.05, reject: float = 0.5) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     uuid = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+    rate = "(ab::DOUBLE / greatest(al, 1))"
+    near = f"abs(pb::DOUBLE / greatest(pl, 1) - {rate}) <= {z!r}::DOUBLE * sqrt(greatest({rate} * (1 - {rate}), 0.01::DOUBLE) / greatest(pl, 1))"
+    name = f"CASE WHEN ways = 1 THEN part WHEN kinds >= {children} AND most <= {prevail!r}::DOUBLE * total AND (pl = 0 OR {near}) THEN '*' WHEN pl > 0 AND {near} THEN '~' ELSE part END"
     out = [
         "r0 AS (SELECT page_id, html, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
         "r1 AS (SELECT *, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS h FROM r0)",
         f"r2 AS (SELECT page_id, html, translate(h, '{upper}', '{lower}') AS host, regexp_extract(substr(coalesce(rest, ''), length(h) + 1), '^[^?#]*') AS path FROM r1)",
         f"r3 AS (SELECT *, {_case(rules, 'name')} AS rule, {_case(rules, 'verdict')} AS said, string_split(regexp_replace(path, '^/', ''), '/') AS parts FROM r2)",
         f"r4 AS (SELECT *, CASE WHEN said = 'block' THEN 1 WHEN said = 'allow' THEN 0 WHEN html IS NOT NULL THEN (len(regexp_extract_all(html, '{junk}')) >= {most})::INT END AS label, "
-        f"list_transform(parts[1:{depth}], lambda s: regexp_replace(translate(s, '{upper}', '{lower}'), '{uuid}', '{{uuid}}')) AS a FROM r3)",
+        f"list_transform(parts, lambda s: regexp_replace(translate(s, '{upper}', '{lower}'), '{uuid}', '{{uuid}}')) AS a FROM r3)",
         "r5 AS (SELECT *, list_transform(a, lambda s: CASE WHEN regexp_matches(s, '^[a-f]*[0-9]') AND regexp_matches(s, '^[0-9]*[a-f]') THEN regexp_replace(s, '^[0-9a-f]{8,}', '{hex}') ELSE s END) AS b FROM r4)",
-        f"r6 AS (SELECT *, list_transform(list_transform(b, lambda s: regexp_replace(s, '[0-9]+', '{{n}}', 'g')), lambda s: CASE WHEN length(s) > 48 THEN '{{long}}' ELSE s END) || CASE WHEN len(parts) > {depth} THEN ['**'] ELSE [] END AS segments FROM r5)",
+        f"r6 AS (SELECT *, list_transform(list_transform(b, lambda s: regexp_replace(s, '[0-9]+', '{{n}}', 'g')), lambda s: CASE WHEN length(s) > {longest} THEN '{{long}}' ELSE s END) AS segments FROM r5)",
         "n0 AS (SELECT host, segments, count(*) AS n, count(label) AS labelled, coalesce(sum(label), 0)::BIGINT AS bad FROM r6 GROUP BY ALL)",
         f"share AS (SELECT (coalesce(sum(bad), 0)::DOUBLE + {prior * weight!r}::DOUBLE) / (coalesce(sum(labelled), 0)::DOUBLE + {weight!r}::DOUBLE) AS p FROM n0)",
-        f"w0 AS (SELECT n0.*, '' AS node, ((sum(bad) OVER (PARTITION BY host))::DOUBLE + p * {weight!r}::DOUBLE) / ((sum(labelled) OVER (PARTITION BY host))::DOUBLE + {weight!r}::DOUBLE) AS purity FROM n0, share)",
+        f"t AS (SELECT 0 AS level, n0.*, '' AS node, ((sum(bad) OVER (PARTITION BY host))::DOUBLE + p * {weight!r}::DOUBLE) / ((sum(labelled) OVER (PARTITION BY host))::DOUBLE + {weight!r}::DOUBLE) AS purity FROM n0, share\n"
+        " UNION ALL SELECT level + 1, host, segments, n, labelled, bad, node || '/' || name, "
+        f"CASE WHEN ways = 1 THEN purity ELSE (nb::DOUBLE + purity * {weight!r}::DOUBLE) / (nl::DOUBLE + {weight!r}::DOUBLE) END FROM (\n"
+        "  SELECT *, sum(labelled) OVER (PARTITION BY host, node, name) AS nl, sum(bad) OVER (PARTITION BY host, node, name) AS nb FROM (\n"
+        f"   SELECT *, {name} AS name FROM (\n"
+        "    SELECT *, max(way) OVER w AS ways, max(way) FILTER (part IS NOT NULL) OVER w - (min(way) FILTER (part IS NOT NULL) OVER w) + 1 AS kinds, max(pn) FILTER (part IS NOT NULL) OVER w AS most, "
+        "sum(n) FILTER (part IS NOT NULL) OVER w AS total, sum(labelled) FILTER (part IS NOT NULL) OVER w AS al, sum(bad) FILTER (part IS NOT NULL) OVER w AS ab FROM (\n"
+        "     SELECT *, dense_rank() OVER (PARTITION BY host, node ORDER BY part NULLS FIRST) AS way, sum(n) OVER p AS pn, sum(labelled) OVER p AS pl, sum(bad) OVER p AS pb FROM (\n"
+        "      SELECT *, segments[level + 1] AS part FROM t) WINDOW p AS (PARTITION BY host, node, part)) WINDOW w AS (PARTITION BY host, node))) WHERE part IS NOT NULL))",
     ]
-    for k in range(depth + 1):
-        rate = "(ab::DOUBLE / greatest(al, 1))"
-        out += [
-            f"h{k} AS (SELECT *, segments[{k + 1}] AS part FROM w{k})",
-            f"p{k} AS (SELECT host, node, part, sum(n) AS pn, sum(labelled) AS pl, sum(bad) AS pb FROM h{k} WHERE part IS NOT NULL GROUP BY ALL)",
-            f"q{k} AS (SELECT host, node, count(*) AS kinds, max(pn) AS most, sum(pn) AS total, sum(pl) AS al, sum(pb) AS ab FROM p{k} GROUP BY ALL)",
-            f"m{k} AS (SELECT p.*, CASE WHEN kinds >= {children} AND most <= {prevail!r}::DOUBLE * total THEN '*' WHEN pl > 0 AND abs(pb::DOUBLE / greatest(pl, 1) - {rate}) <= {z!r}::DOUBLE * sqrt(greatest({rate} * (1 - {rate}), 0.01::DOUBLE) / greatest(pl, 1)) THEN '~' ELSE part END AS name FROM p{k} p JOIN q{k} q ON p.host = q.host AND p.node = q.node)",
-            f"s{k} AS (SELECT *, sum(pl) OVER (PARTITION BY host, node, name) AS nl, sum(pb) OVER (PARTITION BY host, node, name) AS nb FROM m{k})",
-            f"w{k + 1} AS (SELECT h.host, h.segments, n, labelled, bad, CASE WHEN name IS NULL THEN h.node ELSE h.node || '/' || name END AS node, CASE WHEN name IS NULL THEN purity ELSE (nb::DOUBLE + purity * {weight!r}::DOUBLE) / (nl::DOUBLE + {weight!r}::DOUBLE) END AS purity "
-            f"FROM h{k} h LEFT JOIN s{k} s ON h.host = s.host AND h.node = s.node AND h.part = s.part)",
-        ]
-    last = f"w{depth + 1}"
-    return "WITH " + ",\n".join(out) + f"\nSELECT page_id, r6.host, path, rule, coalesce(said, CASE WHEN purity >= {reject!r} THEN 'block' ELSE 'allow' END) AS verdict, r6.host || node AS template, round(purity, 9) AS purity FROM r6 LEFT JOIN {last} w ON r6.host = w.host AND r6.segments = w.segments"
+    return "WITH RECURSIVE " + ",\n".join(out) + f"\nSELECT page_id, r6.host, path, rule, coalesce(said, CASE WHEN purity >= {reject!r} THEN 'block' ELSE 'allow' END) AS verdict, r6.host || node AS template, round(purity, 9) AS purity FROM r6 LEFT JOIN t ON r6.host = t.host AND r6.segments = t.segments AND t.level = len(t.segments)"
