@@ -72,13 +72,46 @@ def test_tokens_equal_the_library():
     assert tok(texts) == [tok.encode(t) for t in texts]
 
 
+def packed(lengths, **kind):
+    """Windows of documents with the given lengths, whose ids are all zero."""
+    packer = packing.Packer(**kind)
+    out = [w for k, n in enumerate(lengths) for w in packer.add(k, b"\0" * 4 * n)]
+    return out + list(packer.end())
+
+
+def test_tiers_are_packed():
+    rnd = random.Random(2)
+    lengths = [rnd.choice((rnd.randint(1, 128), rnd.randint(1, 600), rnd.randint(1, 3000))) for _ in range(3000)]
+    four, one = packed(lengths), packed(lengths, tiers=(1024,))
+    for windows in (four, one):
+        assert sum(len(p[2]) // 4 for _, pieces in windows for p in pieces) == sum(lengths)
+        assert all(sum(len(p[2]) // 4 for p in pieces) == size and size & (size - 1) == 0 for size, pieces in windows)
+        left = [size for size, _ in windows if size not in (128, 256, 512, 1024)]
+        assert sum(left) < 256  # all but a few ids are in windows of a tier: no padding anywhere
+    sizes = {s: sum(size == s for size, _ in four) for s in (128, 256, 512, 1024)}
+    assert all(sizes.values()) and len({size for size, _ in one}) < len({size for size, _ in four}) + 8
+    assert sum(size == 1024 for size, _ in one) >= sum(lengths) // 1024  # one tier: all goes to the longest context
+    for size, pieces in four:
+        lead = pieces[0]
+        assert all(p[4] == next(t for t in (128, 256, 512, 1024) if len(p[2]) // 4 <= t) or p is pieces[-1] for p in pieces)  # routed by length, but for cuts
+        if size in (256, 512, 1024) and lead[4] == size:
+            assert all(p[4] < size for p in pieces[1:-1])  # gaps are filled from shorter tiers
+    short = packed([40] * 64)
+    assert {size for size, _ in short} == {128}  # nothing long waits, so short documents train in a short context
+    mixed = packed([700] * 40 + [60] * 400)
+    assert all(any(p[4] == 128 for p in pieces) for size, pieces in mixed if pieces[0][4] == 1024)
+
+
 def test_step_groups_balance():
-    windows = [[(0, 0, b"\0" * 4 * n, n)] for n in range(1, 65)]
-    groups = packing.step_groups(windows, 8)
-    cost = {}
-    for w, g in zip(windows, groups, strict=True):
-        cost[g] = cost.get(g, 0) + (len(w[0][2]) // 4) ** 2
-    assert len(cost) == 8 and max(cost.values()) < 1.2 * min(cost.values())
+    rnd = random.Random(3)
+    windows = [(size, [(0, 0, b"\0" * 4 * n, n, size), (1, 0, b"\0" * 4 * (size - n), size - n, 128)]) for size in (128, 256, 512, 1024) for n in (rnd.randint(1, size) for _ in range(64))]
+    groups = packing.step_groups(windows, 8 * 1024)
+    tokens, cost = {}, {}
+    for (size, pieces), g in zip(windows, groups, strict=True):
+        tokens[g] = tokens.get(g, 0) + size
+        cost[g] = cost.get(g, 0) + sum((len(p[2]) // 4) ** 2 for p in pieces)
+    assert len(tokens) == 15 and max(tokens.values()) - min(tokens.values()) <= 1024
+    assert max(cost.values()) < 1.3 * min(cost.values())
 
 
 # --- SimHash --------------------------------------------------------------------------------------
@@ -282,19 +315,69 @@ def distance(a, b):
     return row[-1]
 
 
+def nearest(word, terms, stems):
+    """By brute force: the nearest term, or stem of some beginning of the word."""
+    found = [(d, 0, t) for t in terms if (d := distance(word, t)) <= toxicity.allowed_edits(t)]
+    for s in stems:
+        d = min(distance(word[:k], s) for k in range(len(word) + 1))
+        if d <= toxicity.stem_edits(s) and word[:1] == s[0]:
+            found.append((d, 1, s + "*"))
+    return (min(found)[2], min(found)[0]) if found else None
+
+
 def test_automaton_equals_levenshtein():
-    rnd, terms = random.Random(7), ["abba", "abbacd", "bacada", "dadabacaba", "cab"]
-    auto = toxicity.LexiconAutomaton(terms)
-    for _ in range(4000):
+    rnd, terms, stems = random.Random(7), ["abba", "abbacd", "bacada", "dadabacaba", "cab"], ["caca", "dbdbdb", "abcdab"]
+    auto, plain = toxicity.LexiconAutomaton(terms, stems), toxicity.LexiconAutomaton(terms)
+    met = 0
+    for _ in range(6000):
         word = "".join(rnd.choice("abcd") for _ in range(rnd.randint(0, 12)))
-        near = sorted((distance(word, t), t) for t in terms if distance(word, t) <= toxicity.allowed_edits(t))
-        assert auto.match(word) == ((near[0][1], near[0][0]) if near else None), word
+        if rnd.random() < 0.5:
+            word = rnd.choice(terms + stems) + word[:3]
+            at = rnd.randrange(len(word))
+            word = word[:at] + rnd.choice(("", "a", "d")) + word[at + rnd.randint(0, 1) :]
+        assert plain.match(word) == nearest(word, terms, ()), word
+        assert auto.match(word) == nearest(word, terms, stems), word
+        met += nearest(word, terms, stems) is not None
+    assert met > 800
+
+
+def test_hits_by_brute_force():
+    rnd = random.Random(8)
+    model = toxicity.Model(stems=frozenset({"zorkan", "vequ"}), ordinary=frozenset({"stupit"}))
+    scorer = toxicity.Scorer(model)
+    words = ["idiot", "idoit", "idi0t", "Zorkanei", "zorkbnei", "vequa", "veku", "stupit", "m0r0n", "good", "house", "wortless", "worthles", "a" * 90, "i" * 60 + "d" + "i" * 30 + "o" * 40 + "t"]
+    for _ in range(300):
+        text = " ".join(rnd.choice(words) + rnd.choice(("", ",", "!")) for _ in range(rnd.randint(0, 30)))
+        want = []
+        for m in re.finditer(r"[\w@$]+", text.lower()):
+            folded = m[0].translate(str.maketrans("013457@$", "oieastas"))
+            tight = re.sub(r"(.)\1{2,}", r"\1", folded)
+            found = next(((n, f) for f in (m[0], folded, tight) if (n := nearest(f, model.terms, model.stems))), None)
+            if found and not (found[0][1] and m[0] in model.ordinary):
+                (term, edits), form = found
+                want.append((m.start(), m.end(), term, 2 if edits else int(form != m[0])))
+        assert [(a, b, t, k) for a, b, _, t, k, _, _ in scorer.hits(text)] == want
+
+
+def test_context_reaches_as_far_as_it_says():
+    scorer = toxicity.Scorer(toxicity.Model())
+    far = "he wrote: “" + "very long words of a quotation " * 40 + "idiot" + " and so on" * 40 + "” yesterday"
+    near = "he wrote: “ idiot ” yesterday"
+    assert scorer.hits(far)[0][5] == 0.6 and scorer.hits(near)[0][5] == 1.0
+    assert scorer.hits(far.replace("”", ""))[0][5] == 0  # never closed
+    assert scorer.hits('a 5" idiot and a 6" nail')[0][5] == 0  # inch marks quote nothing
+    assert scorer.hits("it’s an idiot isn’t it")[0][5] == 0
+    eight = "you " + "uncommonlylongword " * 7 + "idiot"
+    assert scorer.hits(eight)[0][6] and not scorer.hits("you " + "w " * 8 + "idiot")[0][6]
+    assert toxicity.quoted("« a „b“ c » d") == [(0, 10), (4, 6)]
+    long = "i" * 60 + "d" + "i" * 30 + "o" * 40 + "t"
+    assert scorer.score("you " + long) > 0.9 and scorer.hits("İ " + "idiot")[0][:2] == (2, 7)
 
 
 def test_toxicity(spark, docs, empty):
     def bad(text, rnd):
         for _ in range(2):
-            text.insert(rnd.randrange(len(text)), rnd.choice(["zorkan", "zorkans", "idiot", "schnuffling", "schnuffler"]))
+            text.insert(rnd.randrange(len(text)), rnd.choice(["zorkan", "zorkans", "idiot", "schnuffling", "schnuffler", "a" * 20 + "bcdefghij"]))
         return " ".join(text)
 
     train, labels = labelled(spark, bad, "toxic", 400)
@@ -302,6 +385,10 @@ def test_toxicity(spark, docs, empty):
     model = toxicity.train(train, labels, where=~held)
     scored = toxicity.score(train.filter(held), model).join(labels, "doc_id").collect()
     assert np.mean([(r["toxicity"] >= 0.5) == r["toxic"] for r in scored]) > 0.97
+    learned = toxicity.Scorer(model)
+    assert {t for t in model.terms if len(t) > 24} == {"a" * 20 + "bcdefghij"}  # terms of any length
+    misspelled = {w: learned.hits(w) for w in ("schnuflfing", "5chnuffling", "schnufling", "schnuffeler")}
+    assert all(h and h[0][3].startswith("schnuf") for h in misspelled.values()), misspelled
     score = toxicity.Scorer(toxicity.Model()).score
     assert score("you are an idi0t and a m0ron") > 0.5 > score('he said "idiot" in the quoted article')
     assert score(None) == score("") < 0.5
