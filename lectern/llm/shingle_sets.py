@@ -1,20 +1,25 @@
-"""Near-duplicate classes by the Jaccard similarity of word shingles, exact at any threshold.
-
-Method.  A text becomes the set of the XXH64 values of its word shingles; equal sets are first
-reduced to one.  Sets of similarity ``threshold`` or more share a value among the first
-``n - ceil(threshold * n) + 1`` of each in any order that is the same for all (prefix filter), so
-sets meet in the values of their prefixes and no pair is missed.  The order has values that a sample
-finds common last; the sample sets the work, not the result.
-
-Every set is first compared with the least set of each bucket it is in, which joins most of a large
-class; then all pairs of a bucket that are not yet in one component are compared.  A comparison
-intersects the two whole sets.
-
-A radius of SimHash bits is no filter here: at similarity 0.8 fingerprints differ in about 10 of 64
-bits and often in 18, a distance at which unrelated ones are met by the thousand.
+"""Classes of texts whose word shingles have a given Jaccard similarity: the exact form of the SimHash operator.
+
+:func:`lectern.llm.simhash.near_duplicates` comes here when it is given a ``similarity``.  A radius of
+SimHash bits is no filter for that: at similarity 0.8 fingerprints differ in about 10 of 64 bits and
+often in 18, a distance at which unrelated ones are met by the thousand.  So fingerprints within the
+radius give the first candidates, by the same tiles as ever, and the rest come from the sets:
+
+1. A text becomes the set of the XXH64 values of its word shingles and a fingerprint; equal sets are
+   reduced to one.
+2. Sets with equal or linked fingerprints are compared; what is similar is joined.
+3. Sets of similarity ``threshold`` or more share a value among the first ``n - ceil(threshold * n) + 1``
+   of each, in any order that is the same for all (prefix filter), so sets meet in the values of their
+   prefixes and no pair is missed.  The order has values that a sample finds common last; the sample
+   sets the work, not the result.  Each set is compared with the least set of each bucket.
+4. Buckets that still hold sets of different components are compared in tiles, as fingerprints are:
+   a task sees two tiles, skips pairs whose sizes can't be similar or that are joined already, and
+   returns a spanning forest of its links.  Of buckets with the same members one is compared.
+
+Every comparison intersects two whole sets.
 
 Defined results: null text counts as empty; texts without words are alike; a text shorter than a
-shingle is one shingle; repeated doc_ids are judged row by row; extra columns are ignored.
+shingle is one shingle; repeated ids are judged row by row; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,20 +29,22 @@ from math import ceil
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_batches, staged, text_or_empty
-from lectern.llm.simhash import components, shingle_hashes
+from lectern.llm.common import id_and_text, in_pandas, staged, text_or_empty, unstage
+from lectern.llm.simhash import components, links, of_hashes, shingle_hashes
 
 #: documents that the order of the values is sampled from, and the common values it keeps
 _SAMPLE, _COMMON = 8_000, 100_000
+#: sets in a tile
+_TILE = 512
 
 
 def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
     """The sorted different hashes of a text's shingles, as signed longs; never empty."""
     blocks = list(shingle_hashes(text, width, seed))
-    return np.unique(np.concatenate(blocks)).view(np.int64) if blocks else np.zeros(1, np.int64)
+    return np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(1, np.int64)
 
 
 def prefix(values: np.ndarray, threshold: float, common: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -50,6 +57,11 @@ def prefix(values: np.ndarray, threshold: float, common: np.ndarray, counts: np.
     return values[np.lexsort((values, often))[:most]]
 
 
+def similar(both, n, m, threshold: float):
+    """Whether sets of ``n`` and ``m`` values with ``both`` in common reach the threshold."""
+    return both >= threshold * (n + m - both) - 1e-9
+
+
 def _common_values(docs: DataFrame, text_col: str, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Values that several sampled texts have, sorted, with their counts."""
     step = max(1, docs.count() // _SAMPLE)
@@ -60,75 +72,156 @@ def _common_values(docs: DataFrame, text_col: str, width: int, seed: int) -> tup
             for text in pdf["text"]:
                 yield pd.DataFrame({"value": shingle_set(text, width, seed)})
 
-    counted = sample.mapInPandas(run, "value long").groupBy("value").agg(F.count("*").alias("n")).filter("n > 3")
+    counted = in_pandas(sample, run, "value long", ()).groupBy("value").agg(F.count("*").alias("n")).filter("n > 3")
     rows = sorted((r["value"], r["n"]) for r in counted.orderBy(F.desc("n"), "value").limit(_COMMON).collect())
     return np.array([v for v, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, seed: int) -> DataFrame:
-    """``(doc_id, key, n, prefix, members)``: equal sets have one key."""
+    """``(doc_id, key, fp, n, prefix, members)``: equal sets have one key."""
     shared = docs.sparkSession.sparkContext.broadcast(_common_values(docs, text_col, width, seed))
+    rows, kind = id_and_text(docs, id_col, text_col)
 
     def run(batches):
         common, counts = shared.value
         for pdf in batches:
-            sets = [shingle_set(t, width, seed) for t in pdf["text"]]
+            fps, sets = [], []
+            for text in pdf["text"]:
+                blocks = list(shingle_hashes(text, width, seed))
+                fps.append(of_hashes(blocks))
+                sets.append(np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(1, np.int64))
             members = [s.tobytes() for s in sets]
             keys = np.array([xxhash.xxh64_intdigest(m, seed) for m in members], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "n": [len(s) for s in sets], "prefix": [prefix(s, threshold, common, counts) for s in sets], "members": members})
+            fps = np.array(fps, dtype=np.uint64).view(np.int64)
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "fp": fps, "n": [len(s) for s in sets], "prefix": [prefix(s, threshold, common, counts) for s in sets], "members": members})
+
+    return in_pandas(rows, run, f"doc_id {kind}, key long, fp long, n long, prefix array<long>, members binary")
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, key long, n long, prefix array<long>, members binary")
+def _members(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(key, members)`` of the keys that are asked for."""
+    return sets.select("key", "members").join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.first("members").alias("members"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The ``pairs`` (u, v) whose whole sets are similar."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("key")).distinct()
-    whole = staged(sets.select("key", "members").join(needed, "key", "left_semi").groupBy("key").agg(F.first("members").alias("members")), "members")
+    """The ``pairs`` (u, v) whose whole sets are similar, as a staged table."""
+    pairs = staged(pairs.distinct(), "pairs")
+    whole = staged(_members(sets, pairs.select(F.explode(F.array("u", "v")).alias("key"))), "members")
 
     def run(batches):
         for pdf in batches:
             near = []
             for a, b in zip(pdf["a"], pdf["b"], strict=True):
                 x, y = np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                near.append(both >= threshold * (len(x) + len(y) - both) - 1e-9)
+                near.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold)))
             yield pdf.loc[near, ["u", "v"]]
 
     met = pairs.join(whole.select(F.col("key").alias("u"), F.col("members").alias("a")), "u").join(whole.select(F.col("key").alias("v"), F.col("members").alias("b")), "v")
-    return staged(met.select("u", "v", "a", "b").mapInPandas(run, "u long, v long"), "similar")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5, seed: int = 42) -> DataFrame:
+    out = staged(in_pandas(met.select("u", "v", "a", "b"), run, "u long, v long", ()), "similar")
+    unstage(pairs, whole)
+    return out
+
+
+def _merged(rooted: DataFrame, found: DataFrame) -> DataFrame:
+    """``rooted`` (key, root) once the links ``found`` (u, v) between keys count too; both are deleted."""
+    u, v = rooted.select(F.col("key").alias("u"), F.col("root").alias("a")), rooted.select(F.col("key").alias("v"), F.col("root").alias("b"))
+    moved = components(found.join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    out = staged(rooted.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("key", F.coalesce("to", "root").alias("root")), "rooted")
+    unstage(moved, rooted, found)
+    return out
+
+
+def forest(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], threshold: float, second: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between similar sets of different roots (of different sides, if ``second`` marks one), as a spanning forest."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    keys, roots, sets = keys[order], roots[order], [sets[k] for k in order]
+    side = None if second is None else second[order]
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    values = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+    _, group = np.unique(roots, return_inverse=True)
+    out = []
+    for k, own in enumerate(sets[:-1]):
+        last = int(np.searchsorted(sizes, len(own) / threshold + 1e-9, side="right"))  # longer ones can't be similar
+        if last <= k + 1 or (group[k + 1 : last] == group[k]).all():
+            continue
+        hits = np.concatenate(([0], np.cumsum(np.isin(values[ends[k] : ends[last - 1]], own))))
+        both = np.diff(hits[ends[k:last] - ends[k]])
+        near = similar(both, len(own), sizes[k + 1 : last], threshold)
+        if side is not None:
+            near &= side[k + 1 : last] != side[k]
+        for j in (np.flatnonzero(near) + k + 1).tolist():
+            if group[j] != group[k]:
+                out.append((int(keys[k]), int(keys[j])))
+                group[group == group[j]] = group[k]
+    return out
+
+
+def _tiled(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links within the buckets of ``met`` (value, key, root), each of which holds several roots."""
+    sizes = met.groupBy("value").agg(F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"))
+    sizes = sizes.groupBy("size", "who").agg(F.min("value").alias("value"))  # of buckets with the same members one
+    placed = met.join(sizes.select("value", F.ceil(F.col("size") / _TILE).cast("int").alias("tiles")), "value")
+    placed = staged(placed, "placed")
+    whole = staged(_members(sets, placed.select("key")), "members")
+    shares = max(16, placed.count() // (4 * _TILE))
+    schema = "u long, v long"
+
+    def rows(pdf: pd.DataFrame):
+        return pdf["key"].to_numpy(), pdf["root"].to_numpy(), [np.frombuffer(m, np.int64) for m in pdf["members"]]
+
+    def within(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [link for _, part in pdf.groupby("value") for link in forest(*rows(part), threshold)]
+        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        crossed = pdf["i"].iloc[0] != pdf["j"].iloc[0]
+        return pd.DataFrame(forest(*rows(pdf), threshold, pdf["second"].to_numpy(dtype=bool) if crossed else None), columns=["u", "v"], dtype="int64")
+
+    small = placed.filter("tiles = 1").join(whole, "key").groupBy(F.pmod(F.xxhash64("value"), F.lit(shares)).alias("share")).applyInPandas(within, schema)
+    own = placed.filter("tiles > 1").withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.col("tiles")).cast("int"))
+    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.select("value", "key", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
+    large = dealt.join(whole, "key").groupBy("value", "i", "j").applyInPandas(between, schema)
+    out = staged(small.unionByName(large), "rest")
+    unstage(placed, whole)
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, radius: int, seed: int) -> DataFrame:
     """``(doc_id, component_id)`` per document; ``component_id`` is the smallest doc_id reachable."""
-    bounded_batches(docs.sparkSession)
     sets = staged(_sets(docs, id_col, text_col, width, threshold, seed), "sets")
-    distinct = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    distinct = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
     distinct = staged(distinct, "distinct")
-    bucket = Window.partitionBy("value")
-    met = distinct.select("key", "n", F.explode("prefix").alias("value"))
-    met = met.select("*", F.min(F.struct("key", "n")).over(bucket).alias("first"), F.count("*").over(bucket).alias("size"))
-    met = staged(met.filter("size > 1").drop("size"), "buckets")
 
     def fits(n, m):
         return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
 
-    stars = met.filter((F.col("key") != F.col("first.key")) & fits(F.col("n"), F.col("first.n")))
-    stars = staged(stars.select(F.col("first.key").alias("u"), F.col("key").alias("v")).distinct(), "stars")
-    links = _confirmed(stars, sets, threshold)
-    roots = components(links)
-
-    # What is left: pairs of a bucket in different components, but for those compared already.
-    rooted = met.select("value", "key", "n").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    rooted = rooted.select("*", (F.min("root").over(bucket) < F.max("root").over(bucket)).alias("mixed")).filter("mixed").drop("mixed")
-    rooted = staged(rooted, "rooted")
-    a = rooted.select("value", F.col("key").alias("ka"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    b = rooted.select("value", F.col("key").alias("kb"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    rest = a.join(b, "value").filter((F.col("ka") < F.col("kb")) & (F.col("ra") != F.col("rb")) & fits(F.col("na"), F.col("nb")))
-    rest = rest.select(F.col("ka").alias("u"), F.col("kb").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    more = _confirmed(staged(rest, "rest"), sets, threshold)
-    roots = components(links.unionByName(more))
-
-    rooted = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "least", F.coalesce("root", "key").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return sets.select("doc_id", "key").join(rooted.join(named, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+    # 2: by fingerprint
+    heads = staged(distinct.groupBy("fp").agg(F.min(F.struct("key", "n")).alias("head")), "heads")
+    of_equal = distinct.join(heads, "fp").filter((F.col("key") != F.col("head.key")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.key").alias("u"), F.col("key").alias("v"))
+    linked = links(heads.select("fp"), heads.count(), radius)
+    a, b = heads.select(F.col("fp").alias("u"), F.col("head").alias("a")), heads.select(F.col("fp").alias("v"), F.col("head").alias("b"))
+    of_linked = linked.join(a, "u").join(b, "v").filter(fits(F.col("a.n"), F.col("b.n"))).select(F.col("a.key").alias("u"), F.col("b.key").alias("v"))
+    rooted = staged(distinct.select("key", F.col("key").alias("root")), "rooted")
+    rooted = _merged(rooted, _confirmed(of_equal.unionByName(of_linked), sets, threshold))
+    unstage(heads)
+
+    # 3: by the values of the prefixes, against the least set of a bucket
+    def mixed(rooted: DataFrame) -> DataFrame:
+        """Rows (value, key, n, root) of buckets with several roots, and each bucket's least row."""
+        met = distinct.join(rooted, "key").select("key", "n", "root", F.explode("prefix").alias("value"))
+        ends = met.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("key", "n", "root")).alias("first"))
+        return met.join(ends.filter("low < high").select("value", "first"), "value")
+
+    met = mixed(rooted).filter((F.col("root") != F.col("first.root")) & fits(F.col("n"), F.col("first.n")))
+    rooted = _merged(rooted, _confirmed(met.select(F.col("first.key").alias("u"), F.col("key").alias("v")), sets, threshold))
+
+    # 4: what is left, in tiles
+    rooted = _merged(rooted, _tiled(mixed(rooted).select("value", "key", "root"), sets, threshold))
+
+    named = distinct.join(rooted, "key").groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = staged(rooted.join(named, "root").select("key", "component_id"), "classes")
+    out = staged(sets.select("doc_id", "key").join(classes, "key").select("doc_id", "component_id"), "classes")
+    unstage(sets, distinct, rooted, classes)
+    return out

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import bounded_batches, staged, text_or_empty, unstage
+from lectern.llm.common import id_and_text, in_pandas, staged, unstage
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: shingles hashed at a time, which bounds the memory that a very long text takes
@@ -56,8 +56,12 @@ def shingle_hashes(text: str | None, width: int = 4, seed: int = 42):
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     """The 64-bit SimHash of one text: ``width``-word shingles, a bit where over half the hashes have it."""
+    return of_hashes(shingle_hashes(text, width, seed))
+
+
+def of_hashes(blocks) -> int:
     total, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, width, seed):
+    for hashes in blocks:
         total += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(hashes)
     return sum(1 << i for i in np.flatnonzero(2 * total > n).tolist())
@@ -65,14 +69,14 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """``(doc_id, fp)``: the fingerprint as a signed long with the same 64 bits."""
-    bounded_batches(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:
             fps = np.array([fingerprint(t, width, seed) for t in pdf["text"]], dtype=np.uint64)
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    rows, kind = id_and_text(docs, id_col, text_col)
+    return in_pandas(rows, run, f"doc_id {kind}, fp long")
 
 
 def _bands(bits: int, bands: int) -> list[tuple[int, int]]:
@@ -170,15 +174,16 @@ def _few(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return list(zip(fps[p].tolist(), fps[q].tolist(), strict=False))
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` for every node of ``edges`` (u, v): the root is the smallest node of its component.
 
-    Alternates large-star and small-star; the rounds needed grow with the logarithm of the longest
-    chain.  A round is written to the shared folder and the one before it is deleted.
+    Alternates large-star and small-star until nothing changes; the rounds needed grow with the
+    logarithm of the longest chain.  A round is written to the shared folder and the one before it
+    is deleted; :func:`unstage` deletes the last, once the result has been used.
     """
     now = staged(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
-    for _ in range(max_rounds):
+    before, stable = None, False
+    while not stable:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -189,20 +194,28 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after = staged(small.filter("u <> v").distinct(), "links")
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         unstage(now)
-        now = after
-        if mark == before:
-            break
-        before = mark
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        now, stable, before = after, mark == before, mark
+    out = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._staged_at = now._staged_at
+    return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp, component_id)`` per document; ``component_id`` is the smallest doc_id reachable."""
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, width: int = 4, seed: int = 42, similarity: float | None = None) -> DataFrame:
+    """``(doc_id, fp, component_id)`` per document; ``component_id`` is the smallest doc_id reachable.
+
+    With a ``similarity`` two documents are linked if the Jaccard similarity of their whole shingle
+    sets reaches it, whatever their fingerprints; the result is then ``(doc_id, component_id)``.
+    """
+    if similarity is not None:
+        from lectern.llm import shingle_sets  # which builds on this module
+
+        return shingle_sets.near_duplicates(docs, id_col, text_col, similarity, width, radius, seed)
     fps = staged(fingerprints(docs, id_col, text_col, width, seed), "fingerprints")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = staged(distinct, "distinct")
+    distinct = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), distinct.count(), radius))
     rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = staged(rooted, "rooted")
+    unstage(distinct, roots)
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
