@@ -6,6 +6,7 @@ number of entries, then for each entry the lengths of its name and its bytes, th
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 
@@ -46,3 +47,35 @@ def unpack(data: bytes) -> tuple[dict, dict[str, bytes]]:
     if at != len(data):
         raise ValueError("bytes after the archive's end")
     return meta, entries
+
+
+def banks(data: bytes) -> list[dict]:
+    """Banks (name, questions, assets) of a package, or of a JSON file with ``questions``, or with ``banks`` as a
+    full backup has; assets there are in Base64.  Raises ValueError for anything else."""
+    if data[: len(MAGIC)] == MAGIC:
+        meta, entries = unpack(data)
+        if "questions.json" not in entries:
+            raise ValueError("the archive holds no questions")
+        return [{"name": meta.get("name") or meta.get("bank_id") or "", "questions": json.loads(entries.pop("questions.json")), "assets": entries}]
+    try:
+        value = json.loads(data.decode("utf-8-sig"))
+        found = value["banks"] if "banks" in value else [value]
+        return [{"name": b.get("name") or "", "questions": list(b["questions"]), "assets": {k: base64.b64decode(v, validate=True) for k, v in (b.get("assets") or {}).items()}} for b in found]
+    except (UnicodeDecodeError, json.JSONDecodeError, KeyError, TypeError, AttributeError) as e:
+        raise ValueError("no bank") from e
+
+
+def backup(banks_: dict[str, bytes], records: bytes) -> bytes:
+    """One package of several banks' packages and all records."""
+    return pack({"kind": "backup", "banks": sorted(banks_)}, {f"bank/{k}": v for k, v in banks_.items()} | {"records.json": records})
+
+
+def unbackup(data: bytes) -> tuple[dict[str, bytes], bytes]:
+    """(banks' packages, records) of a backup, each checked before anything is returned."""
+    meta, entries = unpack(data)
+    found = {k[5:]: v for k, v in entries.items() if k.startswith("bank/")}
+    if meta.get("kind") != "backup" or sorted(found) != meta.get("banks") or "records.json" not in entries:
+        raise ValueError("the archive doesn't hold what it says")
+    for package in found.values():
+        unpack(package)
+    return found, entries["records.json"]

@@ -21,21 +21,24 @@ WORD, EXCEL = ("docx", "docm", "dotx", "dotm"), ("xlsx", "xlsm", "xltx", "xltm")
 DELIMITED, PLAIN, MARKDOWN, HTML = ("csv", "tsv"), ("txt",), ("md", "markdown"), ("html", "htm")
 CAPS_MB = {**dict.fromkeys(WORD, 40), **dict.fromkeys(EXCEL, 60), **dict.fromkeys(DELIMITED + PLAIN + MARKDOWN + HTML + ("rtf",), 20), "odt": 50, "ods": 50, "doc": 50, "xls": 50, "pdf": 80}
 
-PARAGRAPH = "path string, kind string, index int, text string, style string, num_id string, level int, list_ordinal int, table_id int, table_row int, table_col int, images array<string>, strong array<string>, weak array<string>, error string"
-CELL = "path string, kind string, sheet string, row int, col int, value string, formula string, error string"
+PARAGRAPH = "path string, kind string, index int, text string, style string, num_id string, level int, list_ordinal int, table_id int, table_row int, table_col int, images array<string>, strong array<string>, weak array<string>, page int, error string"
+CELL = "path string, kind string, sheet string, row int, col int, value string, formula string, images array<string>, error string"
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:
-    """Files of known kinds with their bytes; larger ones than their cap are left out by their length alone."""
+    """Files of known kinds with their bytes; one larger than its kind's cap comes with an error instead, and is never read."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     kind = F.lower(F.regexp_extract("path", r"\.([^./\\]+)\z", 1))
     cap = F.try_element_at(F.create_map(*(F.lit(x) for kv in CAPS_MB.items() for x in kv)), kind)
-    return df.withColumn("kind", kind).filter(cap.isNotNull() & (F.col("length") <= cap * (1 << 20)))
+    known = df.withColumns({"kind": kind, "cap": cap}).filter("cap IS NOT NULL")
+    small = known.filter("length <= cap * 1048576").withColumn("error", F.lit(None).cast("string"))
+    large = known.filter("length > cap * 1048576").drop("content").withColumns({"content": F.lit(None).cast("binary"), "error": F.concat(F.lit("larger than "), F.col("cap").cast("string"), F.lit(" MB"))})
+    return small.unionByName(large).drop("cap")
 
 
 def paragraphs_of(kind: str, data: bytes) -> list[dict]:
     if kind in WORD:
-        return office.docx(data)
+        return office.labelled_rows(office.docx(data))[0]
     if kind == "odt":
         return [{"index": k, "text": t} for k, t in enumerate(office.odt(data))]
     if kind == "pdf":
@@ -51,6 +54,9 @@ def paragraphs_of(kind: str, data: bytes) -> list[dict]:
 def cells_of(kind: str, data: bytes) -> list[dict]:
     if kind in EXCEL:
         return office.xlsx(data)
+    if kind in WORD:
+        used = office.labelled_rows(rows := office.docx(data))[1]
+        return [c for c in office.docx_cells(rows) if int(c["sheet"][6:]) not in used]
     if kind == "ods":
         return office.ods(data)
     if kind == "xls":
@@ -68,8 +74,10 @@ def _each(files: DataFrame, reader, schema: str) -> DataFrame:
 
     def run(batches):
         for pdf in batches:
-            for path, kind, data in zip(pdf["path"], pdf["kind"], pdf["content"], strict=True):
+            for path, kind, data, error in zip(pdf["path"], pdf["kind"], pdf["content"], pdf["error"], strict=True):
                 try:
+                    if error is not None:
+                        raise ValueError(error)
                     rows = [dict.fromkeys(names) | {"path": path, "kind": kind} | r for r in reader(kind, bytes(data))]
                 except _FAILURES as e:
                     rows = [dict.fromkeys(names) | {"path": path, "kind": kind, "error": f"{type(e).__name__}: {e}"[:200]}]
@@ -80,7 +88,8 @@ def _each(files: DataFrame, reader, schema: str) -> DataFrame:
                             out[c] = out[c].astype("Int32")
                     yield out
 
-    return files.select("path", "kind", "content").mapInPandas(run, schema)
+    there = files if "error" in files.columns else files.withColumn("error", F.lit(None).cast("string"))
+    return there.select("path", "kind", "content", "error").mapInPandas(run, schema)
 
 
 def paragraphs(files: DataFrame) -> DataFrame:
@@ -89,4 +98,4 @@ def paragraphs(files: DataFrame) -> DataFrame:
 
 
 def cells(files: DataFrame) -> DataFrame:
-    return _each(files.filter(F.col("kind").isin(*EXCEL, "ods", "xls", *DELIMITED, *HTML)), cells_of, CELL)
+    return _each(files.filter(F.col("kind").isin(*EXCEL, *WORD, "ods", "xls", *DELIMITED, *HTML)), cells_of, CELL)

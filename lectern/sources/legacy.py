@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import struct
 
+from lectern.functions.lines import MOJIBAKE
+
 _FREE = 0xFFFFFFFA
 
 
@@ -176,39 +178,62 @@ def xls(data: bytes) -> list[dict]:
     return out
 
 
-_CONTROLS = {7: "\t", 11: "\n", 12: "\n", 13: "\n", 30: "-", 31: "", 160: " "}
+_CONTROLS = {1: "【图片】", 7: "\t", 11: "\n", 12: "\n", 13: "\n", 30: "-", 31: "", 160: " "}
+#: What characters speak for or against a reading of bytes as text.
+_POINTS = ((re.compile("[ -~　-鿿豈-﫿]"), 1), (re.compile("[㐀-鿿]"), 3), (re.compile("�"), -120), (re.compile("[\x00-\x08\x0e-\x1f]"), -40), (re.compile(MOJIBAKE), -20))
 
 
-def doc(data: bytes) -> str:
-    """Text of a Word 97 document by its piece table."""
-    streams = compound(data)
-    main = streams.get("WordDocument", b"")
-    if len(main) < 0x1AA or struct.unpack_from("<H", main)[0] != 0xA5EC:
-        raise ValueError("no Word document")
+def text_quality(text: str) -> int:
+    return sum(points * len(p.findall(text)) for p, points in _POINTS) if text else -100_000
+
+
+def best_reading(data: bytes, *encodings: str) -> str:
+    """Bytes as strict UTF-8, else as the encoding that reads best; the first of equals."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return max((data.decode(e, "replace") for e in encodings or ("gb18030", "cp1252")), key=text_quality)
+
+
+def without_controls(text: str) -> str:
+    """Word's control characters as text: cells end in tabs, rows and pages in line ends; pictures are named, fields keep their results."""
+    text = re.sub("\x13[^\x14\x15]*\x14?", "", text).replace("\x15", "")
+    return re.sub("\n{4,}", "\n\n\n", re.sub("[\x00-\x08\x0e-\x1f]", "", text.translate(_CONTROLS)))
+
+
+def _pieces(main: bytes, streams: dict[str, bytes]) -> str | None:
+    """The text by the piece table, or None without one."""
     table = streams.get("1Table" if struct.unpack_from("<H", main, 10)[0] & 0x200 else "0Table", b"")
     at, size = struct.unpack_from("<II", main, 0x1A2)
     clx, k, pieces = table[at : at + size], 0, b""
-    while k < len(clx):
-        if clx[k] == 1:
-            k += 3 + struct.unpack_from("<H", clx, k + 1)[0]
-        elif clx[k] == 2:
-            n = struct.unpack_from("<I", clx, k + 1)[0]
-            pieces = clx[k + 5 : k + 5 + n]
-            break
-        else:
+    while k + 5 <= len(clx) and clx[k] in (1, 2):
+        if clx[k] == 2:
+            pieces = clx[k + 5 : k + 5 + struct.unpack_from("<I", clx, k + 1)[0]]
             break
+        k += 3 + struct.unpack_from("<H", clx, k + 1)[0]
     count = (len(pieces) - 4) // 12
     if count < 1:
-        raise ValueError("no piece table")
-    ends = struct.unpack_from(f"<{count + 1}I", pieces)
-    out = []
+        return None
+    ends, out = struct.unpack_from(f"<{count + 1}I", pieces), []
     for k in range(count):
-        place = struct.unpack_from("<I", pieces, 4 * (count + 1) + 8 * k + 2)[0]
-        n = ends[k + 1] - ends[k]
+        place, n = struct.unpack_from("<I", pieces, 4 * (count + 1) + 8 * k + 2)[0], ends[k + 1] - ends[k]
         if place & 0x40000000:
             start = (place & 0x3FFFFFFF) // 2
             out.append(main[start : start + n].decode("cp1252", "replace"))
         else:
             out.append(main[place : place + 2 * n].decode("utf-16-le", "replace"))
-    text = re.sub("\x13[^\x14\x15]*\x14?", "", "".join(out)).replace("\x15", "")  # field codes go, their results stay
-    return re.sub("[\x00-\x08\x0e-\x1f]", "", text.translate(_CONTROLS))
+    return "".join(out)
+
+
+def doc(data: bytes) -> str:
+    """Text of a Word 97 document by its piece table; without one, the stream's text in the encoding that reads best."""
+    streams = compound(data)
+    main = streams.get("WordDocument", b"")
+    if len(main) < 0x1AA or struct.unpack_from("<H", main)[0] != 0xA5EC:
+        raise ValueError("no Word document")
+    text = _pieces(main, streams)
+    if text is None or not text.strip():
+        first, last = struct.unpack_from("<II", main, 24)
+        raw = main[first:last] if 0 < first < last <= len(main) else main
+        text = max((raw.decode("utf-16-le", "replace"), best_reading(raw)), key=text_quality)
+    return without_controls(text)
