@@ -54,13 +54,18 @@ def answer_status(kind: Column, correct: Column, revealed: Column, self_score: C
     return F.when(~done, "unanswered").when(F.coalesce(correct, F.lit(False)), "correct").otherwise("wrong")
 
 
-def truth(text: Column, table: bool = False) -> Column:
-    """true, false or null; tables also write Y and N."""
-    clean = F.upper(one_line(F.coalesce(text, F.lit(""))))
+def truth_of_line(line: Column, table: bool = False) -> Column:
+    """true, false or null by a text that is one line already; tables also write Y and N."""
+    clean = F.upper(line)
     yes, no = TRUE_WORDS + (("Y", "YES") if table else ()), FALSE_WORDS + (("N", "NO") if table else ())
     return F.when(clean.isin(*yes), True).when(clean.isin(*no), False)
 
 
+def truth(text: Column, table: bool = False) -> Column:
+    """true, false or null; tables also write Y and N."""
+    return truth_of_line(one_line(F.coalesce(text, F.lit(""))), table)
+
+
 def difficulty(text: Column) -> Column:
     clean = one_line(text)
     out = F.when(F.length(clean) <= 12, clean).otherwise("")
@@ -165,3 +170,82 @@ def combined_options(text: Column) -> Column:
     bodies = F.split(text, marker, F.greatest(first, F.lit(1)) + n)
     found = F.transform(F.slice(own, F.lit(1), n), lambda k, i: F.struct(k.alias("key"), F.trim(F.get(bodies, first + i)).alias("text")))
     return F.filter(found, lambda p: p["text"] != "")
+
+
+# --- what stands for several issues ---------------------------------------------------------------
+_MISSING, _MISMATCH, _SHORT = "无答案|缺少答案|缺少参考答案", "答案不符|答案.+不在选项中", "选项不足|选项少于"
+_NAMED_DUPLICATE = "^(?:导入片段重复|原文确实重复|原文重复|解析重复|疑似重复|原文选项内容重复|解析疑似重复识别)"
+
+
+def normalize_issues(issues: Column) -> Column:
+    """Issues tidied, each once, with those that others make superfluous merged or left out.
+
+    A named duplicate replaces the general one; a missing answer counts once and before wrong ones;
+    wrong answers are one issue with all their letters; too few options and a wrong answer are one
+    cause; a judgement's wrong options replace their being too few.
+    """
+
+    def without(found: Column, pattern: str) -> Column:
+        return F.filter(found, lambda i: ~i.rlike(pattern))
+
+    def several(found: Column, pattern: str) -> Column:
+        return F.size(F.filter(found, lambda i: i.rlike(pattern)))
+
+    def with_letters(found: Column, before: str, after: str, bare: str) -> Column:
+        """An issue that names all letters that the issues in question name."""
+        lists = F.transform(found, lambda i: F.regexp_extract_all(F.upper(F.regexp_extract(i, r"(?i)[（(]([A-L](?:[、,，/\s]+[A-L])*)[）)]", 1)), F.lit("([A-L])"), F.lit(1)))
+        letters = F.array_distinct(F.flatten(lists))
+        return F.when(F.size(letters) > 0, F.concat(F.lit(before), F.array_join(letters, "、"), F.lit(after))).otherwise(bare)
+
+    tidy = F.transform(F.coalesce(issues, F.expr("cast(array() as array<string>)")), lambda i: F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(i, F.lit("")), r"^\s*[•·-]\s*", ""), r"\s+", " ")))
+    out = F.array_distinct(F.filter(tidy, lambda i: i != ""))
+    out = F.when(several(out, _NAMED_DUPLICATE) > 0, without(out, "^选项内容重复(?:[（(]|$)")).otherwise(out)
+    wrong = F.filter(out, lambda i: i.rlike(_MISMATCH))
+    out = F.when(F.size(wrong) > 1, F.concat(without(out, _MISMATCH), F.array(with_letters(wrong, "答案不符（", "）", "答案不符")))).otherwise(out)
+    lone = F.when(several(out, _MISSING) > 1, F.concat(without(without(out, _MISMATCH), _MISSING), F.array(F.lit("无答案")))).otherwise(without(out, _MISMATCH))
+    out = F.when(several(out, _MISSING) > 0, lone).otherwise(out)
+    few, wrong = several(out, _SHORT), F.filter(out, lambda i: i.rlike(_MISMATCH))
+    rest = without(without(out, _SHORT), _MISMATCH)
+    out = (
+        F.when((few > 0) & (F.size(wrong) > 0), F.concat(rest, F.array(with_letters(wrong, "选项不足（答案 ", " 无对应选项）", "选项不足"))))
+        .when(few > 1, F.concat(without(out, _SHORT), F.array(F.lit("选项不足"))))
+        .otherwise(out)
+    )
+    return F.array_distinct(F.when(several(out, "判断选项异常|判断题选项数量") > 0, F.filter(out, lambda i: i != "选项不足")).otherwise(out))
+
+
+def issue_label(issue: Column, otherwise: Column) -> Column:
+    """An issue as it is if it is short, else its group's name."""
+    return F.when((issue != "") & (F.length(issue) <= 11) & ~issue.rlike("[：:]"), issue).otherwise(otherwise)
+
+
+def extension_label(name: Column) -> Column:
+    """What a file is called by its extension, in capitals; unknown ones are files."""
+    ext = F.upper(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^.\\/]+)\z", 1))
+    return F.when(ext == "", "文件").otherwise(ext)
+
+
+def fragment_label(kind: Column) -> Column:
+    """How a review names the piece of the source that a question came from."""
+    k = F.lower(F.coalesce(kind, F.lit("")))
+    sheet = k.isin("xlsx", "xlsm", "xltx", "xltm", "xls", "ods", "csv", "tsv", "excel")
+    shown = F.when(k == "excel", "Excel").otherwise(F.upper(k))
+    return F.when(sheet, F.concat(F.lit("原始 "), shown, F.lit(" 行"))).when(k == "pdf", "原始 PDF 文本片段").when(k != "", F.concat(F.lit("原始 "), shown, F.lit(" 文本片段"))).otherwise("原始文件片段")
+
+
+def stable_id(prefix: str, *parts: Column) -> Column:
+    """An id that is the same for the same parts, whoever makes it."""
+    return F.concat(F.lit(f"{prefix}_"), F.substring(F.sha2(F.concat_ws("\x1f", *(p.cast("string") for p in parts)), 256), 1, 24))
+
+
+def content_hash(content: Column) -> Column:
+    """A digest of bytes or text; equal contents have one."""
+    return F.sha2(content.cast("binary"), 256)
+
+
+def fnv1a(text: Column) -> Column:
+    """The 32-bit FNV-1a hash of a text's UTF-16 units, as features are hashed."""
+    units = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(F.hex(F.encode(text, "UTF-16BE"))) / 4).cast("int")), lambda k: F.conv(F.substring(F.hex(F.encode(text, "UTF-16BE")), k * 4 - 3, F.lit(4)), 16, 10).cast("long"))
+    units = F.when(text == "", F.expr("cast(array() as array<long>)")).otherwise(units)
+    #: The offset and the prime of the 32-bit hash.
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: F.pmod(h.bitwiseXOR(u) * F.lit(16777619), F.lit(1 << 32)))

@@ -1,4 +1,4 @@
-"""Question tables: cells (path, sheet, row, col, value) to questions, by column expressions.
+"""Question tables: cells (path, sheet, row, col, value, and images if there are) to questions, by column expressions.
 
 Header rows are found by scoring the roles of their cells, then each row below becomes a question.
 """
@@ -56,14 +56,19 @@ def answer_keys(raw: Column, keys: Column, truths: Column, kind: Column) -> Colu
 def questions(cells: DataFrame) -> DataFrame:
     """Validated questions of all sheets that have a header; rows without a question are left out."""
     found = headers(cells).join(difficulty_column(cells, headers(cells)), KEY, "left")
-    rows = cells.groupBy(*KEY, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("c"))
+    none = F.expr("cast(array() as array<string>)")
+    shown = F.coalesce(F.col("images"), none) if "images" in cells.columns else none
+    rows = cells.groupBy(*KEY, "row").agg(F.map_from_entries(F.collect_list(F.struct("col", F.coalesce("value", F.lit("")).alias("value")))).alias("c"), F.map_from_entries(F.collect_list(F.struct("col", shown.alias("images")))).alias("i"))
     j = rows.join(found.withColumnRenamed("row", "head"), KEY).filter(F.col("row") > F.col("head"))
 
     def cell(role: str) -> Column:
         return F.coalesce(F.try_element_at("c", F.try_element_at("roles", F.lit(role))), F.lit(""))
 
-    options = F.array(*(F.struct(F.lit(k).alias("key"), normalize(cell(f"option:{k}")).alias("text"), F.expr("cast(array() as array<string>)").alias("images")) for k in "ABCDEFGHIJKL"))
-    options = F.filter(options, lambda o: o["text"] != "")
+    def pictures(role: str) -> Column:
+        return F.coalesce(F.try_element_at("i", F.try_element_at("roles", F.lit(role))), none)
+
+    options = F.array(*(F.struct(F.lit(k).alias("key"), normalize(cell(f"option:{k}")).alias("text"), pictures(f"option:{k}").alias("images")) for k in "ABCDEFGHIJKL"))
+    options = F.filter(options, lambda o: (o["text"] != "") | (F.size(o["images"]) > 0))
     kind, label = Q.type_of_label(cell("type"))
     j = j.withColumn("options", options).withColumn("answer_cell", cell("answer")).withColumn("kind", kind).withColumn("display_label", F.coalesce(label, F.lit("")))
     truths = F.transform("options", lambda o: Q.truth(o["text"], table=True))
@@ -79,7 +84,8 @@ def questions(cells: DataFrame) -> DataFrame:
     out = j.select(
         *KEY, "row", cell("number").alias("number"), "type", "display_label", normalize(cell("question")).alias("question"), "options", answer.alias("answer"),
         F.when(F.col("type") == "short", normalize(F.col("answer_cell"))).otherwise("").alias("answer_text"), normalize(cell("analysis")).alias("analysis"), hard.alias("difficulty"), normalize(cell("category")).alias("category"),
-    ).filter("question <> ''")
+        pictures("question").alias("images"), pictures("answer").alias("answer_images"), pictures("analysis").alias("analysis_images"),
+    ).filter("question <> '' OR size(images) > 0")
     order = F.row_number().over(Window.partitionBy("path").orderBy("sheet", "row"))
     return validate(out.withColumn("ord", order))
 

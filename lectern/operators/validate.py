@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.question import truth
-from lectern.functions.text import encoding_anomaly, one_line, option_signature
+from lectern.functions.question import truth_of_line
+from lectern.functions.text import OPTION_MARKS, encoding_anomaly, one_line
 
 _STRINGS = "array<string>"
 #: Columns a question may lack, and what then stands for them.
@@ -16,37 +16,59 @@ DEFAULTS = {
 }
 
 
-def _figure(text: Column) -> Column:
-    clean = F.lower(F.regexp_replace(one_line(F.coalesce(text, F.lit(""))), r"[\s()（）\[\]【】<>《》.。:：、，,;；]", ""))
-    return clean.isin("图", "图形", "图片", "图示", "示意图", "符号图", "见图", "如下图")
+#: Words that stand for a figure where an option has no text.
+FIGURE_WORDS = ("图", "图形", "图片", "图示", "示意图", "符号图", "见图", "如下图")
 
 
-def duplicate_keys(options: Column) -> Column:
-    """Arrays of keys whose options have one signature, in order of the first."""
-    signed = F.transform(options, lambda o: F.struct(o["key"].alias("key"), option_signature(F.coalesce(o["text"], F.lit(""))).alias("sig")))
-    sigs = F.array_distinct(F.filter(F.transform(signed, lambda s: s["sig"]), lambda s: s != ""))
-    groups = F.transform(sigs, lambda g: F.transform(F.filter(signed, lambda s: s["sig"] == g), lambda s: s["key"]))
-    return F.filter(groups, lambda g: F.size(g) > 1)
+def figure(line: Column) -> Column:
+    """Whether an option's text (as one line) only says that there is a figure."""
+    return F.lower(F.regexp_replace(F.coalesce(line, F.lit("")), r"[\s()（）\[\]【】<>《》.。:：、，,;；]", "")).isin(*FIGURE_WORDS)
 
 
-def raw_bodies(raw_texts: Column, key: Column) -> Column:
-    """Signatures of what the raw lines give for an option's key, longest body first."""
-    lines = F.flatten(F.transform(raw_texts, lambda t: F.split(t, "\n+")))
-    bodies = F.transform(lines, lambda line: F.regexp_extract(one_line(line), r"(?i)^\s*(?:[（(]\s*)?[A-L]\s*(?:[）)]|[.、．:：])\s*(.+?)\s*\z", 1))
-    keys = F.transform(lines, lambda line: F.upper(F.regexp_extract(one_line(line), r"(?i)^\s*(?:[（(]\s*)?([A-L])\s*(?:[）)]|[.、．:：])", 1)))
-    own = F.filter(F.arrays_zip(keys.alias("k"), bodies.alias("b")), lambda z: (z["k"] == key) & (z["b"] != ""))
-    best = F.array_sort(F.transform(own, lambda z: F.struct((-F.length(z["b"])).alias("n"), option_signature(z["b"]).alias("sig"))))
-    return F.coalesce(F.get(best, F.lit(0))["sig"], F.lit(""))
+def _signed(line: Column) -> Column:
+    """:func:`lectern.functions.text.option_signature` of a text that is one line already."""
+    return F.translate(F.regexp_replace(F.lower(line), OPTION_MARKS, ""), "−–—", "---")
 
 
-def _duplicate_issues(options: Column, raw_texts: Column) -> Column:
-    def issue(keys: Column) -> Column:
-        found = F.transform(keys, lambda k: raw_bodies(raw_texts, k))
-        whole = F.forall(found, lambda s: s != "")
-        name = F.when(whole & (F.size(F.array_distinct(found)) > 1), "解析重复").when(whole, "导入片段重复").otherwise("疑似重复")
-        return F.concat(name, F.lit("（"), F.array_join(keys, "、"), F.lit("）"))
+def read_options(options: Column) -> Column:
+    """Each option with what the checks ask of its text, normalised once: key, one, sig, figure, truth, images, empty."""
+    def named(**fields) -> Column:
+        return F.named_struct(*(x for name, value in fields.items() for x in (F.lit(name), value)))
 
-    return F.transform(duplicate_keys(options), issue)
+    lines = F.transform(options, lambda o: named(key=o["key"], one=one_line(F.coalesce(o["text"], F.lit(""))), images=F.coalesce(F.size(o["images"]), F.lit(0)), empty=F.coalesce(o["text"], F.lit("")) == ""))
+    return F.transform(lines, lambda o: named(key=o["key"], one=o["one"], sig=_signed(o["one"]), figure=figure(o["one"]), truth=truth_of_line(o["one"]), images=o["images"], empty=o["empty"]))
+
+
+def read_raw(raw_texts: Column) -> Column:
+    """(key, n, sig) of each line that gives a text for a key: "A. text", "(A) text" or "A text"."""
+    lines = F.transform(F.flatten(F.transform(raw_texts, lambda t: F.split(F.coalesce(t, F.lit("")), "\n+"))), one_line)
+    form = r"(?i)\A(?:[（(]?\s*([A-L])\s*(?:[）)]|[.、．:：])\s*|([A-L])\s+)(.+)\z"
+    found = F.transform(F.filter(lines, lambda t: t.rlike(form)), lambda t: F.named_struct(F.lit("key"), F.upper(F.concat(F.regexp_extract(t, form, 1), F.regexp_extract(t, form, 2))), F.lit("body"), F.trim(F.regexp_extract(t, form, 3))))
+    return F.transform(found, lambda r: F.named_struct(F.lit("key"), r["key"], F.lit("n"), F.length(r["body"]), F.lit("sig"), _signed(r["body"])))
+
+
+def best_raw(raw: Column, key: Column) -> Column:
+    """The signature of the longest text that the lines give for a key, of equals the first; empty if none does."""
+    own = F.filter(raw, lambda r: r["key"] == key)
+    most = F.array_max(F.transform(own, lambda r: r["n"]))
+    return F.coalesce(F.get(F.filter(own, lambda r: r["n"] == most), F.lit(0))["sig"], F.lit(""))
+
+
+def duplicate_keys(read: Column) -> Column:
+    """(sig, keys) of options (of :func:`read_options`) that share a signature, in order of the first."""
+    sigs = F.array_distinct(F.filter(F.transform(read, lambda o: o["sig"]), lambda s: s != ""))
+    groups = F.transform(sigs, lambda g: F.named_struct(F.lit("sig"), g, F.lit("keys"), F.transform(F.filter(read, lambda o: o["sig"] == g), lambda o: o["key"])))
+    return F.filter(groups, lambda g: F.size(g["keys"]) > 1)
+
+
+def _duplicate_issues(read: Column, raw: Column) -> Column:
+    def issue(group: Column) -> Column:
+        found = F.transform(group["keys"], lambda k: best_raw(raw, k))
+        apart = F.forall(found, lambda s: s != "") & (F.size(F.array_distinct(found)) > 1)
+        name = F.when(apart, "解析重复").when(F.forall(found, lambda s: s == group["sig"]), "导入片段重复").otherwise("疑似重复")
+        return F.concat(name, F.lit("（"), F.array_join(group["keys"], "、"), F.lit("）"))
+
+    return F.transform(duplicate_keys(read), issue)
 
 
 def validate(questions: DataFrame) -> DataFrame:
@@ -55,16 +77,18 @@ def validate(questions: DataFrame) -> DataFrame:
     for name, default in DEFAULTS.items():
         if name not in df.columns:
             df = df.withColumn(name, F.expr(default))
-    q, kind, options, answer = F.coalesce("question", F.lit("")), F.col("type"), F.coalesce("options", F.expr("cast(array() as array<struct<key:string,text:string,images:array<string>>>)")), F.coalesce("answer", F.expr(f"cast(array() as {_STRINGS})"))
-    keys = F.transform(options, lambda o: o["key"])
-    short, n = kind == "short", F.size(options)
-    images = F.aggregate(options, F.size("images"), lambda a, o: a + F.coalesce(F.size(o["images"]), F.lit(0)))
-    figures = (n >= 2) & F.forall(options, lambda o: _figure(o["text"]))
+    none = F.expr(f"cast(array() as {_STRINGS})")
+    options = F.coalesce("options", F.expr("cast(array() as array<struct<key:string,text:string,images:array<string>>>)"))
+    df = df.withColumn("__o", read_options(options)).withColumn("__raw", read_raw(F.coalesce("raw_texts", none)))
+    q, kind, answer, read = F.coalesce("question", F.lit("")), F.col("type"), F.coalesce("answer", none), F.col("__o")
+    keys = F.transform(read, lambda o: o["key"])
+    short, n = kind == "short", F.size(read)
+    images = F.aggregate(read, F.size("images"), lambda a, o: a + o["images"])
+    figures = (n >= 2) & F.forall(read, lambda o: o["figure"])
     invalid = F.filter(answer, lambda k: ~F.array_contains(keys, k))
     no_text = (F.regexp_replace(F.coalesce("answer_text", F.lit("")), r"\s", "") == "") & (F.size("answer_images") == 0)
     all_text = F.concat_ws(" ", q, F.array_join(F.transform(options, lambda o: o["text"]), " "), "answer_text", "analysis", F.array_join("raw_texts", " "))
-    truths = F.transform(options, lambda o: truth(o["text"]))
-    bad_judge = (n != 2) | ~F.array_contains(truths, True) | ~F.array_contains(truths, False)
+    bad_judge = (n != 2) | ~F.exists(read, lambda o: F.coalesce(o["truth"], F.lit(False))) | ~F.exists(read, lambda o: F.coalesce(~o["truth"], F.lit(False)))
     answered = (F.size(answer) > 0) | (F.coalesce("answer_text", F.lit("")) != "") | (F.size("answer_images") > 0)
     #: Condition, issue, hundredths.
     rules = [
@@ -75,7 +99,7 @@ def validate(questions: DataFrame) -> DataFrame:
         (~short & (F.size(answer) == 0), "无答案", 35),
         (~short & (F.size(invalid) > 0), F.concat(F.lit("答案不符（"), F.array_join(invalid, "、"), F.lit("）")), 40),
         (~short & figures & (images < n), "图片选项缺少图像", 20),
-        (F.exists(options, lambda o: (F.coalesce(o["text"], F.lit("")) == "") & (F.coalesce(F.size(o["images"]), F.lit(0)) <= 0)), "空白选项", 15),
+        (F.exists(read, lambda o: o["empty"] & (o["images"] <= 0)), "空白选项", 15),
         (F.size(F.array_distinct(keys)) != n, "选项字母重复", 20),
     ]
     later = [
@@ -95,10 +119,10 @@ def validate(questions: DataFrame) -> DataFrame:
     def points(rows):
         return sum((F.when(c, p).otherwise(0) for c, _, p in rows), F.lit(0))
 
-    df = df.withColumn("__dup", F.when(figures, F.expr(f"cast(array() as {_STRINGS})")).otherwise(_duplicate_issues(options, F.col("raw_texts"))))
+    df = df.withColumn("__dup", F.when(figures, none).otherwise(_duplicate_issues(read, F.col("__raw"))))
     duplicate = F.when(F.exists("__dup", lambda i: i.startswith("解析重复") | i.startswith("疑似重复")), 18).when(F.size("__dup") > 0, 8).otherwise(0)
     df = df.withColumn("issues", F.array_distinct(F.concat(named(rules), F.col("__dup"), named(later))))
     df = df.withColumn("confidence_x100", F.greatest(F.lit(0), 100 - points(rules) - duplicate - points(later)).cast("int"))
     fatal = (~short & (n < 2)) | (F.col("confidence_x100") < 45)
     df = df.withColumn("status", F.when(fatal, "error").when(F.size("issues") > 0, "warning").otherwise("normal"))
-    return df.select(*questions.columns, "issues", "confidence_x100", "status") if not {"issues", "status", "confidence_x100"} & set(questions.columns) else df.drop("__dup")
+    return df.select(*questions.columns, "issues", "confidence_x100", "status") if not {"issues", "status", "confidence_x100"} & set(questions.columns) else df.drop("__dup", "__o", "__raw")
