@@ -1,8 +1,8 @@
-"""Learning records folded from an append-only log of answers."""
+"""Learning records folded from an append-only log of answers, progress and its cursors, settings."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ("bank_id", "question_id")
@@ -61,5 +61,50 @@ def cursor(progress: DataFrame) -> DataFrame:
 
 def draft(snapshots: DataFrame) -> DataFrame:
     """The latest exam draft of each bank, if it has questions."""
-    w = Window.partitionBy("bank_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    return snapshots.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    return cursor(snapshots)
+
+
+def exams(answers: DataFrame, is_exam: Column) -> DataFrame:
+    """How many exams each bank had."""
+    return answers.filter(is_exam).groupBy("bank_id").agg(F.count("*").alias("exams"))
+
+
+# --- progress -------------------------------------------------------------------------------------
+def progress(saved: DataFrame) -> DataFrame:
+    """Saved progress that may be taken up: the latest of each bank, if it was made in the questions' own order
+    (``mode`` sequence) and is not empty."""
+    return cursor(saved).filter((F.col("mode") == "sequence") & (F.col("answered") > 0))
+
+
+def memorized(cursors: DataFrame, scope: str | None = None) -> DataFrame:
+    """The latest cursor of each bank and scope, or of one scope."""
+    rows = cursors if scope is None else cursors.filter(F.col("scope_key") == scope)
+    rest = [c for c in cursors.columns if c not in ("bank_id", "scope_key")]
+    return rows.groupBy("bank_id", "scope_key").agg(F.max_by(F.struct(*rest), F.struct("ts", "event_id")).alias("c")).select("bank_id", "scope_key", "c.*")
+
+
+def cleared(records: DataFrame, banks: list[str] | DataFrame | None = None) -> DataFrame:
+    """Records without those of some banks (a list, or a table with bank_id), or without any."""
+    if banks is None:
+        return records.limit(0)
+    if isinstance(banks, DataFrame):
+        return records.join(banks.select("bank_id").distinct(), "bank_id", "left_anti")
+    return records.filter(~F.col("bank_id").isin(banks)) if banks else records
+
+
+# --- one payload for all --------------------------------------------------------------------------
+def exported(records: dict[str, DataFrame]) -> DataFrame:
+    """All records as rows (kind, bank_id, payload): a payload is a row's JSON."""
+    from functools import reduce
+
+    rows = [df.select(F.lit(kind).alias("kind"), "bank_id", F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("payload")) for kind, df in records.items()]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def imported(rows: DataFrame, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The records of such rows again, by kind; rows of other kinds are left out, a payload that is no JSON is an error."""
+    out = {}
+    for kind, schema in schemas.items():
+        own = rows.filter(F.col("kind") == kind).select(F.from_json("payload", schema, {"mode": "FAILFAST"}).alias("r"))
+        out[kind] = own.select("r.*")
+    return out

@@ -62,3 +62,17 @@ def cursor_for(scoped: DataFrame, legacy: DataFrame, scope: str) -> DataFrame:
     """Each bank's cursor of a scope, or its old one without scopes."""
     own = scoped.filter(F.col("scope_key") == scope).select("bank_id", F.col("last_order").alias("own"))
     return legacy.select("bank_id", F.col("last_order").alias("old")).join(own, "bank_id", "full").select("bank_id", F.coalesce("own", "old").alias("last_order"))
+
+
+def sequence(items: DataFrame) -> DataFrame:
+    """A session's order as rows (bank_id, pos, question_id, key, ord), to be saved and taken up again."""
+    return items.select("bank_id", F.posexplode("questions").alias("pos", "q")).select("bank_id", F.col("pos").alias("pos"), "q.question_id", "q.key", "q.ord")
+
+
+def original_options(rows: DataFrame, preferred: Column | None = None) -> DataFrame:
+    """Options and answer as they were before a shuffle (kept in ``original_options`` and ``original_answer``).
+
+    With ``preferred`` (whether a shuffled order is wanted) only rows that nobody has touched change.
+    """
+    back = F.col("original_options").isNotNull() if preferred is None else F.col("original_options").isNotNull() & ~preferred & (F.size("selected") == 0)
+    return rows.withColumns({c: F.when(back, F.col(f"original_{c}")).otherwise(F.col(c)) for c in ("options", "answer")})

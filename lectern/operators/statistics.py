@@ -31,7 +31,11 @@ def ranked(counts: DataFrame) -> DataFrame:
     return with_accuracy(counts.filter("answered > 0"))
 
 
-ORDER = (F.desc, "answered"), (F.asc, "accuracy"), (F.asc, "key")
+def ranking(counts: DataFrame) -> DataFrame:
+    """All answered buckets with their rank: most answered first, then the least accurate, then by key."""
+    from lectern.operators.sequence import numbered
+
+    return numbered(ranked(counts), [], [F.desc("answered"), F.asc("accuracy"), F.asc("key")], "rank", -F.col("answered"))
 
 
 def top(rows: DataFrame, n: int, *order: Column) -> DataFrame:
@@ -55,3 +59,31 @@ def exam_score(items: DataFrame) -> DataFrame:
         F.count_if(objective & F.coalesce("correct", F.lit(False))).alias("correct"), F.count_if(~objective).alias("short_count"),
     )
     return s.withColumn("accuracy", accuracy(F.col("correct"), F.col("objective_total")))
+
+
+def status_counts(questions: DataFrame) -> DataFrame:
+    """One row: questions, normal ones, warnings and errors, those that a session may show, and placeholders."""
+    status, gap = F.coalesce("status", F.lit("normal")), F.coalesce("placeholder", F.lit(False))
+    return questions.agg(
+        F.count("*").alias("total"), *(F.count_if(status == s).alias(s) for s in ("normal", "warning", "error")), F.count_if(~gap & (status != "error")).alias("usable"), F.count_if(gap).alias("missing"),
+    )
+
+
+def merged(first: Column, *later: Column) -> Column:
+    """Diagnostics as one map; what a later one says of a counter counts."""
+    none = F.expr("cast(map() as map<string,bigint>)")
+
+    def over(below: Column, above: Column) -> Column:
+        return F.map_concat(F.map_filter(below, lambda k, _: ~F.map_contains_key(above, k)), above)
+
+    out = F.coalesce(first, none)
+    for m in later:
+        out = over(out, F.coalesce(m, none))
+    return out
+
+
+def layouts(paragraphs: DataFrame, key: str = "path") -> DataFrame:
+    """Per document: how many of its lines have which form, and the layout they make."""
+    from lectern.operators.parser import diagnostics
+
+    return diagnostics(paragraphs, key).select("doc_id", "layout", "paragraphs", "indexed_typed", "indexed", "numbered", "bare_numbered", "labelled", "option_lines", "answer_lines", "type_headings", "table_like")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import re
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -33,6 +36,28 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own where all executors and the driver can write: under ``spark.checkpoint.dir``, or where all
+    runs in one process, a temporary one.  Folders go when the driver's Python ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors and the driver share")
+        shared = tempfile.mkdtemp(prefix="lectern-")
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+
+    def drop() -> None:
+        try:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        except Exception:  # noqa: BLE001  (the JVM may be gone, and its folder with it)
+            return
+
+    atexit.register(drop)
+    return path
+
+
 def build(master: str = "local[8]", partitions: int = 8, memory: str = "8g", app: str = "lectern") -> SparkSession:
     spark = (
         SparkSession.builder.master(master)
