@@ -25,3 +25,15 @@ def facets(rows: DataFrame, status: str = "abnormal", confidence: str = "all", k
     typed = held if kind == "all" else held.filter(F.array_contains("kinds", kind))
     by_type = typed.groupBy(F.col("type_label").alias("key")).agg(F.count("*").alias("n")).withColumn("facet", F.lit("type"))
     return by_conf.unionByName(by_kind).unionByName(by_type).select("facet", "key", "n")
+
+
+def review(rows: DataFrame, status: str = "abnormal", confidence: str = "all", kind: str = "all", label: str = "all", keyword: str = "") -> DataFrame:
+    """Rows that a reviewer looks at: by status, bucket of confidence, kind of issue, type, and a word of the text."""
+    out = rows if status == "all" else rows.filter("status <> 'normal'") if status == "abnormal" else rows.filter(F.col("status") == status)
+    if confidence != "all":
+        out = out.filter(F.col("bucket") == confidence)
+    if kind != "all":
+        out = out.filter(F.array_contains("kinds", kind))
+    if label != "all":
+        out = out.filter(F.col("type_label") == label)
+    return out.filter(F.lower("question").contains(keyword.lower())) if keyword else out

@@ -6,6 +6,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered(rows: DataFrame, keys: list[str], order: list[Column], name: str, bucket: Column, first: int = 1) -> DataFrame:
+    """Row numbers in order within each key, without one task for a whole key.
+
+    ``bucket`` grows with the order (a range of it): rows are numbered within a bucket, and buckets
+    get what the ones before hold from their counts, which are far fewer.
+    """
+    dealt = rows.withColumn("__bucket", bucket)
+    parts = [*keys, "__bucket"]
+    counts = dealt.groupBy(*parts).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n").toDF(*(f"__o{k}" for k in range(len(parts))), "__before")
+    place = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
+    same = [F.col(c).eqNullSafe(F.col(f"__o{k}")) for k, c in enumerate(parts)]
+    joined = dealt.withColumn("__place", place).join(offsets, same)
+    return joined.withColumn(name, (F.col("__before") + F.col("__place") + (first - 1)).cast("int")).select(*rows.columns, name)
+
+
+def runs(column: Column | str, size: int = 1024) -> Column:
+    """Buckets of an integer order for :func:`numbered`."""
+    return F.floor((F.col(column) if isinstance(column, str) else column) / size)
+
+
 def ordinal(rows: DataFrame, keys: list[str], order: list[Column], name: str = "ordinal") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
@@ -19,10 +41,14 @@ def number_gaps(rows: DataFrame, keys: list[str], number: str, order: list[Colum
 
 
 def first_duplicates(rows: DataFrame, signature: Column, order: Column, id_col: str, least: int = 8) -> DataFrame:
-    """``duplicate_of``: the first row with the same signature, for later rows; short signatures don't count."""
-    signed = rows.withColumn("sig", signature)
-    first = F.first(id_col).over(Window.partitionBy("sig").orderBy(order))
-    return signed.withColumn("first_id", first).withColumn("duplicate_of", F.when((F.length("sig") >= least) & (F.col("first_id") != F.col(id_col)), F.col("first_id"))).drop("first_id")
+    """``duplicate_of``: the first row with the same signature, for later rows; short signatures don't count.
+
+    The first of each signature is an aggregate, so copies without end are one row where they meet.
+    """
+    signed = rows.withColumns({"__sig": signature, "__order": order})
+    first = signed.filter(F.length("__sig") >= least).groupBy(F.md5("__sig").alias("__hash")).agg(F.min_by(id_col, F.struct("__order", id_col)).alias("__first"), F.count("*").alias("__n")).filter("__n > 1")
+    j = signed.withColumn("__hash", F.when(F.length("__sig") >= least, F.md5("__sig"))).join(first, "__hash", "left")
+    return j.withColumn("duplicate_of", F.when(F.col("__first") != F.col(id_col), F.col("__first"))).select(*rows.columns, "duplicate_of")
 
 
 def repeat_counts(rows: DataFrame, keys: list[str], compact: Column) -> DataFrame:
@@ -33,6 +59,13 @@ def repeat_counts(rows: DataFrame, keys: list[str], compact: Column) -> DataFram
     return c.join(counts, [*keys, "compact"])
 
 
+def carry_material(rows: DataFrame, keys: list[str], order: list[Column], starts: Column, ends: Column, value: Column, name: str) -> DataFrame:
+    """The value of the last start that no end has followed: material holds up to its range's end or the next heading."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    state = F.when(starts, F.struct(value.alias("v"))).when(ends, F.struct(F.lit(None).cast("string").alias("v")))
+    return rows.withColumn(name, F.last(state, ignorenulls=True).over(w)["v"])
+
+
 def carry_forward(rows: DataFrame, keys: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
     """The last non-null value so far."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.sequence import numbered, runs
+
 KEY = ["bank_id", "question_id"]
 
 
@@ -34,14 +36,20 @@ def candidates(questions: DataFrame, mastered: DataFrame, wanted: str = "all", m
 
 def shuffled(rows: DataFrame, seed: str, by: str, id_col: str = "question_id") -> DataFrame:
     """A repeatable shuffle: ``position`` in the order of a hash of the seed and the id."""
+    hashed = rows.withColumn("h", F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string"))))
+    return numbered(hashed, [by], [F.asc("h"), F.asc(id_col)], "position", F.substring("h", 1, 3)).drop("h")
+
+
+def exam(rows: DataFrame, seed: str, by: str, count: int, id_col: str = "question_id") -> DataFrame:
+    """The first ``count`` of each bank's shuffle, numbered by ``place``: Spark keeps no more rows than that of a partition."""
     h = F.md5(F.concat_ws(":", F.lit(seed), F.col(id_col).cast("string")))
-    return rows.withColumn("h", h).withColumn("position", F.row_number().over(Window.partitionBy(by).orderBy("h", id_col))).drop("h")
+    w = Window.partitionBy(by).orderBy("h", id_col)
+    return rows.withColumn("h", h).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= count).drop("h")
 
 
 def batch(rows: DataFrame, count: int, resume_at: Column, by: str = "bank_id", order: str = "ord") -> DataFrame:
     """The batch of ``count`` rows that holds the row to resume at."""
-    w = Window.partitionBy(by).orderBy(order)
-    r = rows.withColumn("position", F.row_number().over(w) - 1).withColumn("start", F.floor(resume_at / count) * count)
+    r = numbered(rows, [by], [F.asc(order)], "position", runs(order), first=0).withColumn("start", F.floor(resume_at / count) * count)
     return r.filter((F.col("position") >= F.col("start")) & (F.col("position") < F.col("start") + count))
 
 
@@ -62,12 +70,38 @@ def shuffled_options(rows: DataFrame, seed: str) -> DataFrame:
 
 def nearest_state(states: DataFrame, questions: DataFrame) -> DataFrame:
     """Saved states (state_id, question_id, key, ord) to questions (question_id, key, ord): by id, else by key with
-    the nearest order (then the lower); never by order alone.  Two equi-joins, ranked."""
-    by_id = states.join(questions.select(F.col("question_id"), F.col("ord").alias("q_ord")), "question_id").select("state_id", F.lit(0).alias("how"), F.lit(0).cast("long").alias("away"), "q_ord", F.col("question_id").alias("matched"))
-    q = questions.select(F.col("question_id").alias("matched"), "key", F.col("ord").alias("q_ord"))
-    by_key = states.filter("key <> ''").join(q, "key").select("state_id", F.lit(1).alias("how"), F.when(F.col("ord") > 0, F.abs(F.col("q_ord") - F.col("ord"))).otherwise(0).alias("away"), "q_ord", "matched")
-    best = by_id.unionByName(by_key).groupBy("state_id").agg(F.min(F.struct("how", "away", "q_ord", "matched")).alias("b"))
-    return best.select("state_id", "b.matched", "b.how")
+    the nearest order (then the lower; the lowest for a state without order); never by order alone."""
+    by_id = states.join(questions.select("question_id"), "question_id").select("state_id", F.col("question_id").alias("matched"), F.lit(0).alias("how"))
+    left = states.filter("key <> ''").join(by_id.select("state_id"), "state_id", "left_anti").select("state_id", "key", F.greatest("ord", F.lit(0)).alias("ord"))
+    near = neighbours(left.select("key", "ord").distinct(), questions)
+    by_key = left.join(near, ["key", "ord"]).select("state_id", "matched", F.lit(1).alias("how"))
+    return by_id.unionByName(by_key)
+
+
+def neighbours(asked: DataFrame, questions: DataFrame, run: int = 4096) -> DataFrame:
+    """``(key, ord, matched)``: to each (key, ord) the question of the key with the nearest order, then the lower.
+
+    Both sides are sorted by key and order once and the nearest before and after are carried along,
+    within runs of orders and, by one row a run, across them; no state meets all questions of its key.
+    """
+    q = questions.select("key", F.col("ord").alias("q_ord"), "question_id").groupBy("key", "q_ord").agg(F.min("question_id").alias("id"))
+    own = F.struct(F.col("q_ord").alias("ord"), F.col("id").alias("id"))
+    q = q.select("key", F.col("q_ord").alias("ord"), own.alias("q"), F.lit(0).alias("asks"))
+    rows = q.unionByName(asked.select("key", "ord", F.lit(None).cast(q.schema["q"].dataType).alias("q"), F.lit(1).alias("asks"))).withColumn("run", runs("ord", run))
+    inside = Window.partitionBy("key", "run").orderBy("ord", "asks")
+    back = F.last("q", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    on = F.first("q", ignorenulls=True).over(inside.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    found = rows.withColumns({"back": back, "on": on}).filter("asks = 1").select("key", "run", "ord", "back", "on")
+    ends = rows.groupBy("key", "run").agg(F.max("q").alias("last"), F.min("q").alias("first"))
+    across = Window.partitionBy("key").orderBy("run")
+    ends = ends.select(
+        "key", "run", F.last("last", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("first", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("after"),
+    )
+    j = found.join(ends, ["key", "run"]).select("key", "ord", F.coalesce("back", "before").alias("a"), F.coalesce("on", "after").alias("b")).filter("a IS NOT NULL OR b IS NOT NULL")
+    lower = F.col("b").isNull() | F.coalesce(F.col("ord") - F.col("a.ord") <= F.col("b.ord") - F.col("ord"), F.lit(False))
+    low = F.when((F.col("ord") > 0) & lower, F.col("a.id"))
+    return j.select("key", "ord", F.coalesce(low, "b.id", "a.id").alias("matched"))
 
 
 def preserved(previous: DataFrame, covered: DataFrame) -> DataFrame:
@@ -78,8 +112,17 @@ def preserved(previous: DataFrame, covered: DataFrame) -> DataFrame:
 
 def interval_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, key: str) -> DataFrame:
     """Each point with the first span [start, end) of its key that holds it: an equi-join on the key, then the range."""
-    j = points.join(spans, key).filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
-    return j
+    held = points.join(spans, key).filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
+    rest = [c for c in spans.columns if c not in (key, start, end)]
+    first = held.groupBy(*points.columns).agg(F.min(F.struct(start, end, *rest)).alias("s"))
+    return first.select(*points.columns, *(F.col(f"s.{c}").alias(c) for c in (start, end, *rest)))
+
+
+def answers_by_place(questions: DataFrame, keys: DataFrame, by: str = "bank_id", order: str = "ord", place: str = "event_id") -> DataFrame:
+    """The k-th entry of a sequential appendix with the k-th eligible question of its bank."""
+    entries = numbered(keys, [by], [F.asc(place)], "pos", runs(place))
+    free = numbered(questions, [by], [F.asc(order)], "pos", runs(order))
+    return free.join(entries, [by, "pos"])
 
 
 def saved_sequence(questions: DataFrame, saved: DataFrame, seed: str, by: str = "bank_id") -> DataFrame:
@@ -117,3 +160,9 @@ def saved_sequence(questions: DataFrame, saved: DataFrame, seed: str, by: str =
     kind = questions.schema["question_id"].dataType.simpleString()
     name = questions.schema[by].dataType.simpleString()
     return questions.groupBy(by).cogroup(saved.groupBy(by)).applyInPandas(match, f"{by} {name}, question_id {kind}, position long")
+
+
+def existing_source(drafts: DataFrame, banks: DataFrame) -> DataFrame:
+    """Each draft with the first bank that came from a file of the same name (source_name), the oldest, then by id."""
+    first = banks.filter("source_name <> ''").groupBy("source_name").agg(F.min(F.struct("created_at", "bank_id")).alias("b"))
+    return drafts.join(first, "source_name").select(*drafts.columns, F.col("b.bank_id").alias("bank_id"))
