@@ -134,27 +134,21 @@ def agg_type_options(spark, d):
     return normal.unionByName(q.filter("status <> 'normal'").agg(F.count("*").alias("n")).select(F.lit("abnormal").alias("label"), "n"))
 
 
-@query("agg_layout_stats", f"""WITH {v.PARAGRAPHS} SELECT source, count(*) AS paragraphs, count(*) FILTER (regexp_matches(text, '^[0-9]{{1,4}}[.)]')) AS numbered,
-  count(*) FILTER (regexp_matches(text, '^[A-L][.)]')) AS options, count(*) FILTER (contains(text, chr(9)) OR contains(text, ' | ')) AS table_like FROM p WHERE trim(text, ' ') <> '' GROUP BY 1""")
-def agg_layout_stats(spark, d):
-    p = v.paragraphs(spark, d).filter(F.trim("text") != "")
-    t = F.col("text")
-    return p.groupBy("source").agg(F.count("*").alias("paragraphs"), F.count_if(t.rlike(r"^[0-9]{1,4}[.)]")).alias("numbered"), F.count_if(t.rlike("^[A-L][.)]")).alias("options"), F.count_if(t.contains("\t") | t.contains(" | ")).alias("table_like"))
-
-
 @query("agg_size", "SELECT source, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
 def agg_size(spark, d):
     return v.table(spark, d, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).cast("long").alias("bytes"))
 
 
-@query("agg_dup_options", f"""WITH {v.QUESTIONS}, {v.OPTIONS}, e AS (SELECT question_id, i, lower(regexp_replace(words[i], '[,.;:()!?''"]', '', 'g')) AS sig FROM o, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS i)),
-  g AS (SELECT question_id, sig, string_agg((['A','B','C','D','E'])[i], '、' ORDER BY i) AS keys, min(i) AS first FROM e WHERE sig <> '' GROUP BY 1, 2 HAVING count(*) > 1)
-  SELECT question_id, string_agg(keys, ';' ORDER BY first) AS keys FROM g GROUP BY 1""")
+_SIGN = r"""translate(lower(regexp_replace(%s, '[\s\x{00A0}\x{3000}\x{FEFF}，,。；;：:''"“”‘’（）()【】\[\]［］]', '', 'g')), '−–—', '---')"""
+_GROUPS = f"""e AS (SELECT question_id, i, {_SIGN % 'opts[i]'} AS sig FROM o, LATERAL (SELECT unnest(range(1, len(opts) + 1)) AS i)),
+  g AS (SELECT question_id, sig, string_agg((['A','B','C','D'])[i], '、' ORDER BY i) AS keys, min(i) AS first FROM e WHERE sig <> '' GROUP BY 1, 2 HAVING count(*) > 1)"""
+
+
+@query("agg_dup_options", f"WITH {v.QUESTIONS}, {v.OPTIONS}, {_GROUPS} SELECT question_id, string_agg(keys, ';' ORDER BY first) AS keys FROM g GROUP BY 1")
 def agg_dup_options(spark, d):
-    o = v.options(v.questions(spark, d))
-    plain = F.transform("options", lambda x: F.struct(x["key"].alias("key"), F.regexp_replace(x["text"], r"[,.;:()!?'\"\n]", "").alias("text")))
-    dup = V.duplicate_keys(plain)
-    return o.select("question_id", F.array_join(F.transform(dup, lambda k: F.array_join(k, "、")), ";").alias("keys")).filter("keys <> ''")
+    o = v.options(v.questions(spark, d)).withColumn("read", V.read_options(F.col("options")))
+    keys = F.array_join(F.transform(V.duplicate_keys(F.col("read")), lambda g: F.array_join(g["keys"], "、")), ";")
+    return o.select("question_id", keys.alias("keys")).filter("keys <> ''")
 
 
 _KINDS = "CASE WHEN status = 'error' THEN ['missingAnswer'] ELSE [] END || CASE WHEN status <> 'normal' AND n_chars > 1000 THEN ['boundary'] ELSE [] END"
@@ -194,7 +188,7 @@ def _ranked(spark, d):
 
 @query("top_bucket_rows", f"WITH {_RANKED} SELECT *, row_number() OVER (ORDER BY {_ORDER})::INT AS rank FROM r")
 def top_bucket_rows(spark, d):
-    return S.top(_ranked(spark, d), 10_000, F.desc("answered"), F.asc("accuracy"), F.asc("key"))
+    return S.ranking(R.bucket(v.answers(spark, d), "category"))
 
 
 @query("top_categories", f"WITH {_RANKED} SELECT *, row_number() OVER (ORDER BY {_ORDER})::INT AS rank FROM r QUALIFY rank <= 12")
@@ -218,17 +212,17 @@ for _n in (30, 7):
 
 @query("top_review", f"WITH {v.QUESTIONS} SELECT question_id, status, confidence_x100, row_number() OVER (ORDER BY confidence_x100, ord)::INT AS rank FROM q WHERE status <> 'normal'")
 def top_review(spark, d):
-    from pyspark.sql import Window
+    from lectern.operators.sequence import numbered, runs
 
-    w = Window.orderBy("confidence_x100", "ord")
-    return v.questions(spark, d).filter("status <> 'normal'").select("question_id", "status", "confidence_x100", F.row_number().over(w).alias("rank"))
+    q = v.questions(spark, d).filter("status <> 'normal'").select("question_id", "status", "confidence_x100", "ord")
+    return numbered(q, [], [F.asc("confidence_x100"), F.asc("ord")], "rank", F.struct("confidence_x100", runs("ord"))).drop("ord")
 
 
 @query("top_mastered", f"WITH {v.RECORDS} SELECT bank_id, question_id, row_number() OVER (PARTITION BY bank_id ORDER BY since DESC, question_id)::INT AS rank FROM mastered")
 def top_mastered(spark, d):
-    from lectern.operators.sequence import ordinal
+    from lectern.operators.sequence import numbered
 
-    return ordinal(v.records(spark, d)["mastered"], ["bank_id"], [F.desc("since"), F.asc("question_id")], "rank").select("bank_id", "question_id", "rank")
+    return numbered(v.records(spark, d)["mastered"], ["bank_id"], [F.desc("since"), F.asc("question_id")], "rank", -F.unix_date(F.to_date("since"))).select("bank_id", "question_id", "rank")
 
 
 @query("top_page", f"WITH {v.QUESTIONS} SELECT question_id FROM q WHERE status <> 'normal' ORDER BY confidence_x100, ord LIMIT 50 OFFSET 50")

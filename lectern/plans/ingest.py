@@ -2,70 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from lectern.operators import parser, tabular
+from lectern.operators import tabular
 from lectern.plans import views as v
 from lectern.plans.registry import query
-from lectern.sources import archive, texts
-
-
-@query("src_html")
-def src_html(spark, d):
-    """Visible lines of each page."""
-    def run(batches):
-        for pdf in batches:
-            rows = [(p, k, t) for p, h in zip(pdf["page_id"], pdf["html"], strict=True) for k, t in texts.lines(texts.html_blocks(h or "")[0])]
-            yield pd.DataFrame(rows, columns=["page_id", "idx", "text"])
-
-    return v.table(spark, d, "pages").select("page_id", "html").mapInPandas(run, "page_id long, idx int, text string")
-
-
-@query("src_md", "SELECT doc_id, regexp_replace(regexp_replace(text, '(?m)^[ ]{0,3}#{1,6} +', '', 'g'), '[*]{2}([^*]+)[*]{2}', '\\1', 'g') AS text FROM documents")
-def src_md(spark, d):
-    t = F.regexp_replace(F.regexp_replace("text", r"(?m)^[ ]{0,3}#{1,6} +", ""), r"[*]{2}([^*]+)[*]{2}", "$1")
-    return v.table(spark, d, "documents").select("doc_id", t.alias("text"))
-
-
-@query("src_delim_sniff")
-def src_delim_sniff(spark, d):
-    @F.pandas_udf("string")
-    def sniff(s: pd.Series) -> pd.Series:
-        return s.map(texts.sniff_delimiter)
-
-    return v.table(spark, d, "documents").select("doc_id", sniff("text").alias("delimiter"))
-
-
-@query("src_csv_parse", "SELECT c_custkey, c_name AS a, c_mktsegment || ', \"x\"' AS b FROM customer")
-def src_csv_parse(spark, d):
-    """Rows written as quoted CSV and read back."""
-    line = F.concat(F.col("c_name"), F.lit(',"'), F.col("c_mktsegment"), F.lit(', ""x"""'))
-    cells = F.from_csv(line, F.lit("a string, b string"), {"quote": '"', "escape": '"'})
-    return v.table(spark, d, "customer").select("c_custkey", cells.alias("c")).select("c_custkey", "c.a", "c.b")
-
-
-@query("src_text_auto", "SELECT doc_id, true AS same FROM documents")
-def src_text_auto(spark, d):
-    """Texts encoded in different ways and decoded by detection."""
-    @F.pandas_udf("boolean")
-    def same(s: pd.Series) -> pd.Series:
-        marks = ((b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"), (b"\xef\xbb\xbf", "utf-8"), (b"", "utf-8"))
-        return pd.Series([all(texts.decode_auto(m + t.encode(e)) == t for m, e in marks) for t in s])
-
-    return v.table(spark, d, "documents").select("doc_id", same("text").alias("same"))
-
-
-@query("src_archive", "SELECT source, count(*) AS n, true AS same FROM documents GROUP BY 1")
-def src_archive(spark, d):
-    """Banks of ids written as archives and read back."""
-    @F.pandas_udf("boolean")
-    def same(s: pd.Series) -> pd.Series:
-        return pd.Series([archive.unpack(archive.pack({"id": t[:9]}, {"a": t.encode()}))[1] == {"a": t.encode()} for t in s])
-
-    docs = v.table(spark, d, "documents").select("source", same(F.col("text")).alias("ok"))
-    return docs.groupBy("source").agg(F.count("*").alias("n"), F.min("ok").alias("same"))
 
 
 def cells(spark, d):
@@ -85,7 +27,7 @@ def tab_header_detect(spark, d):
     return tabular.headers(cells(spark, d)).select("sheet", "row", F.size("roles").cast("long").alias("roles"))
 
 
-@query("tab_difficulty_col")
+@query("tab_difficulty_col", "SELECT p_brand AS sheet, 7 AS difficulty_col FROM part GROUP BY 1 HAVING count(*) >= 3")
 def tab_difficulty_col(spark, d):
     c = cells(spark, d)
     return tabular.difficulty_column(c, tabular.headers(c)).select("sheet", "difficulty_col")
@@ -97,16 +39,3 @@ def tab_row_question(spark, d):
     q = tabular.questions(c)
     large = v.table(spark, d, "part").groupBy(F.col("p_brand").alias("sheet")).count().filter("count >= 3").select("sheet")
     return q.join(large, "sheet", "left_semi").select("number", "question", "type", "difficulty")
-
-
-@query("prs_main")
-def prs_main(spark, d):
-    """Conversations as documents: a user's turn is a numbered question, an assistant's its answer."""
-    c = v.table(spark, d, "conversations").filter("role <> 'system'")
-    number = F.floor(F.col("turn") / 2) + 1
-    text = F.translate("text", "\n", " ")
-    line = F.when(F.col("role") == "user", F.concat(number.cast("string"), F.lit(".题目："), text)).otherwise(F.concat(F.lit("答案："), text))
-    lines = c.select(F.col("conv_id").cast("string").alias("path"), (F.col("turn") + 1).cast("int").alias("index"), line.alias("text"))
-    heads = lines.select("path").distinct().select("path", F.lit(0).alias("index"), F.lit("一、简答题").alias("text"))
-    q = parser.questions(heads.unionByName(lines))
-    return q.select("doc_id", "ord", "number", "type", "question", "answer_text", "status", "confidence_x100")

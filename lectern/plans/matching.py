@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions import question as Q
+from lectern.functions import text as T
 from lectern.operators import records as R
 from lectern.operators import search as find
 from lectern.operators import sequence as W
@@ -69,12 +69,14 @@ def join_section_missing(spark, d):
     return declared.select("bank_id", F.explode(F.sequence(F.lit(1).cast("long"), "top")).alias("number")).join(present, ["bank_id", "number"], "left_anti")
 
 
-_STATES = f"""{v.ANSWERS}, {v.QUESTIONS}, qq AS (SELECT question_id, substr(question, 1, 24) AS key, ord FROM q),
+_NORM = r"""lower(regexp_replace(regexp_replace(%s, '[\s\x{00A0}\x{3000}\x{FEFF}]+', '', 'g'), '[，。；：、“”‘’（）()《》【】\[\]·,.!?！？;:''"`~\-—_]', '', 'g'))"""
+_KEY = f"type || '|' || {_NORM % 'category'} || '|' || substr({_NORM % 'question'}, 1, 180)"
+_STATES = f"""{v.ANSWERS}, {v.QUESTIONS}, qq AS (SELECT question_id, {_KEY} AS key, ord FROM q),
   st AS (SELECT a.event_id AS state_id, CASE WHEN a.event_id % 3 = 0 THEN -1 ELSE a.question_id END AS question_id, coalesce(qq.key, '') AS key, a.question_id % 500 AS ord FROM a LEFT JOIN qq ON a.question_id = qq.question_id)"""
 
 
 def _states(spark, d):
-    qq = v.questions(spark, d).select("question_id", F.substring("question", 1, 24).alias("key"), "ord")
+    qq = v.questions(spark, d).select("question_id", T.progress_key(F.col("type"), F.col("category"), F.col("question")).alias("key"), "ord")
     a = v.answers(spark, d).select(F.col("event_id").alias("state_id"), "question_id")
     st = a.join(qq.select("question_id", "key"), "question_id", "left").select("state_id", F.when(F.col("state_id") % 3 == 0, -1).otherwise(F.col("question_id")).alias("question_id"), F.coalesce("key", F.lit("")).alias("key"), (F.col("question_id") % 500).alias("ord"))
     return st, qq
@@ -105,19 +107,20 @@ def join_orphans(spark, d):
     return v.records(spark, d)["wrong"].select("bank_id", "question_id").join(v.questions(spark, d).select("bank_id", "question_id"), M.KEY, "left_anti")
 
 
-@query("join_existing_source", "SELECT d.doc_id, min(b.item_id) AS item_id FROM documents d JOIN benchmark b ON substr(d.text, 1, 10) = substr(b.text, 1, 10) GROUP BY 1")
+@query("join_existing_source", "SELECT c_custkey, s_suppkey AS bank_id FROM customer JOIN supplier ON s_name = 'Supplier#' || lpad((c_custkey % 200)::VARCHAR, 9, '0')")
 def join_existing_source(spark, d):
-    docs = v.table(spark, d, "documents").select("doc_id", F.substring("text", 1, 10).alias("k"))
-    return docs.join(v.table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 10).alias("k")), "k").groupBy("doc_id").agg(F.min("item_id").alias("item_id"))
+    """Drafts whose file's name is that of an existing bank's."""
+    drafts = v.table(spark, d, "customer").select("c_custkey", F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % 200).cast("string"), 9, "0")).alias("source_name"))
+    banks = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("bank_id"), F.col("s_name").alias("source_name"), F.col("s_suppkey").alias("created_at"))
+    return M.existing_source(drafts, banks).select("c_custkey", "bank_id")
 
 
 @query("join_answer_key", f"""WITH {v.ANSWERS}, {v.QUESTIONS}, k AS (SELECT bank_id, event_id, type_label, row_number() OVER (PARTITION BY bank_id ORDER BY event_id) AS pos FROM a WHERE type_label = 'signup'),
   u AS (SELECT bank_id, question_id, row_number() OVER (PARTITION BY bank_id ORDER BY ord) AS pos FROM q WHERE type <> 'short' AND NOT placeholder) SELECT u.bank_id, u.question_id, k.event_id FROM u JOIN k ON u.bank_id = k.bank_id AND u.pos = k.pos""")
 def join_answer_key(spark, d):
-    """The k-th entry of a sequential appendix goes to the k-th eligible question."""
-    keys = W.ordinal(v.answers(spark, d).filter("type_label = 'signup'").select("bank_id", "event_id"), ["bank_id"], [F.asc("event_id")], "pos")
-    open_ = W.ordinal(v.questions(spark, d).filter("type <> 'short' AND NOT placeholder").select("bank_id", "question_id", "ord"), ["bank_id"], [F.asc("ord")], "pos")
-    return open_.join(keys, ["bank_id", "pos"]).select("bank_id", "question_id", "event_id")
+    keys = v.answers(spark, d).filter("type_label = 'signup'").select("bank_id", "event_id")
+    free = v.questions(spark, d).filter("type <> 'short' AND NOT placeholder").select("bank_id", "question_id", "ord")
+    return M.answers_by_place(free, keys).select("bank_id", "question_id", "event_id")
 
 
 # --- windows --------------------------------------------------------------------------------------
@@ -129,7 +132,8 @@ def win_list_ordinal(spark, d):
 
 @query("win_order", f"WITH {v.QUESTIONS} SELECT question_id, row_number() OVER (PARTITION BY bank_id ORDER BY question_id)::INT AS position FROM q")
 def win_order(spark, d):
-    return W.ordinal(v.questions(spark, d), ["bank_id"], [F.asc("question_id")], "position").select("question_id", "position")
+    q = v.questions(spark, d).select("bank_id", "question_id")
+    return W.numbered(q, ["bank_id"], [F.asc("question_id")], "position", W.runs("question_id")).select("question_id", "position")
 
 
 @query("win_gap", "WITH n AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events WHERE event_id BETWEEN 1 AND 9999) SELECT user_id, event_id, previous, event_id - previous - 1 AS missing FROM n WHERE event_id <> 1 AND event_id > previous AND event_id - previous - 1 BETWEEN 1 AND 50")
@@ -138,9 +142,14 @@ def win_gap(spark, d):
     return W.number_gaps(e, ["user_id"], "event_id", [F.asc("event_id")]).select("user_id", "event_id", "previous", "missing")
 
 
-@query("win_first_dup", f"WITH {v.QUESTIONS}, s AS (SELECT question_id, substr(question, 1, 60) AS sig, ord FROM q), f AS (SELECT *, first_value(question_id) OVER (PARTITION BY sig ORDER BY ord) AS f FROM s) SELECT question_id, CASE WHEN length(sig) >= 8 AND f <> question_id THEN f END AS duplicate_of FROM f")
+_COMPACT = r"""lower(regexp_replace(%s, '[\s\x{00A0}\x{3000}\x{FEFF}，。；：！？、,.!?;:''"“”‘’（）()【】\[\]［］_-]', '', 'g'))"""
+
+
+@query("win_first_dup", f"WITH {v.QUESTIONS}, {v.OPTIONS}, s AS (SELECT question_id, {_COMPACT % "question || '|' || array_to_string(opts, '|')"} AS sig, ord FROM o), f AS (SELECT *, first_value(question_id) OVER (PARTITION BY sig ORDER BY ord) AS f FROM s) SELECT question_id, CASE WHEN length(sig) >= 8 AND f <> question_id THEN f END AS duplicate_of FROM f")
 def win_first_dup(spark, d):
-    return W.first_duplicates(v.questions(spark, d), F.substring("question", 1, 60), F.asc("ord"), "question_id").select("question_id", "duplicate_of")
+    q = v.options(v.questions(spark, d).select("question_id", "ord", "question"))
+    whole = F.concat(F.col("question"), F.lit("|"), F.array_join(F.transform("options", lambda o: o["text"]), "|"))
+    return W.first_duplicates(q, T.compact(whole), F.col("ord"), "question_id").select("question_id", "duplicate_of")
 
 
 @query("win_repeat_count", f"WITH {v.PARAGRAPHS} SELECT doc_id, idx, count(*) OVER (PARTITION BY doc_id, lower(text)) AS repeats FROM p")
@@ -189,7 +198,8 @@ def join_resume(spark, d):
 @query("win_stable_order", f"WITH {v.QUESTIONS}, z AS (SELECT question_id, bank_id, CASE WHEN ord % 5 = 0 THEN 0 ELSE ord END AS o, question_id AS i FROM q) SELECT question_id, row_number() OVER (PARTITION BY bank_id ORDER BY CASE WHEN o > 0 THEN o ELSE i + 1 END, i)::INT AS position FROM z")
 def win_stable_order(spark, d):
     q = v.questions(spark, d).withColumn("o", F.when(F.col("ord") % 5 == 0, 0).otherwise(F.col("ord")))
-    return W.ordinal(q, ["bank_id"], [W.stable_order(F.col("o"), F.col("question_id")), F.asc("question_id")], "position").select("question_id", "position")
+    place = W.stable_order(F.col("o"), F.col("question_id"))
+    return W.numbered(q.select("bank_id", "question_id", "o"), ["bank_id"], [place, F.asc("question_id")], "position", W.runs(place)).select("question_id", "position")
 
 
 # --- sampling -------------------------------------------------------------------------------------
@@ -203,8 +213,7 @@ def smp_shuffle(spark, d):
 
 @query("smp_exam", f"WITH {_SHUFFLED}, e AS (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY position)::INT AS place FROM sh WHERE type <> 'short') SELECT bank_id, question_id, place FROM e WHERE place <= 20")
 def smp_exam(spark, d):
-    s = M.shuffled(v.questions(spark, d).filter(~F.col("placeholder")), "7", "bank_id").filter("type <> 'short'")
-    return W.ordinal(s, ["bank_id"], [F.asc("position")], "place").filter("place <= 20").select("bank_id", "question_id", "place")
+    return M.exam(v.questions(spark, d).filter("NOT placeholder AND type <> 'short'"), "7", "bank_id", 20).select("bank_id", "question_id", "place")
 
 
 @query("smp_batch", f"WITH {_STATUS}, n AS (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY ord) - 1 AS pos, count(*) FILTER (st = 'correct') OVER (PARTITION BY bank_id) AS done_n FROM s) SELECT bank_id, question_id FROM n WHERE pos >= floor(done_n / 10.0) * 10 AND pos < floor(done_n / 10.0) * 10 + 10")
@@ -214,7 +223,15 @@ def smp_batch(spark, d):
     return M.batch(s.join(done, "bank_id"), 10, F.col("done_n")).select("bank_id", "question_id")
 
 
-@query("smp_options")
+_WORDING = "以上|以下|上述|前述|全部|均为|均是|都为|都是|全选|都正确|都错误|均正确|均错误"
+
+
+@query("smp_options", f"""WITH {v.QUESTIONS}, {v.OPTIONS}, n AS (SELECT *, type = 'short' OR len(opts) < 2 OR list_bool_or(list_transform(opts, lambda t: regexp_matches(t, '{_WORDING}'))) AS keep,
+  list_transform(range(1, len(opts) + 1), lambda i: (['A','B','C','D'])[i]) AS keys FROM o),
+  h AS (SELECT *, list_sort(list_transform(keys, lambda k: md5('7:' || question_id || ':' || k) || k)) AS hashed FROM n),
+  m AS (SELECT *, CASE WHEN keep THEN keys ELSE list_transform(hashed, lambda x: right(x, 1)) END AS old FROM h)
+  SELECT question_id, NOT keep AS shuffled, array_to_string(CASE WHEN keep THEN answer ELSE list_sort(list_transform(answer, lambda k: CASE WHEN list_contains(old, k) THEN (['A','B','C','D'])[list_position(old, k)] ELSE k END)) END, '') AS answer,
+  array_to_string(list_transform(range(1, len(old) + 1), lambda i: (['A','B','C','D'])[i] || ':' || opts[list_position(['A','B','C','D'], old[i])]), '|') AS options FROM m""")
 def smp_options(spark, d):
     q = v.options(v.questions(spark, d))
     return M.shuffled_options(q, "7").select("question_id", "shuffled", F.array_join("answer", "").alias("answer"), F.array_join(F.transform("options", lambda o: F.concat_ws(":", o["key"], o["text"])), "|").alias("options"))
@@ -234,13 +251,6 @@ def set_union_rank(spark, d):
     return find.search(v.table(spark, d, "documents").select("doc_id", F.lower("text").alias("t")), "t", "ther").select("doc_id", "rank")
 
 
-@query("set_word_union", "SELECT id, kind, row_number() OVER (ORDER BY id, kind)::INT AS position FROM (SELECT item_id AS id, 'text' AS kind FROM benchmark UNION ALL SELECT r_regionkey::BIGINT, 'table' FROM region)")
-def set_word_union(spark, d):
-    text = v.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("text").alias("kind"))
-    rows = text.unionByName(v.table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("id"), F.lit("table").alias("kind")))
-    return rows.withColumn("position", F.row_number().over(Window.orderBy("id", "kind")))
-
-
 @query("set_distinct", "SELECT DISTINCT source, lang FROM documents")
 def set_distinct(spark, d):
     return v.table(spark, d, "documents").select("source", "lang").distinct()
@@ -272,8 +282,9 @@ def flt_exam(spark, d):
 
 @query("flt_review", f"WITH {v.QUESTIONS} SELECT question_id FROM q WHERE status <> 'normal' AND confidence_x100 < 45 AND {LABEL} = '填空题' AND contains(lower(question), 'th')")
 def flt_review(spark, d):
-    q = v.questions(spark, d).filter((F.col("status") != "normal") & (Q.confidence_bucket(F.col("confidence_x100")) == "low"))
-    return q.filter((Q.display_label(F.col("display_label"), F.col("type")) == "填空题") & F.lower("question").contains("th")).select("question_id")
+    from lectern.plans.aggregates import reviewed
+
+    return find.review(reviewed(spark, d), "abnormal", "low", label="填空题", keyword="TH").select("question_id")
 
 
 @query("flt_mastered", f"WITH {QR} SELECT q.question_id, q.bank_id FROM q JOIN mastered m ON q.bank_id = m.bank_id AND q.question_id = m.question_id WHERE type = 'single' AND contains(lower(category || ' ' || question), 'e')")
@@ -292,19 +303,6 @@ def flt_sheet(spark, d):
     return _status(spark, d).filter("st = 'correct' AND type = 'judge'").select("question_id")
 
 
-@query("flt_noise", f"WITH {v.PARAGRAPHS} SELECT doc_id, idx FROM p WHERE trim(text, ' ') = '' OR regexp_matches(trim(text, ' '), '^[-—–] *[0-9]+ *[-—–]$') OR regexp_matches(trim(text, ' '), '^[^ ].{{0,50}}[.．·…]{{4,}} *[0-9]+$')")
-def flt_noise(spark, d):
-    t = F.trim("text")
-    noise = (t == "") | t.rlike(r"^[-—–] *[0-9]+ *[-—–]\z") | t.rlike(r"^[^ ].{0,50}[.．·…]{4,} *[0-9]+\z")
-    return v.paragraphs(spark, d).filter(noise).select("doc_id", "idx")
-
-
-@query("flt_title", f"WITH {v.PARAGRAPHS} SELECT doc_id, text FROM p WHERE idx = 0 AND length(text) <= 60 AND NOT regexp_matches(text, '[。？！?!;；]$')")
-def flt_title(spark, d):
-    t = F.col("text")
-    return v.paragraphs(spark, d).filter((F.col("idx") == 0) & (F.length(t) <= 60) & ~t.rlike(r"[。？！?!;；]\z")).select("doc_id", "text")
-
-
 @query("rec_wrong_remove", f"WITH {v.RECORDS}, c AS (SELECT DISTINCT bank_id, question_id FROM a WHERE correct) SELECT bank_id, question_id, wrong_count FROM wrong ANTI JOIN c USING (bank_id, question_id)")
 def rec_wrong_remove(spark, d):
     a = v.answers(spark, d)
@@ -324,7 +322,7 @@ def rec_mastered_set(spark, d):
 
 @query("rec_exam", f"WITH {v.ANSWERS} SELECT bank_id, count(*) AS exams FROM a WHERE type_label = 'signup' GROUP BY 1")
 def rec_exam(spark, d):
-    return v.answers(spark, d).filter("type_label = 'signup'").groupBy("bank_id").agg(F.count("*").alias("exams"))
+    return R.exams(v.answers(spark, d), F.col("type_label") == "signup")
 
 
 @query("rec_draft", f"WITH {v.ANSWERS} SELECT bank_id, question_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY bank_id ORDER BY ts DESC, event_id DESC) AS k FROM a WHERE type_label = 'view') WHERE k = 1")

@@ -10,7 +10,7 @@ from lectern.operators import validate as V
 from lectern.plans import views as v
 from lectern.plans.registry import query
 
-_PUNCT = r'''[\s，。；：！？、,.!?;:''"“”‘’（）()【】\[\]［］_-]'''
+_PUNCT = r"""[\s\x{00A0}\x{3000}\x{FEFF}，。；：！？、,.!?;:''"“”‘’（）()【】\[\]［］_-]"""
 _D = "documents"
 _QO = f"WITH {v.QUESTIONS}, {v.OPTIONS}"
 
@@ -40,33 +40,64 @@ def fn_signature(spark, d):
     return v.table(spark, d, _D).select("doc_id", T.signature(F.col("text")).alias("out"))
 
 
-@query("fn_xml_entities")
+_ENTITIES = """replace(replace(replace(replace(replace(%s, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&')"""
+
+
+@query("fn_xml_entities", f"SELECT page_id, {_ENTITIES % 'html'} || '<A中中😀&#0;&nope;&#xD800;' AS out FROM pages")
 def fn_xml_entities(spark, d):
-    return v.table(spark, d, "pages").select("page_id", T.xml_entities(F.col("html")).alias("out"))
+    """Named entities, then numeric ones, which an ``&amp;`` may have hidden; what stands for no character stays."""
+    return v.table(spark, d, "pages").select("page_id", T.xml_entities(F.concat("html", F.lit("&lt;&amp;#65;&#x4E2D;&#20013;&#x1F600;&#0;&nope;&#xD800;"))).alias("out"))
+
+
+_TIDY = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(%s, chr(160), ' '), '[ \t\f\v]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g'), '[\s\x{3000}]+([，。；：！？、])', '\1', 'g'), '([（(【\[])[ \t]+', '\1', 'g'), '[ \t]+([）)】\]])', '\1', 'g'), chr(32) || chr(10))"""
+#: what documents write, and what normalising makes of it
+_LABELS = [("【 答案 】 A、C", "答案：A、C"), ("（参考答案）：", " 参考答案："), ("[解析]", " 解析："), ("答案（B）", "答案：B"), ("正确 答 案 为 ：", " 答案："), ("Ａ１ｂ", " A1b"), ("中\u200b文", " 中文"), ("中文题目".encode().decode("latin-1"), " 中文题目")]
 
 
-@query("fn_normalize_text")
+@query("fn_normalize_text", f"SELECT doc_id, {_TIDY % 'text'} AS out FROM documents UNION ALL SELECT -1 - s_suppkey * {len(_LABELS)} - i, s_name || ([{', '.join(repr(b) for _, b in _LABELS)}])[i + 1] FROM supplier, range({len(_LABELS)}) t(i)")
 def fn_normalize_text(spark, d):
-    return v.table(spark, d, _D).select("doc_id", T.normalize(F.col("text")).alias("out"))
+    """The documents' texts, and labels, widths, invisible and broken characters after each supplier's name."""
+    forms = F.array(*(F.lit(a) for a, _ in _LABELS))
+    made = v.table(spark, d, "supplier").select("s_suppkey", "s_name", F.posexplode(forms).alias("i", "form")).select((-1 - F.col("s_suppkey") * len(_LABELS) - F.col("i")).alias("doc_id"), F.concat("s_name", F.lit(" "), "form").alias("text"))
+    return v.table(spark, d, _D).select("doc_id", "text").unionByName(made).select("doc_id", T.normalize(F.col("text")).alias("out"))
 
 
-@query("fn_one_line")
+@query("fn_one_line", rf"SELECT doc_id, trim(regexp_replace(regexp_replace({_TIDY % 'text'}, '\n+', ' ', 'g'), '[\s\x{{3000}}]{{2,}}', ' ', 'g'), ' ') AS out FROM documents")
 def fn_one_line(spark, d):
     return v.table(spark, d, _D).select("doc_id", T.one_line(F.col("text")).alias("out"))
 
 
-@query("fn_mojibake")
+@query("fn_mojibake", r"SELECT doc_id, text AS out FROM documents WHERE NOT regexp_matches(text, '[^\x{00}-\x{FF}]')")
 def fn_mojibake(spark, d):
+    """Texts whose UTF-8 was read as a single-byte code come back; texts without such characters stay."""
     broken = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
-    return v.table(spark, d, _D).select("doc_id", (T.repair_mojibake(broken) == F.col("text")).alias("restored"))
+    return v.table(spark, d, _D).filter(~F.col("text").rlike(r"[^\x{00}-\x{FF}]")).select("doc_id", T.repair_mojibake(broken).alias("out"))
+
+
+@query("fn_known_notation", "SELECT s_suppkey, unnest(['whole', 'clean', 'other']) AS form, unnest(['see ' || s_name || ' reads well.', 'see AB is well.', s_name]) AS out FROM supplier")
+def fn_known_notation(spark, d):
+    """A table of known sentences: one that carries marks of damage is written out, others stay."""
+    s, rules = v.table(spark, d, "supplier"), [(r"AB[^.]*\.", "%s")]
+    forms = F.array(F.struct(F.lit("whole").alias("form"), F.lit("see AB�ö±²� damaged.").alias("t")), F.struct(F.lit("clean").alias("form"), F.lit("see AB is well.").alias("t")), F.struct(F.lit("other").alias("form"), F.col("s_name").alias("t")))
+    rows = s.select("s_suppkey", "s_name", F.explode(forms).alias("f")).select("s_suppkey", "s_name", "f.*")
+    return rows.select("s_suppkey", "form", F.replace(T.known_sentence(F.col("t"), rules), F.lit("%s"), F.concat("s_name", F.lit(" reads well."))).alias("out"))
+
 
+@query("fn_bracket_label", "SELECT s_suppkey, unnest(['参考答案：', '解析：', '答案：', '答案：', s_name]) || s_name AS out FROM supplier")
+def fn_bracket_label(spark, d):
+    forms = F.array(F.lit("【参考答案】："), F.lit("(答案解析)"), F.lit("［标准答案］"), F.lit("（ 答 ）:"), F.col("s_name"))
+    return v.table(spark, d, "supplier").select("s_suppkey", F.explode(forms).alias("f"), "s_name").select("s_suppkey", T.bracket_label(F.concat("f", "s_name")).alias("out"))
 
-@query("fn_progress_key")
+
+_NORM = r"""lower(regexp_replace(regexp_replace(%s, '[\s\x{00A0}\x{3000}\x{FEFF}]+', '', 'g'), '[，。；：、“”‘’（）()《》【】\[\]·,.!?！？;:''"`~\-—_]', '', 'g'))"""
+
+
+@query("fn_progress_key", f"WITH {v.QUESTIONS} SELECT question_id, type || '|' || {_NORM % 'category'} || '|' || substr({_NORM % 'question'}, 1, 180) AS key FROM q")
 def fn_progress_key(spark, d):
     return v.questions(spark, d).select("question_id", T.progress_key(F.col("type"), F.col("category"), F.col("question")).alias("key"))
 
 
-@query("fn_safe_name")
+@query("fn_safe_name", r"""SELECT page_id, CASE WHEN url IS NULL THEN NULL WHEN trim(url, ' ') = '' THEN '题库' ELSE substr(regexp_replace(trim(url, ' '), '[\\/:*?"<>|]', '_', 'g'), 1, 60) END AS out FROM pages""")
 def fn_safe_name(spark, d):
     return v.table(spark, d, "pages").select("page_id", T.safe_name(F.col("url")).alias("out"))
 
@@ -76,12 +107,49 @@ def fn_list_start(spark, d):
     return v.paragraphs(spark, d).select("doc_id", "idx", T.list_start(F.col("text")).alias("item"))
 
 
-@query("fn_smart_join")
+_LINES = rf"list_filter(list_transform(string_split({_TIDY % 'text'}, chr(10)), lambda l: trim(regexp_replace(l, '[\s\x{{3000}}]{{2,}}', ' ', 'g'), ' ')), lambda l: l <> '')"
+_ITEM = r"regexp_matches(b, '^([0-9]{1,3}[.、．)）]|[（(][0-9]{1,3}[）)]|[①-⑩]|[一二三四五六七八九十]+[、.．]|[-—•·])')"
+_SPACED = "regexp_matches(a, '[A-Za-z0-9%℃°)]$') AND regexp_matches(b, '^[A-Za-z0-9(]')"
+
+
+def _joined(gap: str) -> str:
+    """SQL of a text's lines joined one by one: a is what there is, b the next line."""
+    return f"SELECT doc_id, list_reduce({_LINES}, lambda a, b: a || {gap} || b) AS out FROM documents WHERE len({_LINES}) > 0"
+
+
+_RUN_ON = f"CASE WHEN {_SPACED} THEN ' ' ELSE '' END"
+
+
+@query("fn_smart_join", _joined(_RUN_ON))
 def fn_smart_join(spark, d):
-    return v.table(spark, d, _D).select("doc_id", T.smart_join(F.split("text", "\n")).alias("out"))
+    return v.table(spark, d, _D).select("doc_id", T.smart_join(F.split("text", "\n")).alias("out")).filter("out <> ''")
+
+
+@query("fn_clean_question", _joined(_RUN_ON))
+def fn_clean_question(spark, d):
+    """Lines run on, without the label before them."""
+    lines = F.split(F.concat(F.lit("题目：\n"), "text"), "\n")
+    return v.table(spark, d, _D).select("doc_id", T.clean_question(lines).alias("out")).filter("out <> ''")
+
+
+@query("fn_clean_answer", _joined("CASE WHEN regexp_matches(a, '[，,：:]$') THEN '' ELSE chr(10) END"))
+def fn_clean_answer(spark, d):
+    """A point a line, but where the line before ends in a comma."""
+    lines = F.split(F.concat(F.lit("答案："), "text"), "\n")
+    return v.table(spark, d, _D).select("doc_id", T.clean_answer(lines).alias("out")).filter("out <> ''")
 
 
-@query("fn_encoding_anomaly")
+@query("fn_clean_analysis", _joined(f"CASE WHEN {_ITEM} THEN chr(10) WHEN {_SPACED} THEN ' ' ELSE '' END"))
+def fn_clean_analysis(spark, d):
+    """Lines run on, items of lists keep theirs."""
+    lines = F.split(F.concat(F.lit("解析："), "text"), "\n")
+    return v.table(spark, d, _D).select("doc_id", T.clean_analysis(lines).alias("out")).filter("out <> ''")
+
+
+_ANOMALY = "regexp_matches(%s, '[�-]|(Ã.|Â.|â€|ä¸|å[\x80-\xbf]|æ[\x80-\xbf]|ç[\x80-\xbf]|ï¿½)|煾{2,}|[A-Za-z0-9.]ö[±²³A-Za-z0-9.]?|[±²³]ö|ö{2,}')"
+
+
+@query("fn_encoding_anomaly", f"SELECT doc_id, {_ANOMALY % 'text'} AS bad FROM documents")
 def fn_encoding_anomaly(spark, d):
     return v.table(spark, d, _D).select("doc_id", T.encoding_anomaly(F.col("text")).alias("bad"))
 
@@ -144,7 +212,7 @@ def fn_name_class(spark, d):
 
 @query("fn_content_hash", "SELECT doc_id, sha256(text) AS hash FROM documents")
 def fn_content_hash(spark, d):
-    return v.table(spark, d, _D).select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("hash"))
+    return v.table(spark, d, _D).select("doc_id", Q.content_hash(F.col("text")).alias("hash"))
 
 
 @query("prj_display", f"WITH {v.QUESTIONS} SELECT question_id, CASE WHEN display_label <> '' THEN display_label WHEN type = 'single' THEN '单选题' WHEN type = 'multiple' THEN '多选题' WHEN type = 'judge' THEN '判断题' ELSE '简答题' END AS label FROM q")
@@ -163,7 +231,7 @@ def prj_source_format(spark, d):
     return v.table(spark, d, "pages").select("page_id", Q.source_format(name, F.lit("")).alias("family"))
 
 
-@query("prj_option_state", f"{_QO}, e AS (SELECT question_id, i, (['A','B','C','D','E'])[i] AS k, answer, {_PICKED} AS picked FROM o, LATERAL (SELECT unnest(range(1, len(words) + 1)) AS i)) SELECT question_id, k AS key, CASE WHEN list_contains(answer, k) AND list_contains(picked, k) THEN 'chosen-correct' WHEN list_contains(answer, k) THEN 'correct' WHEN list_contains(picked, k) THEN 'chosen-wrong' ELSE '' END AS state FROM e")
+@query("prj_option_state", f"{_QO}, e AS (SELECT question_id, i, (['A','B','C','D'])[i] AS k, answer, {_PICKED} AS picked FROM o, LATERAL (SELECT unnest(range(1, len(opts) + 1)) AS i)) SELECT question_id, k AS key, CASE WHEN list_contains(answer, k) AND list_contains(picked, k) THEN 'chosen-correct' WHEN list_contains(answer, k) THEN 'correct' WHEN list_contains(picked, k) THEN 'chosen-wrong' ELSE '' END AS state FROM e")
 def prj_option_state(spark, d):
     o = v.options(v.questions(spark, d))
     return o.select("question_id", F.explode(Q.option_state(F.col("options"), F.col("answer"), _picked())).alias("s")).select("question_id", "s.key", "s.state")
@@ -182,7 +250,23 @@ def prj_compact(spark, d):
     return v.questions(spark, d).select("question_id", F.size(kept).alias("kept"))
 
 
-@query("fn_validate")
+_SIGN = r"""translate(lower(regexp_replace(t, '[\s\x{00A0}\x{3000}\x{FEFF}，,。；;：:''"“”‘’（）()【】\[\]［］]', '', 'g')), '−–—', '---')"""
+_VALID = rf"""{_QO}, k AS (SELECT *, list_transform(range(1, len(opts) + 1), lambda i: (['A','B','C','D'])[i]) AS keys, list_transform(opts, lambda t: {_SIGN}) AS sigs, type = 'short' AS short FROM o),
+  b AS (SELECT *, list_filter(answer, lambda a: NOT list_contains(keys, a)) AS bad,
+    list_transform(list_filter(range(1, len(sigs) + 1), lambda i: sigs[i] <> '' AND list_position(sigs, sigs[i]) = i AND len(list_filter(sigs, lambda x: x = sigs[i])) > 1), lambda i: sigs[i]) AS twice FROM k),
+  i AS (SELECT *, [
+    CASE WHEN length(question) < 4 THEN '题干缺失或过短|45' END, CASE WHEN regexp_matches(question, '(答案|参考答案|解析)\s*[:：]') THEN '题干中仍残留答案或解析标记|18' END,
+    CASE WHEN short AND regexp_replace(answer_text, '\s', '', 'g') = '' THEN '无答案|35' END, CASE WHEN NOT short AND len(bad) > 0 THEN '答案不符（' || array_to_string(bad, '、') || '）|40' END,
+    CASE WHEN list_contains(opts, '') THEN '空白选项|15' END]
+    || list_transform(twice, lambda s: '疑似重复（' || array_to_string(list_filter(keys, lambda x, n: sigs[n] = s), '、') || '）|' || CASE WHEN s = twice[1] THEN '18' ELSE '0' END) || [
+    CASE WHEN length(question) > 1000 THEN '题干过长|25' END, CASE WHEN length(answer_text) > 3000 THEN '答案过长|20' END, CASE WHEN {_ANOMALY % "question || ' ' || array_to_string(opts, ' ') || ' ' || answer_text"} THEN '字符映射异常|22' END,
+    CASE WHEN type = 'multiple' AND len(answer) < 2 THEN '多选仅一项|15' END, CASE WHEN type = 'judge' THEN '判断选项异常|15' END] AS found FROM b),
+  s AS (SELECT question_id, type, list_transform(list_filter(found, lambda x: x IS NOT NULL), lambda x: string_split(x, '|')) AS parts FROM i),
+  z AS (SELECT question_id, array_to_string(list_transform(parts, lambda x: x[1]), ';') AS issues, greatest(0, 100 - coalesce(list_sum(list_transform(parts, lambda x: x[2]::INT)), 0))::INT AS confidence_x100 FROM s)
+  SELECT *, CASE WHEN confidence_x100 < 45 THEN 'error' WHEN issues <> '' THEN 'warning' ELSE 'normal' END AS status FROM z"""
+
+
+@query("fn_validate", _VALID)
 def fn_validate(spark, d):
     q = v.options(v.questions(spark, d).drop("status", "confidence_x100"))
     return V.validate(q).select("question_id", F.array_join("issues", ";").alias("issues"), "confidence_x100", "status")

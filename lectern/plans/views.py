@@ -77,17 +77,24 @@ RECORDS = ", ".join((ANSWERS, MASTERED, FAVORITE, WRONG))
 
 
 def options(df: DataFrame, text: str = "question") -> DataFrame:
-    """Pseudo options, answer and answer text of a question, from its own words."""
-    words = F.slice(F.split(F.col(text), " "), 2, (F.col("question_id") % 3 + 2).cast("int"))
-    keys = F.array(*map(F.lit, "ABCDE"))
-    opts = F.transform(words, lambda w, i: F.struct(F.element_at(keys, i + 1).alias("key"), w.alias("text"), F.expr("cast(array() as array<string>)").alias("images")))
+    """Pseudo options, answer and answer text of a question: two to four options share out all its words, and in each
+    fifth question the last repeats the first."""
+    words, n = F.split(F.col(text), " "), (F.col("question_id") % 3 + 2).cast("int")
+    keys, none = F.array(*map(F.lit, "ABCD")), F.expr("cast(array() as array<string>)")
+    again = F.col("question_id") % 5 == 0
+
+    def option(j):
+        own = F.when(again & (j == n - 1), 0).otherwise(j)
+        return F.struct(F.element_at(keys, j + 1).alias("key"), F.array_join(F.filter("__words", lambda w, i: i % n == own), " ").alias("text"), none.alias("images"))
+
     answer = F.array_distinct(F.array(F.element_at(keys, (F.col("question_id") % 4 + 1).cast("int")), F.element_at(keys, (F.col("question_id") % 2 + 1).cast("int"))))
-    return df.withColumn("options", opts).withColumn("answer", answer).withColumn("answer_text", F.when(F.col("question_id") % 7 == 0, "").otherwise(F.substring(text, 1, 12)))
+    out = df.withColumn("__words", words).withColumn("options", F.transform(F.sequence(F.lit(0), n - 1), option)).drop("__words")
+    return out.withColumn("answer", answer).withColumn("answer_text", F.when(F.col("question_id") % 7 == 0, "").otherwise(F.col(text)))
 
 
-OPTIONS = """o AS (SELECT *, string_split(question, ' ')[2:(question_id % 3 + 3)] AS words,
+OPTIONS = """o AS (SELECT *, list_transform(range(question_id % 3 + 2), lambda j: array_to_string(list_filter(string_split(question, ' '), lambda w, i: (i - 1) % (question_id % 3 + 2) = CASE WHEN question_id % 5 = 0 AND j = question_id % 3 + 1 THEN 0 ELSE j END), ' ')) AS opts,
   CASE WHEN question_id % 4 = question_id % 2 THEN [(['A','B'])[(question_id % 2 + 1)::INT]] ELSE [(['A','B','C','D'])[(question_id % 4 + 1)::INT], (['A','B'])[(question_id % 2 + 1)::INT]] END AS answer,
-  CASE WHEN question_id % 7 = 0 THEN '' ELSE substr(question, 1, 12) END AS answer_text FROM q)"""
+  CASE WHEN question_id % 7 = 0 THEN '' ELSE question END AS answer_text FROM q)"""
 
 
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ CASES = {
          ("17 题", {"images": ["i.png"]}), "18 题（判断）设备接地有利于安全。", "A", "19/20[题]（多选）原则有哪些？", "A. 快速报警", "B. 冷静应对", "A/B", "201 20[单选题]最后一道题的答案是（）。", "A. 甲", "B. 乙", "A"],
         [("14", "judge", "A"), ("15", "short", "为了及时发现故障。"), ("16", "single", "B"), ("17", "single", ""), ("18", "judge", "A"), ("19", "multiple", "AB"), ("20", "single", "A")],
     ),
-    "numbers alone": ([x for i in range(1, 4) for x in (str(i), f"题 测试题号 {i} 的答案是（）。", "A. 正确", "A")], [(str(i), "single", "A") for i in range(1, 4)]),
+    "numbers alone": ([x for i in range(1, 4) for x in (str(i), f"题 测试题号 {i} 的答案是（）。", "A. 正确", "A")], [(str(i), "judge", "A") for i in range(1, 4)]),  # the only option is a truth value
     "no punctuation": (
         ["故障判断与处理", "37、安全栅是关键仪表。", "答案：（正确）", "38更换安全栅时，应注意以下事项:", "A.确认型号。", "B.先切断电源", "C提前断开信号线", "D螺丝应拧紧", "答案：ABCD", "39、指示灯闪烁含义", "参考答案：表示故障。"],
         [("37", "judge", "A"), ("38", "multiple", "ABCD"), ("39", "short", "表示故障。")],
