@@ -76,7 +76,7 @@ def shared_dir(spark: SparkSession) -> str:
 _LEFT: dict[str, tuple] = {}
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again.
 
     Cuts the lineage: a lost executor costs a re-read of these files, not of what made them.  What
@@ -84,7 +84,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     _LEFT[path] = (spark._jvm, spark._jsc.hadoopConfiguration())

@@ -34,7 +34,7 @@ from lectern.llm.common import bounded_batches, staged, text_or_empty, unstage
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 #: tokens whose hashes a worker remembers; tokens taken at a time, so a long text takes bounded memory
-_REMEMBERED, _BLOCK = 500_000, 1 << 18
+_REMEMBERED, _BLOCK = 250_000, 1 << 18
 #: scale of a frequency, so that weights of order one decide a text
 _SCALE = 32.0
 

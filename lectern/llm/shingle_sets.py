@@ -11,12 +11,15 @@ radius give the first candidates, by the same tiles as ever, and the rest come f
 3. Sets of similarity ``threshold`` or more share a value among the first ``n - ceil(threshold * n) + 1``
    of each, in any order that is the same for all (prefix filter), so sets meet in the values of their
    prefixes and no pair is missed.  The order has values that a sample finds common last; the sample
-   sets the work, not the result.  Each set is compared with the least set of each bucket.
-4. Buckets that still hold sets of different components are compared in tiles, as fingerprints are:
-   a task sees two tiles, skips pairs whose sizes can't be similar or that are joined already, and
-   returns a spanning forest of its links.  Of buckets with the same members one is compared.
+   sets the work, not the result.  Each set is compared with the least one that it meets.
+4. Buckets that still hold sets of different components are compared: those of a few sets pair by
+   pair, larger ones in tiles, as fingerprints are, where a task sees two tiles of bit maps, in which a set marks the classes of its values, and counts the
+   bits that two share.  That bounds what the sets can share from above, so a pair whose bound is too
+   low is not similar; the others are compared.  A tile pair with more of those than rows allow gets
+   the whole sets and returns a spanning forest of its links.  Of buckets with the same members one
+   is compared, and sizes that can't be similar never meet.
 
-Every comparison intersects two whole sets.
+Every link comes from the intersection of two whole sets.
 
 Defined results: null text counts as empty; texts without words are alike; a text shorter than a
 shingle is one shingle; repeated ids are judged row by row; extra columns are ignored.
@@ -36,9 +39,11 @@ from lectern.llm.common import id_and_text, in_pandas, staged, text_or_empty, un
 from lectern.llm.simhash import components, links, of_hashes, shingle_hashes
 
 #: documents that the order of the values is sampled from, and the common values it keeps
-_SAMPLE, _COMMON = 8_000, 100_000
-#: sets in a tile
-_TILE = 512
+_SAMPLE, _COMMON = 4_000, 100_000
+#: sets in a bucket whose pairs are few, sets in a tile, classes of values in a bit map, and pairs a row that a tile may hand on
+_FEW, _TILE, _CLASSES, _HANDED = 16, 512, 4096, 8
+#: keys that may be broadcast: 8 MB
+_SENT = 1_000_000
 
 
 def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
@@ -57,6 +62,38 @@ def prefix(values: np.ndarray, threshold: float, common: np.ndarray, counts: np.
     return values[np.lexsort((values, often))[:most]]
 
 
+def bit_map(values: np.ndarray) -> np.ndarray:
+    """A bit for each class that some value is in."""
+    marked = np.zeros(_CLASSES, np.uint8)
+    marked[values.view(np.uint64) % np.uint64(_CLASSES)] = 1
+    return np.packbits(marked)
+
+
+def candidates(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, maps: np.ndarray, threshold: float, second: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of different roots (and sides) whose bit maps don't rule out that the sets are similar.
+
+    What two sets share lies in classes that both mark, one value each, and of values that share a
+    class within a set no more than the smaller number of them can count besides.
+    """
+    order = np.argsort(sizes, kind="stable")
+    keys, sizes, maps = keys[order], sizes[order], maps[order].view(np.uint64)
+    group = np.unique(roots[order], return_inverse=True)[1]
+    side = None if second is None else second[order]
+    besides = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    out = []
+    for k in range(len(keys) - 1):
+        last = int(np.searchsorted(sizes, sizes[k] / threshold + 1e-9, side="right"))
+        rest = slice(k + 1, last)
+        if last <= k + 1:
+            continue
+        most = np.bitwise_count(maps[rest] & maps[k]).sum(axis=1, dtype=np.int64) + np.minimum(besides[rest], besides[k])
+        may = similar(np.minimum(most, sizes[k]), sizes[k], sizes[rest], threshold) & (group[rest] != group[k])
+        if side is not None:
+            may &= side[rest] != side[k]
+        out += [(int(keys[k]), int(keys[j])) for j in (np.flatnonzero(may) + k + 1).tolist()]
+    return out
+
+
 def similar(both, n, m, threshold: float):
     """Whether sets of ``n`` and ``m`` values with ``both`` in common reach the threshold."""
     return both >= threshold * (n + m - both) - 1e-9
@@ -65,48 +102,77 @@ def similar(both, n, m, threshold: float):
 def _common_values(docs: DataFrame, text_col: str, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Values that several sampled texts have, sorted, with their counts."""
     step = max(1, docs.count() // _SAMPLE)
-    sample = docs.select(text_or_empty(text_col).alias("text")).filter(F.rand(seed) * step < 1)
+    sample = docs.select(text_or_empty(text_col).alias("text")).filter(F.rand(seed) * step < 1).repartition(8)
 
     def run(batches):
-        for pdf in batches:
-            for text in pdf["text"]:
-                yield pd.DataFrame({"value": shingle_set(text, width, seed)})
+        sets = [shingle_set(text, width, seed) for pdf in batches for text in pdf["text"]]
+        values, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64),) * 2
+        yield pd.DataFrame({"value": values[n > 1], "n": n[n > 1]})
 
-    counted = in_pandas(sample, run, "value long", ()).groupBy("value").agg(F.count("*").alias("n")).filter("n > 3")
+    counted = in_pandas(sample, run, "value long, n long", ()).groupBy("value").agg(F.sum("n").alias("n"))
     rows = sorted((r["value"], r["n"]) for r in counted.orderBy(F.desc("n"), "value").limit(_COMMON).collect())
     return np.array([v for v, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, seed: int) -> DataFrame:
-    """``(doc_id, key, fp, n, prefix, members)``: equal sets have one key."""
-    shared = docs.sparkSession.sparkContext.broadcast(_common_values(docs, text_col, width, seed))
-    rows, kind = id_and_text(docs, id_col, text_col)
-
-    def run(batches):
-        common, counts = shared.value
-        for pdf in batches:
-            fps, sets = [], []
-            for text in pdf["text"]:
-                blocks = list(shingle_hashes(text, width, seed))
-                fps.append(of_hashes(blocks))
-                sets.append(np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(1, np.int64))
-            members = [s.tobytes() for s in sets]
-            keys = np.array([xxhash.xxh64_intdigest(m, seed) for m in members], dtype=np.uint64).view(np.int64)
-            fps = np.array(fps, dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "fp": fps, "n": [len(s) for s in sets], "prefix": [prefix(s, threshold, common, counts) for s in sets], "members": members})
-
-    return in_pandas(rows, run, f"doc_id {kind}, key long, fp long, n long, prefix array<long>, members binary")
-
-
-def _members(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(key, members)`` of the keys that are asked for."""
-    return sets.select("key", "members").join(keys.distinct(), "key", "left_semi").groupBy("key").agg(F.first("members").alias("members"))
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+class _Sets:
+    """The sets of all documents, by key: equal sets have one.
+
+    ``rows`` (rid, doc_id, key, fp, n, prefix, text) and ``distinct`` (key, least, rid, n, fp) are staged.
+    The values themselves, several times as long as the texts, are not: they are made again for the
+    sets that are asked for, from the text of one row each.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, seed: int):
+        self.width, self.seed = width, seed
+        shared = docs.sparkSession.sparkContext.broadcast(_common_values(docs, text_col, width, seed))
+        rows, kind = id_and_text(docs, id_col, text_col)
+
+        def run(batches):
+            common, counts = shared.value
+            for pdf in batches:
+                fps, keys, prefixes, n = [], [], [], []
+                for text in pdf["text"]:
+                    blocks = list(shingle_hashes(text, width, seed))
+                    values = np.unique(np.concatenate(blocks).view(np.int64)) if blocks else np.zeros(1, np.int64)
+                    fps.append(of_hashes(blocks))
+                    keys.append(xxhash.xxh64_intdigest(values.tobytes(), seed))
+                    prefixes.append(prefix(values, threshold, common, counts))
+                    n.append(len(values))
+                fps, keys = (np.array(x, dtype=np.uint64).view(np.int64) for x in (fps, keys))
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "key": keys, "fp": fps, "n": n, "prefix": prefixes, "text": pdf["text"]})
+
+        made = in_pandas(rows, run, f"doc_id {kind}, key long, fp long, n long, prefix array<long>, text string")
+        self.rows = staged(made.withColumn("rid", F.monotonically_increasing_id()), "sets", codec="zstd")
+        self.distinct = staged(self.rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("fp").alias("fp")), "distinct")
+
+    def of(self, keys: DataFrame, made=None) -> DataFrame:
+        """``(key, members)`` of the keys that are asked for, staged; ``made`` turns the values into other bytes.
+
+        The rows of up to ``_SENT`` keys go to every executor (their number is counted first), so that
+        only the texts asked for are moved; more are joined by a shuffle.
+        """
+        width, seed = self.width, self.seed
+        wanted = staged(self.distinct.join(keys.distinct(), "key", "left_semi").select("key", "rid"), "keys")
+        few = wanted.count() <= _SENT
+
+        def run(batches):
+            for pdf in batches:
+                sets = (shingle_set(text, width, seed) for text in pdf["text"])
+                yield pd.DataFrame({"key": pdf["key"], "members": [(made(x) if made else x).tobytes() for x in sets]})
+
+        met = self.rows.select("rid", "text").join(F.broadcast(wanted) if few else wanted, "rid").select("key", "text")
+        out = staged(in_pandas(met, run, "key long, members binary", ()), "members")
+        unstage(wanted)
+        return out
+
+    def unstage(self) -> None:
+        unstage(self.rows, self.distinct)
+
+
+def _confirmed(pairs: DataFrame, sets: _Sets, threshold: float) -> DataFrame:
     """The ``pairs`` (u, v) whose whole sets are similar, as a staged table."""
     pairs = staged(pairs.distinct(), "pairs")
-    whole = staged(_members(sets, pairs.select(F.explode(F.array("u", "v")).alias("key"))), "members")
+    whole = sets.of(pairs.select(F.explode(F.array("u", "v")).alias("key")))
 
     def run(batches):
         for pdf in batches:
@@ -116,7 +182,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
                 near.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold)))
             yield pdf.loc[near, ["u", "v"]]
 
-    met = pairs.join(whole.select(F.col("key").alias("u"), F.col("members").alias("a")), "u").join(whole.select(F.col("key").alias("v"), F.col("members").alias("b")), "v")
+    met = pairs.join(whole.toDF("u", "a"), "u").join(whole.toDF("v", "b"), "v")
     out = staged(in_pandas(met.select("u", "v", "a", "b"), run, "u long, v long", ()), "similar")
     unstage(pairs, whole)
     return out
@@ -157,42 +223,90 @@ def forest(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], threshol
     return out
 
 
-def _tiled(met: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Links within the buckets of ``met`` (value, key, root), each of which holds several roots."""
-    sizes = met.groupBy("value").agg(F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"))
-    sizes = sizes.groupBy("size", "who").agg(F.min("value").alias("value"))  # of buckets with the same members one
-    placed = met.join(sizes.select("value", F.ceil(F.col("size") / _TILE).cast("int").alias("tiles")), "value")
-    placed = staged(placed, "placed")
-    whole = staged(_members(sets, placed.select("key")), "members")
-    shares = max(16, placed.count() // (4 * _TILE))
-    schema = "u long, v long"
-
-    def rows(pdf: pd.DataFrame):
-        return pdf["key"].to_numpy(), pdf["root"].to_numpy(), [np.frombuffer(m, np.int64) for m in pdf["members"]]
+def _not_ruled_out(pairs: DataFrame, sets: _Sets, threshold: float) -> DataFrame:
+    """The ``pairs`` (u, nu, v, nv) whose bit maps leave it open that they are similar."""
+    marks = sets.of(pairs.select(F.explode(F.array("u", "v")).alias("key")), bit_map)
 
-    def within(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = [link for _, part in pdf.groupby("value") for link in forest(*rows(part), threshold)]
-        return pd.DataFrame(found, columns=["u", "v"], dtype="int64")
+    def run(batches):
+        for pdf in batches:
+            a, b = (np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), -1) for c in ("a", "b"))
+            n, m = pdf["nu"].to_numpy(), pdf["nv"].to_numpy()
+            besides = np.minimum(*(k - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for k, x in ((n, a), (m, b))))
+            most = np.minimum(np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) + besides, np.minimum(n, m))
+            yield pdf.loc[similar(most, n, m, threshold), ["u", "v"]]
+
+    met = pairs.join(marks.toDF("u", "a"), "u").join(marks.toDF("v", "b"), "v").select("u", "v", "nu", "nv", "a", "b")
+    out = staged(in_pandas(met, run, "u long, v long", ()), "open")
+    unstage(marks)
+    return out
 
-    def between(pdf: pd.DataFrame) -> pd.DataFrame:
-        crossed = pdf["i"].iloc[0] != pdf["j"].iloc[0]
-        return pd.DataFrame(forest(*rows(pdf), threshold, pdf["second"].to_numpy(dtype=bool) if crossed else None), columns=["u", "v"], dtype="int64")
 
-    small = placed.filter("tiles = 1").join(whole, "key").groupBy(F.pmod(F.xxhash64("value"), F.lit(shares)).alias("share")).applyInPandas(within, schema)
-    own = placed.filter("tiles > 1").withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.col("tiles")).cast("int"))
+def _tiled(buckets: DataFrame, rooted: DataFrame, sets: _Sets, threshold: float) -> DataFrame:
+    """Links within the ``buckets`` (value, key) that hold several roots."""
+    met = buckets.join(rooted, "key")
+    sizes = met.groupBy("value").agg(F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"), F.min("root").alias("low"), F.max("root").alias("high"))
+    sizes = sizes.filter("low < high").groupBy("size", "who").agg(F.min("value").alias("value"))  # of buckets with the same members one
+    sizes = staged(sizes.select("value", "size", F.ceil(F.col("size") / _TILE).cast("int").alias("tiles")), "mixed")
+    mixed = staged(buckets.join(sizes, "value").join(rooted, "key").join(sets.distinct.select("key", "n"), "key"), "placed")
+
+    # buckets of a few sets: their pairs by key alone, each once however many buckets it is in
+    few = mixed.filter(F.col("size") <= _FEW)
+    one, two = (few.select("value", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "uv")
+    fits = F.least("nu", "nv") >= threshold * F.greatest("nu", "nv") - 1e-9
+    pairs = staged(one.join(two, "value").filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & fits).select("u", "nu", "v", "nv").distinct(), "few")
+    light = _not_ruled_out(pairs, sets, threshold)
+    unstage(pairs)
+
+    # larger ones: in tiles
+    many = mixed.filter(F.col("size") > _FEW)
+    if not many.limit(1).count():
+        linked = _confirmed(light, sets, threshold)
+        unstage(sizes, mixed, light)
+        return linked
+    marks = sets.of(many.select("key"), bit_map)
+    placed = many.join(marks.toDF("key", "bits"), "key").select("value", "key", "root", "n", "bits", "tiles")
+    own = placed.withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.col("tiles")).cast("int"))
     dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("value", "key", "root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
-    large = dealt.join(whole, "key").groupBy("value", "i", "j").applyInPandas(between, schema)
-    out = staged(small.unionByName(large), "rest")
-    unstage(placed, whole)
+    dealt = dealt.select("value", "key", "root", "n", "bits", "tiles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
+    shares = many.agg(F.sum(1 / F.col("size"))).first()[0] or 0  # the number of buckets
+
+    def met_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Pairs (u, v) to compare, or the tile pair (value, i, j) if there are too many."""
+        out = []
+        for (value, i, j), part in pdf.groupby(["value", "i", "j"]):
+            maps = np.frombuffer(b"".join(part["bits"]), np.uint8).reshape(len(part), -1)
+            found = candidates(part["key"].to_numpy(), part["root"].to_numpy(), part["n"].to_numpy(), maps, threshold, part["second"].to_numpy(dtype=bool) if i != j else None)
+            heavy = len(found) > _HANDED * len(part)
+            out += [(0, 0, value, i, j)] if heavy else [(u, v, 0, -1, -1) for u, v in found]
+        return pd.DataFrame(out, columns=["u", "v", "value", "i", "j"]).astype("int64")
+
+    # many small buckets go to one call; a large bucket's tile pairs are calls of their own, as their hashes differ
+    share = F.pmod(F.xxhash64("value", "i", "j"), F.lit(max(16, int(shares) // 16)))
+    found = staged(dealt.groupBy(F.when(F.col("tiles") > 1, F.xxhash64("value", "i", "j")).otherwise(share).alias("share")).applyInPandas(met_tiles, "u long, v long, value long, i long, j long"), "met")
+    confirmed = _confirmed(found.filter("i < 0").select("u", "v").unionByName(light), sets, threshold)
+    unstage(light)
+
+    heavy = found.filter("i >= 0").select("value", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
+    if not heavy.limit(1).count():
+        unstage(found, sizes, mixed, marks)
+        return confirmed
+    big = staged(dealt.select("value", "key", "root", "i", "j", "second").join(heavy, ["value", "i", "j"]), "heavy")
+    whole = sets.of(big.select("key"))
+
+    def whole_sets(pdf: pd.DataFrame) -> pd.DataFrame:
+        side = pdf["second"].to_numpy(dtype=bool) if pdf["i"].iloc[0] != pdf["j"].iloc[0] else None
+        return pd.DataFrame(forest(pdf["key"].to_numpy(), pdf["root"].to_numpy(), [np.frombuffer(m, np.int64) for m in pdf["members"]], threshold, side), columns=["u", "v"], dtype="int64")
+
+    linked = big.join(whole, "key").groupBy("value", "i", "j").applyInPandas(whole_sets, "u long, v long")
+    out = staged(confirmed.unionByName(linked), "rest")
+    unstage(found, sizes, mixed, marks, big, whole, confirmed)
     return out
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, radius: int, seed: int) -> DataFrame:
     """``(doc_id, component_id)`` per document; ``component_id`` is the smallest doc_id reachable."""
-    sets = staged(_sets(docs, id_col, text_col, width, threshold, seed), "sets")
-    distinct = sets.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("prefix").alias("prefix"))
-    distinct = staged(distinct, "distinct")
+    sets = _Sets(docs, id_col, text_col, width, threshold, seed)
+    distinct = sets.distinct
 
     def fits(n, m):
         return F.least(n, m) >= threshold * F.greatest(n, m) - 1e-9
@@ -208,20 +322,22 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: floa
     unstage(heads)
 
     # 3: by the values of the prefixes, against the least set of a bucket
-    def mixed(rooted: DataFrame) -> DataFrame:
-        """Rows (value, key, n, root) of buckets with several roots, and each bucket's least row."""
-        met = distinct.join(rooted, "key").select("key", "n", "root", F.explode("prefix").alias("value"))
-        ends = met.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(F.struct("key", "n", "root")).alias("first"))
-        return met.join(ends.filter("low < high").select("value", "first"), "value")
-
-    met = mixed(rooted).filter((F.col("root") != F.col("first.root")) & fits(F.col("n"), F.col("first.n")))
-    rooted = _merged(rooted, _confirmed(met.select(F.col("first.key").alias("u"), F.col("key").alias("v")), sets, threshold))
+    met = sets.rows.select("key", F.explode("prefix").alias("value"))  # equal sets meet their like in every value
+    shared = met.groupBy("value").agg(F.min("key").alias("first"), F.max("key").alias("last")).filter("first < last").select("value", "first")
+    buckets = staged(met.join(shared, "value").select("value", "key", "first").distinct(), "buckets")
+    stars = buckets.groupBy(F.col("key").alias("v")).agg(F.min("first").alias("u")).filter("u < v")
+    sized = rooted.join(distinct.select("key", "n"), "key")
+    one, two = sized.toDF("u", "a", "na"), sized.toDF("v", "b", "nb")
+    stars = stars.join(one, "u").join(two, "v").filter((F.col("a") != F.col("b")) & fits(F.col("na"), F.col("nb"))).select("u", "v")
+    rooted = _merged(rooted, _confirmed(stars, sets, threshold))
 
     # 4: what is left, in tiles
-    rooted = _merged(rooted, _tiled(mixed(rooted).select("value", "key", "root"), sets, threshold))
+    rooted = _merged(rooted, _tiled(buckets.select("value", "key"), rooted, sets, threshold))
+    unstage(buckets)
 
     named = distinct.join(rooted, "key").groupBy("root").agg(F.min("least").alias("component_id"))
     classes = staged(rooted.join(named, "root").select("key", "component_id"), "classes")
-    out = staged(sets.select("doc_id", "key").join(classes, "key").select("doc_id", "component_id"), "classes")
-    unstage(sets, distinct, rooted, classes)
+    out = staged(sets.rows.select("doc_id", "key").join(classes, "key").select("doc_id", "component_id"), "classes")
+    unstage(rooted, classes)
+    sets.unstage()
     return out

@@ -56,7 +56,7 @@ _OPENS = frozenset('"“„«‹‘')
 #: closing mark -> the opening marks it can close
 _CLOSES = {'"': '"', "”": "“„", "“": "„", "»": "«", "›": "‹", "’": "‘"}
 #: chunks a worker remembers, and the longest of them
-_REMEMBERED, _KEPT = 500_000, 64
+_REMEMBERED, _KEPT = 200_000, 64
 #: letters of the word beginnings that may be learned
 STEM_SIZES = (4, 5, 6)
 
@@ -137,7 +137,7 @@ class LexiconAutomaton:
                 break  # only the stem it went through can count
             row = self.steps.get(state)
             if row is None:
-                if len(self.steps) > 200_000:
+                if len(self.steps) > 50_000:
                     self.steps.clear()
                 row = self.steps[state] = {}
             if c not in row:

@@ -387,3 +387,41 @@ def test_foreign_media_files():
     bmp = struct.pack("<2sIIIIiiHHIIiiII", b"BM", 1078 + 8, 0, 1078, 40, 3, 2, 1, 8, 0, 8, 0, 0, 256, 0) + grey + b"abc\0def\0"
     assert media.decode(bmp, "image/bmp", 0, len(bmp)) == b"defabc"  # the bottom row comes first in the file
     assert media.decode(bmp.replace(grey, bytes(1024)), "image/bmp", 0, len(bmp)) is None
+
+
+@pytest.mark.parametrize("handed", [0, 8])
+def test_tiles_lose_no_link(spark, monkeypatch, handed):
+    """Texts that share a passage and little else: many buckets, many pairs that are nearly similar."""
+    from lectern.llm import shingle_sets
+
+    monkeypatch.setattr(shingle_sets, "_HANDED", handed)
+    monkeypatch.setattr(shingle_sets, "_TILE", 32)
+    monkeypatch.setattr(shingle_sets, "_FEW", 4)
+    rnd = random.Random(handed)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(3000)]
+    passage = [rnd.choice(words) for _ in range(60)]
+    texts = [" ".join(passage + [rnd.choice(words) for _ in range(rnd.randint(4, 16))]) for _ in range(90)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i, j in combinations(range(len(sets)), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+    assert 1 < len(set(root)) < len(root)
+    got = simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), width=5, similarity=0.8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(root))
+
+
+def test_bit_maps_bound_what_sets_share():
+    rng = np.random.default_rng(3)
+    from lectern.llm import shingle_sets as S
+
+    sets = []
+    for _ in range(40):
+        base = np.unique(rng.integers(-(2**62), 2**62, rng.integers(1, 6000)))
+        for share in (1.0, 0.95, 0.9, 0.5):
+            sets.append(np.unique(np.concatenate((base[: max(1, int(len(base) * share))], rng.integers(-(2**62), 2**62, int(len(base) * (1 - share)))))))
+    n = np.array([len(x) for x in sets])
+    found = {tuple(sorted(p)) for p in S.candidates(np.arange(len(sets)), np.arange(len(sets)), n, np.array([S.bit_map(x) for x in sets]), 0.8)}
+    near = {(i, j) for i, j in combinations(range(len(sets)), 2) if S.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 0.8)}
+    assert near <= found and len(found) < 4 * len(near)
