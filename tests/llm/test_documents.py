@@ -377,7 +377,7 @@ def test_context_reaches_as_far_as_it_says():
 def test_toxicity(spark, docs, empty):
     def bad(text, rnd):
         for _ in range(2):
-            text.insert(rnd.randrange(len(text)), rnd.choice(["zorkan", "zorkans", "idiot", "schnuffling", "schnuffler", "a" * 20 + "bcdefghij"]))
+            text.insert(rnd.randrange(len(text)), rnd.choice(["zorkan", "zorkans", "idiot", "schnuffling", "schnuffler", *["a" * 20 + "bcdefghij"] * 3]))
         return " ".join(text)
 
     train, labels = labelled(spark, bad, "toxic", 400)
