@@ -23,15 +23,16 @@ TRUE_MARKS, FALSE_MARKS = ("√", "✓", "✔", "☑", "正确", "对", "是", "
 _KEY = "[A-L]"
 #: answer keys: one, or several with or without a mark between them
 KEYS = rf"{_KEY}(?:\s*[,，、/\\|\s]?\s*{_KEY})*"
+_S = f"{WS}*"
 _MARK = "|".join(sorted((*TRUE_MARKS[:7], *FALSE_MARKS[:8]), key=len, reverse=True))
 #: (pattern, replacement) in order: bracketed labels become plain, an answer in brackets follows its label
 BRACKETED = (
-    *((rf"[【\[［(（]\s*(?:{'|'.join(words)})\s*[】\]］)）]\s*[:：]?", f"{name}：") for name, words in LABELS.items()),
-    (rf"(?i)(参考答案|正确答案|标准答案|答案|答)\s*[（(【\[［]\s*({_KEY}(?:\s*[,，、/\\|\s]\s*{_KEY})*|√|✓|×|✕|✖|正确|错误|对|错|是|否)\s*[）)】\]］]", r"\1：\2"),
+    *((rf"[【\[［(（]{_S}(?:{'|'.join(words)}){_S}[】\]］)）]{_S}[:：]?", f"{name}：") for name, words in LABELS.items()),
+    (rf"(?i)(参考答案|正确答案|标准答案|答案|答){_S}[（(【\[［]{_S}({_KEY}(?:{_S}(?:[,，、/\\|]|{WS}){_S}{_KEY})*|√|✓|×|✕|✖|正确|错误|对|错|是|否){_S}[）)】\]］]", r"\1：\2"),
 )
-_LETTERS = {"参考答案": r"参\s*考\s*答\s*案\s*(?:为|是)?", "解析": r"(?:答\s*案\s*)?解\s*析", "答案": r"(?<!参)(?<!参考)(?:正确|标准|试题)?\s*答\s*案\s*(?:为|是)?"}
+_LETTERS = {"参考答案": f"{_S.join('参考答案')}{_S}(?:为|是)?", "解析": f"(?:{_S.join('答案')}{_S})?{_S.join('解析')}", "答案": f"(?<!参)(?<!参考)(?:正确|标准|试题)?{_S}{_S.join('答案')}{_S}(?:为|是)?"}
 #: labels written with spaces between their characters; more than one colon after a label is one
-SPELLED = (*((rf"{pattern}\s*[:：]", f"{name}：") for name, pattern in _LETTERS.items()), (r"(答案|解析)：\s*[:：]+", r"\1："))
+SPELLED = (*((rf"{pattern}{_S}[:：]", f"{name}：") for name, pattern in _LETTERS.items()), (rf"(答案|解析)：{_S}[:：]+", r"\1："))
 #: white space: runs are one space, line ends stand alone, none before closing marks or after opening ones
 SPACING = (
     ("[ \\t\\f\\x0B]+", " "),
@@ -87,14 +88,14 @@ def known_sentence(text: str, rules=None) -> str:
 
 
 _TIDY = [(re.compile(p), to) for p, to in (*BRACKETED, *SPELLED, *SPACING)]
-_PLAIN = re.compile(r"[\x21-\x7e]+(?: [\x21-\x7e]+)*")
+_PLAIN = re.compile(r"[\x21-\x27\x2a-\x5a\x5e-\x7e]+(?: [\x21-\x27\x2a-\x5a\x5e-\x7e]+)*")  # no brackets
 
 
 def tidy(text: str | None) -> str:
     """Half-width letters and figures, plain labels, no invisible characters, tidy spacing; lines stay."""
     if not text:
         return ""
-    if _PLAIN.fullmatch(text) and "(" not in text and "[" not in text:
+    if _PLAIN.fullmatch(text):
         return text
     text = half_width(known_sentence(repair_mojibake(text)))
     for k, (pattern, to) in enumerate(_TIDY):

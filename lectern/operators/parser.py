@@ -180,6 +180,7 @@ def materials(lines: list[Line]) -> list[Line]:
 
 
 _ALONE = re.compile(r"^(\d{1,4})\s*[.、．:：)）-]?$")
+_BARE_LABEL = re.compile(r"^(?:正确答案|标准答案|参考答案|答案|答)\s*(?:为|是)?\s*[:：]$")
 _OPTION_OR_ANSWER = re.compile(r"^(?:[A-L]\s*[.、．:：)）]|[（(]?[A-L][）)]|(?:正确答案|标准答案|参考答案|答案|答)\s*(?:为|是)?\s*[:：])", re.I)
 
 
@@ -194,7 +195,7 @@ def _body_of_number(number: str, lines: list[Line]) -> int:
     first = lines[0].one
     skip = 1 if first == "题" and len(lines) > 1 else 0
     body, after = lines[skip].one, lines[skip + 1 : skip + 4]
-    if not body or _ALONE.match(body) or re.match(r"^题\s*共?\s*\d+$", body):
+    if L.noise(body) or _ALONE.match(body) or re.match(r"^题\s*共?\s*\d+$", body):
         return 0
     if not skip and (re.match(rf"^(?:题目|题干|问题)\s*[:：]?|^题\s*\S|^[（(\[【]?\s*(?:{L.TYPE})", body) and not L.type_heading(body)):
         return 1
@@ -209,7 +210,7 @@ def joined_starts(lines: list[Line]) -> tuple[list[Line], int]:
     """Lone numbers joined with the next one or two lines where those are a question; and how many were."""
     out, k, repaired = [], 0, 0
     while k < len(lines):
-        m = _ALONE.match(lines[k].one)
+        m = None if out and _BARE_LABEL.match(out[-1].one) else _ALONE.match(lines[k].one)  # after a label it is the answer
         n = _body_of_number(m[1], lines[k + 1 : k + 7]) if m else 0
         if n:
             others = lines[k + 1 : k + 1 + n]

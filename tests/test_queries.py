@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lectern.plans import aggregates, ingest, matching, scalars  # noqa: F401
+from lectern.plans import aggregates, banks, formats, ingest, matching, parsing, scalars  # noqa: F401
 from lectern.plans.registry import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
