@@ -13,11 +13,13 @@ radius give the first candidates, by the same tiles as ever, and the rest come f
    prefixes and no pair is missed.  The order has values that a sample finds common last; the sample
    sets the work, not the result.  Each set is compared with the least one that it meets.
 4. Buckets that still hold sets of different components are compared: those of a few sets pair by
-   pair, larger ones in tiles, as fingerprints are, where a task sees two tiles of bit maps, in which a set marks the classes of its values, and counts the
-   bits that two share.  That bounds what the sets can share from above, so a pair whose bound is too
-   low is not similar; the others are compared.  A tile pair with more of those than rows allow gets
-   the whole sets and returns a spanning forest of its links.  Of buckets with the same members one
-   is compared, and sizes that can't be similar never meet.
+   pair, larger ones in tiles, as fingerprints are, where a task sees two tiles of bit maps, in which
+   a set marks the classes of its values, and counts the bits that two share.  That bounds what the
+   sets can share from above, so a pair whose bound is too low is not similar; the others are
+   compared.  Some rounds compare a spanning forest of these pairs, over a part of the buckets each,
+   which joins most of what is similar; then all pairs of what is still apart are compared.  A tile
+   pair with more of those than rows allow gets the whole sets and returns a spanning forest of its
+   links.  Of buckets with the same members one is compared, and sizes that can't be similar never meet.
 
 Every link comes from the intersection of two whole sets.
 
@@ -42,6 +44,8 @@ from lectern.llm.simhash import components, links, of_hashes, shingle_hashes
 _SAMPLE, _COMMON = 4_000, 100_000
 #: sets in a bucket whose pairs are few, sets in a tile, classes of values in a bit map, and pairs a row that a tile may hand on
 _FEW, _TILE, _CLASSES, _HANDED = 16, 512, 4096, 8
+#: rounds that compare a spanning forest of what bit maps leave open
+_TURNS = 3
 #: keys that may be broadcast: 8 MB
 _SENT = 1_000_000
 
@@ -69,19 +73,21 @@ def bit_map(values: np.ndarray) -> np.ndarray:
     return np.packbits(marked)
 
 
-def candidates(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, maps: np.ndarray, threshold: float, second: np.ndarray | None = None) -> list[tuple[int, int]]:
+def candidates(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, maps: np.ndarray, threshold: float, second: np.ndarray | None = None, seed: int | None = None) -> list[tuple[int, int]]:
     """Pairs of different roots (and sides) whose bit maps don't rule out that the sets are similar.
 
     What two sets share lies in classes that both mark, one value each, and of values that share a
-    class within a set no more than the smaller number of them can count besides.
+    class within a set no more than the smaller number of them can count besides.  With a ``seed``
+    only a random spanning forest of these pairs, which would do if all were similar.
     """
     order = np.argsort(sizes, kind="stable")
     keys, sizes, maps = keys[order], sizes[order], maps[order].view(np.uint64)
     group = np.unique(roots[order], return_inverse=True)[1]
     side = None if second is None else second[order]
     besides = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
+    rng = None if seed is None else np.random.default_rng(seed)
     out = []
-    for k in range(len(keys) - 1):
+    for k in range(len(keys) - 1) if rng is None else rng.permutation(len(keys) - 1).tolist():
         last = int(np.searchsorted(sizes, sizes[k] / threshold + 1e-9, side="right"))
         rest = slice(k + 1, last)
         if last <= k + 1:
@@ -90,7 +96,12 @@ def candidates(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, maps: np.
         may = similar(np.minimum(most, sizes[k]), sizes[k], sizes[rest], threshold) & (group[rest] != group[k])
         if side is not None:
             may &= side[rest] != side[k]
-        out += [(int(keys[k]), int(keys[j])) for j in (np.flatnonzero(may) + k + 1).tolist()]
+        hits = np.flatnonzero(may) + k + 1
+        for j in (hits if rng is None else rng.permutation(hits)).tolist():
+            if rng is None or group[j] != group[k]:
+                out.append((int(keys[k]), int(keys[j])))
+            if rng is not None:
+                group[group == group[j]] = group[k]
     return out
 
 
@@ -241,55 +252,79 @@ def _not_ruled_out(pairs: DataFrame, sets: _Sets, threshold: float) -> DataFrame
     return out
 
 
+def _mixed(placed: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The rows of ``placed`` (value, key, …) in buckets that hold several roots, with the roots."""
+    met = placed.join(rooted, "key")
+    several = met.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return met.join(several.select("value"), "value", "left_semi")
+
+
+def _dealt(rows: DataFrame, calls: int) -> DataFrame:
+    """``rows`` in the tile pairs (value, i, j) that they are in, under the call that sees them.
+
+    Many small buckets go to one call; a large bucket's tile pairs are calls of their own, as their hashes differ.
+    """
+    own = rows.withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.col("tiles")).cast("int"))
+    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "second": F.col("own") > F.col("other")}).drop("own", "other")
+    share = F.pmod(F.xxhash64("value", "i", "j"), F.lit(max(16, calls)))
+    return dealt.withColumn("share", F.when(F.col("tiles") > 1, F.xxhash64("value", "i", "j")).otherwise(share))
+
+
 def _tiled(buckets: DataFrame, rooted: DataFrame, sets: _Sets, threshold: float) -> DataFrame:
-    """Links within the ``buckets`` (value, key) that hold several roots."""
+    """``rooted`` with what is linked within the ``buckets`` (value, key)."""
     met = buckets.join(rooted, "key")
     sizes = met.groupBy("value").agg(F.count("*").alias("size"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"), F.min("root").alias("low"), F.max("root").alias("high"))
     sizes = sizes.filter("low < high").groupBy("size", "who").agg(F.min("value").alias("value"))  # of buckets with the same members one
     sizes = staged(sizes.select("value", "size", F.ceil(F.col("size") / _TILE).cast("int").alias("tiles")), "mixed")
-    mixed = staged(buckets.join(sizes, "value").join(rooted, "key").join(sets.distinct.select("key", "n"), "key"), "placed")
+    placed = staged(buckets.join(sizes, "value").join(sets.distinct.select("key", "n"), "key"), "placed")
+    unstage(sizes)
 
     # buckets of a few sets: their pairs by key alone, each once however many buckets it is in
-    few = mixed.filter(F.col("size") <= _FEW)
+    few = placed.filter(F.col("size") <= _FEW).join(rooted, "key")
     one, two = (few.select("value", F.col("key").alias(k), F.col("n").alias(f"n{k}"), F.col("root").alias(f"r{k}")) for k in "uv")
     fits = F.least("nu", "nv") >= threshold * F.greatest("nu", "nv") - 1e-9
     pairs = staged(one.join(two, "value").filter((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & fits).select("u", "nu", "v", "nv").distinct(), "few")
     light = _not_ruled_out(pairs, sets, threshold)
-    unstage(pairs)
+    rooted = _merged(rooted, _confirmed(light, sets, threshold))
+    unstage(pairs, light)
 
-    # larger ones: in tiles
-    many = mixed.filter(F.col("size") > _FEW)
+    # larger ones, in tiles: first what a spanning forest finds, a part of the buckets at a time
+    many = placed.filter(F.col("size") > _FEW)
     if not many.limit(1).count():
-        linked = _confirmed(light, sets, threshold)
-        unstage(sizes, mixed, light)
-        return linked
+        unstage(placed)
+        return rooted
     marks = sets.of(many.select("key"), bit_map)
-    placed = many.join(marks.toDF("key", "bits"), "key").select("value", "key", "root", "n", "bits", "tiles")
-    own = placed.withColumn("own", F.pmod(F.xxhash64("key", F.lit(1)), F.col("tiles")).cast("int"))
-    dealt = own.select("*", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
-    dealt = dealt.select("value", "key", "root", "n", "bits", "tiles", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("second"))
-    shares = many.agg(F.sum(1 / F.col("size"))).first()[0] or 0  # the number of buckets
-
-    def met_tiles(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Pairs (u, v) to compare, or the tile pair (value, i, j) if there are too many."""
-        out = []
-        for (value, i, j), part in pdf.groupby(["value", "i", "j"]):
-            maps = np.frombuffer(b"".join(part["bits"]), np.uint8).reshape(len(part), -1)
-            found = candidates(part["key"].to_numpy(), part["root"].to_numpy(), part["n"].to_numpy(), maps, threshold, part["second"].to_numpy(dtype=bool) if i != j else None)
-            heavy = len(found) > _HANDED * len(part)
-            out += [(0, 0, value, i, j)] if heavy else [(u, v, 0, -1, -1) for u, v in found]
-        return pd.DataFrame(out, columns=["u", "v", "value", "i", "j"]).astype("int64")
-
-    # many small buckets go to one call; a large bucket's tile pairs are calls of their own, as their hashes differ
-    share = F.pmod(F.xxhash64("value", "i", "j"), F.lit(max(16, int(shares) // 16)))
-    found = staged(dealt.groupBy(F.when(F.col("tiles") > 1, F.xxhash64("value", "i", "j")).otherwise(share).alias("share")).applyInPandas(met_tiles, "u long, v long, value long, i long, j long"), "met")
-    confirmed = _confirmed(found.filter("i < 0").select("u", "v").unionByName(light), sets, threshold)
-    unstage(light)
-
+    bits = marks.toDF("key", "bits")
+    calls = int(many.agg(F.sum(1 / F.col("size"))).first()[0]) // 16  # of 16 buckets
+
+    def met_tiles(seed):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            """Pairs (u, v) to compare, or the tile pair (value, i, j) if there are too many."""
+            out = []
+            for (value, i, j), part in pdf.groupby(["value", "i", "j"]):
+                maps = np.frombuffer(b"".join(part["bits"]), np.uint8).reshape(len(part), -1)
+                found = candidates(part["key"].to_numpy(), part["root"].to_numpy(), part["n"].to_numpy(), maps, threshold, part["second"].to_numpy(dtype=bool) if i != j else None, seed)
+                heavy = seed is None and len(found) > _HANDED * len(part)
+                out += [(0, 0, value, i, j)] if heavy else [(u, v, 0, -1, -1) for u, v in found]
+            return pd.DataFrame(out, columns=["u", "v", "value", "i", "j"]).astype("int64")
+
+        return run
+
+    schema = "u long, v long, value long, i long, j long"
+    for turn in range(_TURNS):
+        part = _mixed(many.filter(F.pmod(F.xxhash64("value"), F.lit(_TURNS)) == turn), rooted)
+        found = _dealt(part.join(bits, "key"), calls // _TURNS).groupBy("share").applyInPandas(met_tiles(turn), schema)
+        rooted = _merged(rooted, _confirmed(found.select("u", "v"), sets, threshold))
+
+    # then all that is left, in all of them
+    dealt = _dealt(_mixed(many, rooted).join(bits, "key"), calls)
+    found = staged(dealt.groupBy("share").applyInPandas(met_tiles(None), schema), "met")
+    confirmed = _confirmed(found.filter("i < 0").select("u", "v"), sets, threshold)
     heavy = found.filter("i >= 0").select("value", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
     if not heavy.limit(1).count():
-        unstage(found, sizes, mixed, marks)
-        return confirmed
+        unstage(found, placed, marks)
+        return _merged(rooted, confirmed)
     big = staged(dealt.select("value", "key", "root", "i", "j", "second").join(heavy, ["value", "i", "j"]), "heavy")
     whole = sets.of(big.select("key"))
 
@@ -299,8 +334,8 @@ def _tiled(buckets: DataFrame, rooted: DataFrame, sets: _Sets, threshold: float)
 
     linked = big.join(whole, "key").groupBy("value", "i", "j").applyInPandas(whole_sets, "u long, v long")
     out = staged(confirmed.unionByName(linked), "rest")
-    unstage(found, sizes, mixed, marks, big, whole, confirmed)
-    return out
+    unstage(found, placed, marks, big, whole, confirmed)
+    return _merged(rooted, out)
 
 
 def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float, width: int, radius: int, seed: int) -> DataFrame:
@@ -332,7 +367,7 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: floa
     rooted = _merged(rooted, _confirmed(stars, sets, threshold))
 
     # 4: what is left, in tiles
-    rooted = _merged(rooted, _tiled(buckets.select("value", "key"), rooted, sets, threshold))
+    rooted = _tiled(buckets.select("value", "key"), rooted, sets, threshold)
     unstage(buckets)
 
     named = distinct.join(rooted, "key").groupBy("root").agg(F.min("least").alias("component_id"))
