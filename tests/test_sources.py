@@ -57,6 +57,16 @@ def test_text_kinds():
     assert texts.rtf_text(rtf).strip() == "1. 题 题\nA\\B"
 
 
+@pytest.mark.parametrize("text", ["Das\nist für Sie\n" * 9, "ab the\nthe\nthe", "ab" + " the\nthe" * 60, "broken � mark", "private \ue123\ue124 use", "한국어 텍스트", "国語の対応", "繁體中文題目", "🙂🙃", "Привет, мир", "na\u0001me", ""])
+def test_texts_come_back_from_gb18030(text):
+    for more in ("", "x", "\ncafé"):
+        assert texts.decode_auto((text + more + " 中文题目，答案如下。").encode("gb18030")) == text + more + " 中文题目，答案如下。"
+
+
+def test_encodings_without_marks():
+    assert [texts.decode_auto("café, naïve – “Müller” don’t".encode("cp1252")), texts.decode_auto("中文题目，答案如下。".encode("utf-16-le")), texts.decode_auto("繁體中文題目\n答案".encode("utf-16-be"))] == ["café, naïve – “Müller” don’t", "中文题目，答案如下。", "繁體中文題目\n答案"]
+
+
 def test_opendocument():
     content = f'<office:document-content {O}><text:p>a<text:s text:c="2"/>b</text:p><table:table table:name="T"><table:table-row table:number-rows-repeated="2"><table:table-cell table:number-columns-repeated="2"><text:p>x</text:p></table:table-cell></table:table-row></table:table></office:document-content>'
     assert office.odt(package({"content.xml": content}))[0] == "a  b"
