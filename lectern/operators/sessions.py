@@ -110,12 +110,16 @@ def preserved(previous: DataFrame, covered: DataFrame) -> DataFrame:
     return left.join(covered.select("key", "ord"), ["key", "ord"], "left_anti")
 
 
-def interval_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, key: str) -> DataFrame:
-    """Each point with the first span [start, end) of its key that holds it: an equi-join on the key, then the range."""
-    held = points.join(spans, key).filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
+def interval_join(points: DataFrame, spans: DataFrame, point: str, start: str, end: str, key: str, first: bool = True) -> DataFrame:
+    """Each point with the first span [start, end) of its key that holds it, or with every one: an equi-join on the key,
+    then the range.  Equal points stay as many rows as they are."""
     rest = [c for c in spans.columns if c not in (key, start, end)]
-    first = held.groupBy(*points.columns).agg(F.min(F.struct(start, end, *rest)).alias("s"))
-    return first.select(*points.columns, *(F.col(f"s.{c}").alias(c) for c in (start, end, *rest)))
+    held = points.join(spans.distinct() if first else spans, key).filter((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
+    held = held.select(*points.columns, start, end, *rest)
+    if not first:
+        return held
+    ranked = held.withColumn("__rank", F.rank().over(Window.partitionBy(*points.columns).orderBy(start, end, *rest)))
+    return ranked.filter("__rank = 1").drop("__rank")
 
 
 def answers_by_place(questions: DataFrame, keys: DataFrame, by: str = "bank_id", order: str = "ord", place: str = "event_id") -> DataFrame:

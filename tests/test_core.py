@@ -144,6 +144,24 @@ def test_first_spans_and_duplicates(spark):
     assert {r["id"]: r["duplicate_of"] for r in sequence.first_duplicates(rows, F.col("t"), F.col("id"), "id").collect()} == {0: None, 1: None, 2: None, 3: 0, 4: 0, 5: None}
 
 
+def test_equal_points_stay(spark):
+    points = spark.createDataFrame([(1, "k", 5), (1, "k", 5), (1, "k", 9)], "id int, key string, at int")
+    spans = spark.createDataFrame([("k", 0, 8, "one"), ("k", 0, 8, "one"), ("k", 4, 10, "two")], "key string, a int, b int, name string")
+    names = [sorted(r["name"] for r in sessions.interval_join(points, spans, "at", "a", "b", "key", first=f).collect()) for f in (True, False)]
+    assert names == [["one", "one", "two"], ["one"] * 4 + ["two"] * 3]
+
+
+def test_spans_of_equal_lines(spark, tmp_path):
+    from datetime import datetime
+
+    from lectern.plans import matching
+
+    day = [datetime(2020, 1, k) for k in (1, 2, 3)]
+    spark.createDataFrame([(1, 1, day[2]), (1, 1, day[2]), (1, 2, day[0])], "l_orderkey long, l_linenumber int, l_shipdate timestamp").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, day[1]), (1, day[2])], "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [tuple(r) for r in matching.join_table_cell_interval(spark, str(tmp_path)).collect()] == [(1, 1, 1)] * 4
+
+
 # --- store and files ------------------------------------------------------------------------------
 SCHEMA = "bank_id string, question_id string, question string, display_label string"
 
