@@ -40,12 +40,14 @@ from pyspark.sql import functions as F
 from lectern.llm.common import id_and_text, in_pandas, staged, text_or_empty, unstage
 from lectern.llm.simhash import components, links, of_hashes, shingle_hashes
 
-#: documents that the order of the values is sampled from, and the common values it keeps
-_SAMPLE, _COMMON = 4_000, 100_000
+#: the order of the values is sampled from one document in so many, from so many documents at least; the common values it keeps
+_SHARE, _SAMPLE, _COMMON = 16, 4_000, 500_000
 #: sets in a bucket whose pairs are few, sets in a tile, classes of values in a bit map, and pairs a row that a tile may hand on
 _FEW, _TILE, _CLASSES, _HANDED = 16, 512, 4096, 8
 #: rounds that compare a spanning forest of what bit maps leave open
 _TURNS = 3
+#: values of a sample that are counted at a time: 16 MB
+_BLOCK = 2_000_000
 #: keys that may be broadcast: 8 MB
 _SENT = 1_000_000
 
@@ -111,18 +113,41 @@ def similar(both, n, m, threshold: float):
 
 
 def _common_values(docs: DataFrame, text_col: str, width: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Values that several sampled texts have, sorted, with their counts."""
-    step = max(1, docs.count() // _SAMPLE)
-    sample = docs.select(text_or_empty(text_col).alias("text")).filter(F.rand(seed) * step < 1).repartition(8)
+    """Values that several sampled texts have, sorted, with their counts.
 
-    def run(batches):
-        sets = [shingle_set(text, width, seed) for pdf in batches for text in pdf["text"]]
-        values, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.int64),) * 2
-        yield pd.DataFrame({"value": values[n > 1], "n": n[n > 1]})
+    The sample grows with the table: with a sample of one size, values of some hundred documents would go unseen in a
+    large table and stay in prefixes, and the buckets would grow with it.
+    """
+    share = min(1.0, max(1 / _SHARE, _SAMPLE / max(1, docs.count())))
+    sample = docs.select(text_or_empty(text_col).alias("text")).filter(F.rand(seed) < share)
 
-    counted = in_pandas(sample, run, "value long, n long", ()).groupBy("value").agg(F.sum("n").alias("n"))
-    rows = sorted((r["value"], r["n"]) for r in counted.orderBy(F.desc("n"), "value").limit(_COMMON).collect())
-    return np.array([v for v, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+    def run(batches):
+        values, n = (np.zeros(0, np.int64),) * 2
+        sets, held = [], 0
+        for pdf in batches:
+            sets += [shingle_set(text, width, seed) for text in pdf["text"]]
+            held += sum(map(len, sets[len(sets) - len(pdf) :]))
+            if held > _BLOCK:
+                yield pd.DataFrame(dict(zip(("value", "n"), np.unique(np.concatenate(sets), return_counts=True), strict=True)))
+                sets, held = [], 0
+        if sets:
+            values, n = np.unique(np.concatenate(sets), return_counts=True)
+        yield pd.DataFrame({"value": values, "n": n})
+
+    counted = staged(in_pandas(sample, run, "value long, n long", ()).groupBy("value").agg(F.sum("n").alias("n")).filter("n > 1"), "common")
+    least, kept = None, 0
+    for r in counted.groupBy("n").agg(F.count("*").alias("values")).orderBy(F.desc("n")).collect():
+        kept += r["values"]
+        if kept > _COMMON:
+            break
+        least = r["n"]
+    rows = counted.filter(F.col("n") >= least).toArrow() if least is not None else None
+    unstage(counted)
+    if rows is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    values, n = rows["value"].to_numpy(), rows["n"].to_numpy()
+    order = np.argsort(values)
+    return values[order], n[order]
 
 
 class _Sets:
@@ -363,8 +388,11 @@ def near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: floa
     stars = buckets.groupBy(F.col("key").alias("v")).agg(F.min("first").alias("u")).filter("u < v")
     sized = rooted.join(distinct.select("key", "n"), "key")
     one, two = sized.toDF("u", "a", "na"), sized.toDF("v", "b", "nb")
-    stars = stars.join(one, "u").join(two, "v").filter((F.col("a") != F.col("b")) & fits(F.col("na"), F.col("nb"))).select("u", "v")
-    rooted = _merged(rooted, _confirmed(stars, sets, threshold))
+    stars = stars.join(one, "u").join(two, "v").filter((F.col("a") != F.col("b")) & fits(F.col("na"), F.col("nb")))
+    stars = staged(stars.select("u", F.col("na").alias("nu"), "v", F.col("nb").alias("nv")), "stars")
+    light = _not_ruled_out(stars, sets, threshold)
+    rooted = _merged(rooted, _confirmed(light, sets, threshold))
+    unstage(stars, light)
 
     # 4: what is left, in tiles
     rooted = _tiled(buckets.select("value", "key"), rooted, sets, threshold)
