@@ -68,13 +68,27 @@ def prefix(values: np.ndarray, threshold: float, common: np.ndarray, counts: np.
     return values[np.lexsort((values, often))[:most]]
 
 
-def bit_map(values: np.ndarray) -> np.ndarray:
+def bit_map(values: np.ndarray, classes: int = _CLASSES) -> np.ndarray:
     """A bit for each class that some value is in."""
-    marked = np.zeros(_CLASSES, np.uint8)
-    marked[values.view(np.uint64) % np.uint64(_CLASSES)] = 1
+    marked = np.zeros(classes, np.uint8)
+    marked[values.view(np.uint64) % np.uint64(classes)] = 1
     return np.packbits(marked)
 
 
+def wide_map(values: np.ndarray) -> np.ndarray:
+    """A bit map with eight classes or more for each value, as one of a fixed width rules nothing out for long sets."""
+    return bit_map(values, max(_CLASSES, 1 << (8 * len(values) - 1).bit_length()))
+
+
+def most_shared(a: bytes, b: bytes, n: int, m: int) -> int:
+    """What sets of ``n`` and ``m`` values with these wide maps share at most; the wider map is folded to the other's width."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    own, other = (n, m) if len(a) <= len(b) else (m, n)
+    besides = min(own - int(np.bitwise_count(x).sum()), other - int(np.bitwise_count(y).sum()))
+    return min(int(np.bitwise_count(x & y).sum()) + besides, n, m)
+
+
 def candidates(keys: np.ndarray, roots: np.ndarray, sizes: np.ndarray, maps: np.ndarray, threshold: float, second: np.ndarray | None = None, seed: int | None = None) -> list[tuple[int, int]]:
     """Pairs of different roots (and sides) whose bit maps don't rule out that the sets are similar.
 
@@ -261,15 +275,12 @@ def forest(keys: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], threshol
 
 def _not_ruled_out(pairs: DataFrame, sets: _Sets, threshold: float) -> DataFrame:
     """The ``pairs`` (u, nu, v, nv) whose bit maps leave it open that they are similar."""
-    marks = sets.of(pairs.select(F.explode(F.array("u", "v")).alias("key")), bit_map)
+    marks = sets.of(pairs.select(F.explode(F.array("u", "v")).alias("key")), wide_map)
 
     def run(batches):
         for pdf in batches:
-            a, b = (np.frombuffer(b"".join(pdf[c]), np.uint64).reshape(len(pdf), -1) for c in ("a", "b"))
-            n, m = pdf["nu"].to_numpy(), pdf["nv"].to_numpy()
-            besides = np.minimum(*(k - np.bitwise_count(x).sum(axis=1, dtype=np.int64) for k, x in ((n, a), (m, b))))
-            most = np.minimum(np.bitwise_count(a & b).sum(axis=1, dtype=np.int64) + besides, np.minimum(n, m))
-            yield pdf.loc[similar(most, n, m, threshold), ["u", "v"]]
+            near = [bool(similar(most_shared(a, b, n, m), n, m, threshold)) for a, b, n, m in zip(pdf["a"], pdf["b"], pdf["nu"].tolist(), pdf["nv"].tolist(), strict=True)]
+            yield pdf.loc[near, ["u", "v"]]
 
     met = pairs.join(marks.toDF("u", "a"), "u").join(marks.toDF("v", "b"), "v").select("u", "v", "nu", "nv", "a", "b")
     out = staged(in_pandas(met, run, "u long, v long", ()), "open")
@@ -277,6 +288,16 @@ def _not_ruled_out(pairs: DataFrame, sets: _Sets, threshold: float) -> DataFrame
     return out
 
 
+def _looked_through(pairs: DataFrame, sets: _Sets, threshold: float) -> DataFrame:
+    """The ``pairs`` (u, v) whose whole sets are similar, where many are expected not to be: by wide bit maps first."""
+    n = sets.distinct.select("key", "n")
+    pairs = staged(pairs.distinct().join(n.toDF("u", "nu"), "u").join(n.toDF("v", "nv"), "v").select("u", "nu", "v", "nv"), "looked")
+    light = _not_ruled_out(pairs, sets, threshold)
+    out = _confirmed(light, sets, threshold)
+    unstage(pairs, light)
+    return out
+
+
 def _mixed(placed: DataFrame, rooted: DataFrame) -> DataFrame:
     """The rows of ``placed`` (value, key, …) in buckets that hold several roots, with the roots."""
     met = placed.join(rooted, "key")
@@ -340,12 +361,12 @@ def _tiled(buckets: DataFrame, rooted: DataFrame, sets: _Sets, threshold: float)
     for turn in range(_TURNS):
         part = _mixed(many.filter(F.pmod(F.xxhash64("value"), F.lit(_TURNS)) == turn), rooted)
         found = _dealt(part.join(bits, "key"), calls // _TURNS).groupBy("share").applyInPandas(met_tiles(turn), schema)
-        rooted = _merged(rooted, _confirmed(found.select("u", "v"), sets, threshold))
+        rooted = _merged(rooted, _looked_through(found.select("u", "v"), sets, threshold))
 
     # then all that is left, in all of them
     dealt = _dealt(_mixed(many, rooted).join(bits, "key"), calls)
     found = staged(dealt.groupBy("share").applyInPandas(met_tiles(None), schema), "met")
-    confirmed = _confirmed(found.filter("i < 0").select("u", "v"), sets, threshold)
+    confirmed = _looked_through(found.filter("i < 0").select("u", "v"), sets, threshold)
     heavy = found.filter("i >= 0").select("value", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"))
     if not heavy.limit(1).count():
         unstage(found, placed, marks)

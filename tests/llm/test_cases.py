@@ -425,3 +425,24 @@ def test_bit_maps_bound_what_sets_share():
     found = {tuple(sorted(p)) for p in S.candidates(np.arange(len(sets)), np.arange(len(sets)), n, np.array([S.bit_map(x) for x in sets]), 0.8)}
     near = {(i, j) for i, j in combinations(range(len(sets)), 2) if S.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 0.8)}
     assert near <= found and len(found) < 4 * len(near)
+
+
+def test_wide_maps_bound_what_long_sets_share():
+    from lectern.llm import shingle_sets as S
+
+    rng = np.random.default_rng(1)
+    for n, m, both in ((5, 6, 5), (600, 700, 550), (9000, 8200, 8000), (9000, 8100, 10)):
+        values = rng.permutation(np.unique(rng.integers(-(2**63), 2**63 - 1, n + m, dtype=np.int64)))
+        x, y = values[:n], np.concatenate((values[:both], values[n : n + m - both]))
+        found = S.most_shared(S.wide_map(x).tobytes(), S.wide_map(y).tobytes(), n, m)
+        assert both <= found <= both + 0.2 * min(n, m)  # a map of 4,096 bits bounds the last pair by some 7,000
+
+
+def test_order_of_values_knows_lines_of_few_documents(spark, monkeypatch):
+    from lectern.llm import shingle_sets as S
+
+    monkeypatch.setattr(S, "_SAMPLE", 40)
+    line = "one line that many have"
+    docs = spark.createDataFrame([(k, f"{line} w{k} x{k}" if k % 50 == 0 else f"a{k} b{k} c{k} d{k} e{k} f{k}") for k in range(8000)], "doc_id long, text string")
+    values, counts = S._common_values(docs, "text", 5, 42)  # of some 500 documents, 10 have the line
+    assert int(S.shingle_set(line)[0]) in values.tolist() and counts.min() > 1
